@@ -83,7 +83,7 @@ def seeded_rank(df: DataFrame, strata: list[str], id_col: str, seed: int, stage:
     starts = counts.select(
         *[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_b").alias("_sb"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_n").over(stratum).alias("_size"))
+        F.sum("_n").over(stratum).alias("_stratum_size"))
     same = F.col("_b") == F.col("_sb")
     for i, s in enumerate(strata):
         same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
@@ -92,8 +92,8 @@ def seeded_rank(df: DataFrame, strata: list[str], id_col: str, seed: int, stage:
               .join(F.broadcast(starts), same)
               .withColumn(name, F.col("_start") + F.col("_place")))
     if size_name:
-        ranked = ranked.withColumn(size_name, F.col("_size"))
-    return ranked.drop("_h", "_b", "_sb", "_start", "_size", "_place",
+        ranked = ranked.withColumn(size_name, F.col("_stratum_size"))
+    return ranked.drop("_h", "_b", "_sb", "_start", "_stratum_size", "_place",
                        *[f"_s{i}" for i in range(len(strata))])
 
 

@@ -33,7 +33,8 @@ def with_steps(sql: str) -> str:
     if not needed:
         return sql
     body = ",\n".join(f"{name} AS ({CTES[name]})" for name in CTES if name in needed)
-    return f"WITH RECURSIVE {body}\n{sql}"
+    rest = sql.removeprefix("WITH ")
+    return f"WITH RECURSIVE {body}{', ' if rest != sql else ' '}\n{rest}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -233,3 +234,149 @@ query("pair_recall", f"SELECT {rounded(['tpr_pair'])} FROM one_pair_r")
 query("pair_precision", f"SELECT {rounded(['prc_pair'])} FROM one_pair_p")
 query("pair_tnr", f"SELECT {rounded(['tnr_pair'])} FROM one_pair_n")
 query("exact_key_linkage", f"SELECT {rounded(METRICS)} FROM one_summary")
+
+# -- sampling and study design --------------------------------------------------------
+
+step("exact_rows", "SELECT rowid, sid FROM classed WHERE entity_class = 'exact'")
+step("different_rows", """
+SELECT rowid, sid FROM classed WHERE entity_class = 'different' UNION ALL SELECT rowid, sid FROM collapsed""")
+step("plain_different_rows", "SELECT rowid, sid FROM classed WHERE entity_class = 'different'")
+
+
+def truncation_steps(prefix: str, rows: str, limit: str, bins: int, limits: str = "(SELECT 1)") -> None:
+    step(f"{prefix}_sizes", f"SELECT sid, count(*) AS n FROM {rows} GROUP BY sid")
+    step(f"{prefix}_over", f"""
+SELECT sid, n, row_number() OVER (ORDER BY md5('3:bin:' || sid), sid) AS turn
+FROM {prefix}_sizes, {limits} WHERE n > {limit}""")
+    step(f"{prefix}_bins", f"""
+SELECT n AS size, count(*) AS c FROM {prefix}_sizes, {limits} WHERE n <= {limit} AND n > {limit} - {bins} GROUP BY n""")
+    step(f"{prefix}_quota", f"""
+SELECT size, c, round_even((SELECT count(*) FROM {prefix}_over) * (c / (sum(c) OVER ())), 0) AS q,
+       row_number() OVER (ORDER BY c DESC, size) AS place, count(*) OVER () AS places FROM {prefix}_bins""")
+    step(f"{prefix}_border", f"""
+SELECT size, CASE WHEN place = places THEN 1e18 ELSE sum(q) OVER (ORDER BY place) END AS upto,
+       CASE WHEN place = 1 THEN 0 ELSE (sum(q) OVER (ORDER BY place)) - q END AS after FROM {prefix}_quota""")
+    step(f"{prefix}_cut", f"""
+SELECT r.rowid, r.sid FROM {rows} r LEFT JOIN {prefix}_over o USING (sid)
+LEFT JOIN {prefix}_border b ON o.turn > b.after AND o.turn <= b.upto
+QUALIFY o.sid IS NULL OR row_number() OVER (PARTITION BY r.sid ORDER BY md5('3:keep:' || r.rowid), r.rowid) <= b.size""")
+
+
+truncation_steps("exact", "exact_rows", "5", 4)
+truncation_steps("different", "different_rows", "5", 2)
+query("truncate_clusters", "SELECT rowid, sid FROM exact_cut")
+step("plain_limit", """
+SELECT max(n) AS top FROM (SELECT n, (sum(k) OVER (ORDER BY n)) / (sum(k) OVER ()) AS upto FROM (
+  SELECT n, count(*) AS k FROM (SELECT sid, count(*) AS n FROM plain_different_rows GROUP BY sid) GROUP BY n)) WHERE upto < 0.99""")
+truncation_steps("plain", "plain_different_rows", "top", 2, "plain_limit")
+query("size_policy", """
+SELECT rowid, sid, 'different' AS entity_class FROM plain_cut UNION ALL
+SELECT rowid, sid, 'exact' FROM exact_rows
+WHERE sid IN (SELECT sid FROM exact_rows GROUP BY sid HAVING count(*) <= (SELECT top FROM plain_limit))""")
+step("pool_rows", """
+SELECT k.* FROM keyed k WHERE rowid IN (SELECT rowid FROM classed WHERE entity_class = 'singleton')
+OR rowid IN (SELECT rowid FROM exact_cut) OR rowid IN (SELECT rowid FROM different_cut)""")
+step("pool_persons", """
+SELECT sid, count(DISTINCT rowid) AS n_records, count(DISTINCT name_dob) AS n_uq_namedob FROM pool_rows GROUP BY sid""")
+step("pool_spellings", """
+SELECT sid, name_dob, count(DISTINCT rowid) AS n_records_per_sid_name_dob FROM pool_rows
+WHERE name_dob IS NOT NULL GROUP BY sid, name_dob""")
+step("pool", _STATS.format(keyed="pool_rows", persons="pool_persons", spellings="pool_spellings"))
+query("sampling_pool", """
+SELECT rowid, sid, name_dob, sid_name_dob, n_records, n_uq_namedob, n_records_per_sid_name_dob,
+       any_non_exact_match, all_non_exact_match FROM pool""")
+step("split", """
+SELECT sid, entity_class, n_records,
+  CASE WHEN row_number() OVER (PARTITION BY entity_class, n_records ORDER BY md5('3:split:' || sid), sid)
+    <= round_even((count(*) OVER (PARTITION BY entity_class, n_records)) / 2, 0) THEN 'training' ELSE 'evaluation' END AS side
+FROM (SELECT DISTINCT sid, n_records, CASE WHEN n_records = 1 THEN 'singleton' WHEN n_uq_namedob = 1 THEN 'exact'
+        WHEN n_uq_namedob = n_records THEN 'different' ELSE 'mixed' END AS entity_class FROM pool)""")
+query("train_eval_split", "SELECT * FROM split")
+step("ranked", """
+SELECT *, row_number() OVER (PARTITION BY entity_class, n_records, side ORDER BY md5('3:sample:' || sid), sid) AS place
+FROM split""")
+step("target", "SELECT * FROM (VALUES (1, 0.499), (2, 0.4), (3, 0.06), (4, 0.03), (5, 0.011)) t(s, share)")
+step("wanted_sizes", "SELECT * FROM (VALUES (200), (600)) t(spec_n)")
+step("share_list", "SELECT * FROM (VALUES (0.5::DOUBLE), (0.25::DOUBLE)) t(share_exact)")
+step("base", """
+SELECT s, share::DOUBLE AS share, trunc(share::DOUBLE * (SELECT count(DISTINCT sid) FROM pool)) AS n FROM target""")
+step("size_total", """
+SELECT spec_n, sum(round_even(round_even(spec_n::DOUBLE / (SELECT sum(s * n) FROM base) * n * s, 0) / s, 0)) AS persons
+FROM wanted_sizes, base GROUP BY spec_n""")
+step("shifted", """
+SELECT spec_n, s, share * persons
+  + coalesce(lag(trunc(20.0::DOUBLE * share)) OVER (PARTITION BY spec_n ORDER BY s), 0)
+  - CASE WHEN s < 5 THEN trunc(20.0::DOUBLE * share) ELSE 0 END AS v
+FROM size_total, base""")
+step("adjusted", """
+SELECT spec_n, s, trunc(v / (sum(v) OVER (PARTITION BY spec_n)) * (SELECT count(DISTINCT sid) FROM pool)) AS n FROM shifted""")
+step("quotas", """
+SELECT spec_n, s, CAST(round_even(round_even((spec_n + 20.0::DOUBLE) / (sum(s * n) OVER (PARTITION BY spec_n)) * n * s, 0) / s, 0)
+  AS BIGINT) AS n_sids FROM adjusted""")
+query("quota_table", "SELECT spec_n, s AS cluster_size, n_sids FROM quotas")
+step("offered", """
+SELECT spec_n, share_exact, side, entity_class, s, n AS p,
+  CASE WHEN entity_class = 'singleton' THEN CASE WHEN s = 1 THEN n_sids ELSE 0 END WHEN s = 1 THEN 0
+       WHEN entity_class = 'exact' THEN round_even(share_exact * n_sids, 0)
+       ELSE round_even((1 - share_exact) * n_sids, 0) END AS w
+FROM (SELECT entity_class, side, n_records, count(*) AS n FROM ranked GROUP BY ALL) a
+JOIN quotas q ON q.s = a.n_records, share_list""")
+step("wide", """
+SELECT spec_n, share_exact, side, entity_class, """ + ", ".join(
+    f"coalesce(sum(p) FILTER (s = {i}), 0) AS p{i}, "
+    f"coalesce(sum(least(p, w)) FILTER (s = {i}), 0) AS t{i}, "
+    f"coalesce(sum(greatest(w - p, 0)) FILTER (s = {i}), 0) AS short{i}" for i in range(1, 6)) + """
+FROM offered GROUP BY ALL""")
+step("fill3", "SELECT *, least(p2 - t2, ceil(short3 * 3 / 2)) AS b32 FROM wide")
+step("fill4", "SELECT *, least(p3 - t3, ceil(short4 * 4 / 3)) AS b43 FROM fill3")
+step("fill4b", "SELECT *, least(p2 - t2 - b32, ceil(greatest(short4 - b43, 0) * 3 / 2)) AS b42 FROM fill4")
+step("fill5", "SELECT *, least(p4 - t4, ceil(short5 * 5 / 4)) AS b54 FROM fill4b")
+step("fill5b", "SELECT *, least(p3 - t3 - b43, ceil(greatest(short5 - b54, 0) * 4 / 3)) AS b53 FROM fill5")
+step("fill5c", """
+SELECT *, least(p2 - t2 - b32 - b42, ceil(greatest(short5 - b54 - b53, 0) * 3 / 2)) AS b52 FROM fill5b""")
+step("takes", " UNION ALL ".join(
+    f"SELECT spec_n, share_exact, side, entity_class, {i} AS s, {take} AS take FROM fill5c" for i, take in
+    ((1, "t1"), (2, "t2 + b32 + b42 + b52"), (3, "t3 + b43 + b53"), (4, "t4 + b54"), (5, "t5"))))
+step("chosen", """
+SELECT CAST(spec_n AS VARCHAR) || '__' || CAST(CAST(share_exact * 100 AS INT) AS VARCHAR) AS spec, share_exact,
+       side, entity_class, sid
+FROM ranked JOIN takes USING (side, entity_class) WHERE takes.s = ranked.n_records AND place <= take""")
+query("quota_sample", "SELECT spec, side, entity_class, sid FROM chosen")
+step("admin_rows", "SELECT c.spec, c.side, p.rowid, p.sid FROM pool p JOIN chosen c USING (sid)")
+query("admin_datasets", "SELECT * FROM admin_rows")
+step("eligible", "SELECT rowid, sid FROM pool WHERE n_records = 1 AND sid NOT IN (SELECT sid FROM chosen)")
+query("eligible_singletons", "SELECT * FROM eligible")
+step("moved", """
+SELECT spec, side, rowid FROM (SELECT DISTINCT spec, side FROM chosen),
+  (SELECT rowid FROM eligible QUALIFY row_number() OVER (ORDER BY md5('3:fresh:' || rowid), rowid) <= 20)
+UNION ALL SELECT spec, side, rowid FROM (
+  SELECT spec, side, entity_class, share_exact, min(p.rowid) AS rowid FROM chosen c JOIN pool p USING (sid)
+  WHERE entity_class IN ('exact', 'different') GROUP BY spec, side, entity_class, share_exact, sid)
+QUALIFY row_number() OVER (PARTITION BY spec, side, entity_class ORDER BY md5('3:move:' || rowid), rowid)
+  <= trunc(20 * CASE WHEN entity_class = 'exact' THEN share_exact ELSE 1 - share_exact END)""")
+query("experiment_datasets", "SELECT * FROM moved")
+step("datasets", """
+SELECT spec, 'admin_' || side AS dataset, rowid FROM admin_rows a
+WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.spec = a.spec AND m.side = a.side AND m.rowid = a.rowid)
+UNION ALL SELECT spec, 'experiment_' || side, rowid FROM moved""")
+query("build_datasets", "SELECT spec, dataset, rowid, sid, name_dob FROM datasets JOIN pool USING (rowid)")
+query("write_datasets", """
+SELECT spec, dataset, rowid, sid, CASE WHEN dataset = 'admin_training' THEN uid_sid END AS uid_sid, first_name, lineage
+FROM datasets JOIN pool USING (rowid)""")
+query("dataset_scan", """
+SELECT spec, rowid, date_of_birth, age_in_2020 FROM datasets JOIN pool USING (rowid) WHERE dataset = 'admin_evaluation'""")
+query("run_grid", """
+WITH sized AS (
+  SELECT CAST(split_part(spec, '__', 1) AS INT) AS ss_train, CAST(split_part(spec, '__', 2) AS INT) AS em_train,
+         count(*) FILTER (dataset = 'admin_evaluation') AS n_admin,
+         count(*) FILTER (dataset = 'experiment_evaluation') AS n_experiment FROM datasets GROUP BY ALL),
+its AS (SELECT unnest(range(10)) AS model_iter), frameworks AS (SELECT unnest(['deduplication', 'record_linkage']) AS framework)
+SELECT * FROM (
+  SELECT 'supervised' AS arm, ss_train, em_train, '' AS framework, 0 AS budget, 0 AS sample_size, model_iter, n_admin, n_experiment
+  FROM sized, its
+  UNION ALL SELECT 'unsupervised', ss_train, em_train, framework, 0, 0, model_iter, n_admin, n_experiment FROM sized, its, frameworks
+  UNION ALL SELECT 'active', ss_train, em_train, framework, budget, sample_size, model_iter, n_admin, n_experiment
+  FROM sized, its, frameworks, (SELECT unnest([20, 40, 80, 200, 500, 1000]) AS budget),
+    (SELECT unnest([1500, 15000, 150000, 300000]) AS sample_size)
+  WHERE framework = 'deduplication' OR sample_size IN (15000, 150000))
+WHERE em_train = 50""")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.operators import blocking, clean, cluster, evaluate, profile
-from kithlink.plans.workspace import Workspace
+from kithlink.operators import blocking, clean, cluster, evaluate, profile, sampling
+from kithlink.plans import study
+from kithlink.plans.workspace import SMALL_STUDY, Workspace
 from kithlink.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,7 @@ def rounded(df: DataFrame, columns: list[str], digits: int = 9) -> DataFrame:
 @named("raw_scan")
 def _(w: Workspace) -> DataFrame:
     folder = w.folder_for("raw_csv")
-    w.raw_charges().write.csv(folder, header=True)
+    writers.write_csv(w.raw_charges(), folder)
     rows = readers.scan_raw_cases(w.spark, folder)
     return rows.groupBy(*clean.RAW_COLUMNS).agg(F.count("*").alias("n"))
 
@@ -40,7 +41,7 @@ def _(w: Workspace) -> DataFrame:
 @named("string_scan")
 def _(w: Workspace) -> DataFrame:
     folder = w.folder_for("charges_csv")
-    w.raw_charges().select("casnbr", "ingest_order", "sid", "name").write.csv(folder, header=True)
+    writers.write_csv(w.raw_charges().select("casnbr", "ingest_order", "sid", "name"), folder)
     return readers.scan_keyed_text(w.spark, folder, "casnbr", "ingest_order")
 
 
@@ -196,3 +197,86 @@ _metric_query("pair_tnr", "tnr_pair")
 @named("exact_key_linkage")
 def _(w: Workspace) -> DataFrame:
     return rounded(evaluate.eval_summary(w.linked(), []), METRICS)
+
+
+# -- sampling and study design --------------------------------------------------------
+
+@named("sampling_pool")
+def _(w: Workspace) -> DataFrame:
+    return sampling.sampling_pool(w.profiled(), SMALL_STUDY).select("rowid", "sid", *profile.STAT_COLUMNS)
+
+
+@named("size_policy")
+def _(w: Workspace) -> DataFrame:
+    rules = sampling.SamplingRules(max_cluster_size=None, max_cluster_share=0.99, drop_large_exact=True)
+    kinds = profile.with_entity_class(w.profiled())
+    exact, different = sampling.size_policy(kinds.where("entity_class = 'exact'"),
+                                            kinds.where("entity_class = 'different'"), rules)
+    return exact.unionByName(different).select("rowid", "sid", "entity_class")
+
+
+@named("truncate_clusters")
+def _(w: Workspace) -> DataFrame:
+    exact = w.profiled().where(profile.entity_class() == "exact")
+    return sampling.truncate_clusters(exact, 5, 4, 3).select("rowid", "sid")
+
+
+@named("train_eval_split")
+def _(w: Workspace) -> DataFrame:
+    return sampling.train_eval_split(w.pool(), SMALL_STUDY)
+
+
+@named("quota_table")
+def _(w: Workspace) -> DataFrame:
+    return sampling.quota_table(w.pool(), SMALL_STUDY)
+
+
+@named("quota_sample")
+def _(w: Workspace) -> DataFrame:
+    return sampling.quota_sample(w.ranked(), w.takes()).select("spec", "side", "entity_class", "sid")
+
+
+@named("admin_datasets")
+def _(w: Workspace) -> DataFrame:
+    return sampling.admin_datasets(w.pool(), w.chosen()).select("spec", "side", "rowid", "sid")
+
+
+@named("eligible_singletons")
+def _(w: Workspace) -> DataFrame:
+    return sampling.eligible_singletons(w.pool(), w.chosen()).select("rowid", "sid")
+
+
+@named("experiment_datasets")
+def _(w: Workspace) -> DataFrame:
+    return sampling.experiment_rows(w.pool(), w.chosen(), w.takes(), SMALL_STUDY)
+
+
+@named("build_datasets")
+def _(w: Workspace) -> DataFrame:
+    return sampling.build_datasets(w.profiled(), SMALL_STUDY).select("spec", "dataset", "rowid", "sid", "name_dob")
+
+
+def _written_datasets(w: Workspace) -> str:
+    folder = w.folder_for("datasets_out")
+    writers.write_datasets(w.datasets(), folder)
+    return folder
+
+
+@named("write_datasets")
+def _(w: Workspace) -> DataFrame:
+    return readers.scan_datasets(w.spark, _written_datasets(w)).select(
+        "spec", "dataset", "rowid", "sid", "uid_sid", "first_name", "lineage")
+
+
+@named("dataset_scan")
+def _(w: Workspace) -> DataFrame:
+    rows = readers.scan_datasets(w.spark, _written_datasets(w))
+    return rows.where("dataset = 'admin_evaluation'").select("spec", "rowid", "date_of_birth", "age_in_2020")
+
+
+@named("run_grid")
+def _(w: Workspace) -> DataFrame:
+    parts = F.split("spec", "__")
+    datasets = w.datasets().withColumns({"spec_n": parts[0].cast("int"), "spec_share": parts[1].cast("int")})
+    grid = study.run_grid(w.spark, study.GridRules(sizes=(200, 600, 5000)))
+    return study.runnable(grid, datasets)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithlink.operators import blocking, clean, cluster, profile
+from kithlink.operators import blocking, clean, cluster, profile, sampling
 from kithlink.operators.scale import scratch_folder, staged
 from kithlink.sources import fixtures
 
@@ -19,6 +19,9 @@ from kithlink.sources import fixtures
 # initial and birth date.
 EXACT_KEYS = [["last_name", "date_of_birth"], ["first_name", "middle_initial", "date_of_birth"]]
 
+# A study that fits the smaller input tables; the defaults of the rules are the full-size study.
+SMALL_STUDY = sampling.SamplingRules(experiment_n=40, sample_sizes=(200, 600), shares_exact=(0.5, 0.25))
+
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -63,6 +66,26 @@ class Workspace:
     def role(self, dataset: str) -> DataFrame:
         return self.roles().where(f"dataset = '{dataset}'")
 
+    # study data sets ----------------------------------------------------------
+    def pool(self) -> DataFrame:
+        return self.once("pool", lambda: sampling.sampling_pool(self.profiled(), SMALL_STUDY))
+
+    def ranked(self) -> DataFrame:
+        return self.once("ranked", lambda: sampling.ranked_persons(self.pool(), SMALL_STUDY))
+
+    def takes(self) -> DataFrame:
+        return sampling.take_table(self.pool(), self.ranked(), SMALL_STUDY)
+
+    def chosen(self) -> DataFrame:
+        return self.once("chosen", lambda: sampling.quota_sample(self.ranked(), self.takes()))
+
+    def moved(self) -> DataFrame:
+        return self.once("moved", lambda: sampling.experiment_rows(
+            self.pool(), self.chosen(), self.takes(), SMALL_STUDY))
+
+    def datasets(self) -> DataFrame:
+        return self.once("datasets", lambda: sampling.datasets_of(self.pool(), self.chosen(), self.moved()))
+
     # exact-key linkage -------------------------------------------------------
     def edges(self) -> DataFrame:
         return self.once("edges", lambda: blocking.star_edges(self.roles(), EXACT_KEYS))

@@ -23,6 +23,12 @@ def write_datasets(df: DataFrame, folder: str) -> None:
     dataset_rows(df).write.mode("overwrite").partitionBy("dataset", "spec").parquet(folder)
 
 
+def write_csv(df: DataFrame, folder: str) -> None:
+    """CSV with a header; blanks at the ends of a text stay."""
+    df.write.mode("overwrite").csv(folder, header=True, ignoreLeadingWhiteSpace=False,
+                                   ignoreTrailingWhiteSpace=False)
+
+
 def write_stage(df: DataFrame, folder: str, name: str) -> None:
     """Predicted clusters, predicted matches, label log or block members of one stage."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}")
