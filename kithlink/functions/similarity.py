@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -59,7 +60,7 @@ def jaro_winkler_batch(left: np.ndarray, right: np.ndarray, boost_from: float =
     return np.where(jaro > boost_from, jaro + prefix * 0.1 * (1 - jaro), jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     out = np.full(len(left), np.nan)
     known = (left.notna() & right.notna()).to_numpy()

@@ -3,6 +3,7 @@
 staged         write a result to the shared scratch folder and read it back
 dense_number   1..N over a global sort order without a single-task window
 seeded_rank    rank in seeded order per stratum without a single-task window
+broadcast_up_to  broadcast hint behind a row count
 lookup         left join to a one-row-per-key table, hot keys salted
 pairs_within   pairs inside key groups, hot groups cut into tiles
 """
@@ -97,6 +98,11 @@ def seeded_rank(df: DataFrame, strata: list[str], id_col: str, seed: int, stage:
                        *[f"_s{i}" for i in range(len(strata))])
 
 
+def broadcast_up_to(df: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
+    """Broadcast hint only after counting the rows; a larger table is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Keys with more than `rows` rows and the number of parts to cut them into."""
     return (df.groupBy(*keys).agg(F.count("*").alias("_n"))

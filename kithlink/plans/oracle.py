@@ -380,3 +380,184 @@ SELECT * FROM (
     (SELECT unnest([1500, 15000, 150000, 300000]) AS sample_size)
   WHERE framework = 'deduplication' OR sample_size IN (15000, 150000))
 WHERE em_train = 50""")
+
+# -- blocking and candidates ----------------------------------------------------------
+
+COMPARED = "first_name, last_name, date_of_birth, age_in_2020, middle_initial, race, sex"
+step("prof", f"""
+SELECT {COMPARED}, sid, dataset, min(rowid) AS rowid, count(*) AS copies, year(date_of_birth) AS yob
+FROM roled GROUP BY {COMPARED}, sid, dataset""")
+step("prof_e", "SELECT * FROM prof WHERE dataset = 'experiment_evaluation'")
+step("prof_a", "SELECT * FROM prof WHERE dataset = 'admin_evaluation'")
+_BOTH = ", ".join(f"a.{c} AS {c}1, b.{c} AS {c}2" for c in
+                  (COMPARED + ", sid, dataset, rowid, copies, yob").split(", "))
+_KEYS = """((a.last_name = b.last_name AND a.yob = b.yob)
+  OR (a.first_name = b.first_name AND a.middle_initial = b.middle_initial AND a.yob = b.yob)
+  OR a.date_of_birth = b.date_of_birth)"""
+step("cand", f"SELECT {_BOTH} FROM prof_e a JOIN prof_a b ON {_KEYS}")
+
+
+def _edit(c: str) -> str:
+    a, b = f"CAST({c}1 AS VARCHAR)", f"CAST({c}2 AS VARCHAR)"
+    return (f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0 ELSE "
+            f"1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END")
+
+
+_SIMS = f"""
+  {_edit('first_name')} AS first_name_sim, {_edit('last_name')} AS last_name_sim,
+  abs(date_of_birth1 - date_of_birth2) AS dob_days, {_edit('date_of_birth')} AS dob_sim,
+  CAST(middle_initial1 = middle_initial2 AS INT) AS mi_equal, CAST(race1 = race2 AS INT) AS race_equal,
+  CAST(sex1 = sex2 AS INT) AS sex_equal, abs(age_in_20201 - age_in_20202) AS age_diff"""
+step("sims", f"SELECT rowid1, rowid2, {_SIMS} FROM cand")
+step("scored", "SELECT *, round((first_name_sim + last_name_sim + dob_sim) / 3, 6) AS score FROM sims")
+step("window_members", """
+SELECT CAST(yob AS VARCHAR) AS block, 'A' AS side, rowid, dataset, yob, copies FROM prof_e
+UNION ALL SELECT CAST(unnest([yob - 1, yob, yob + 1]) AS VARCHAR), 'B', rowid, dataset, yob, copies FROM prof_a""")
+query("block_year_window", "SELECT block, side, rowid FROM window_members")
+step("block_sizes", "SELECT block, count(*) FILTER (side = 'A') AS n_a FROM window_members GROUP BY block")
+step("members", """
+SELECT DISTINCT CASE WHEN n_a <= 4 THEN 'small' ELSE m.block END AS block, side, rowid, dataset, yob, copies
+FROM window_members m JOIN block_sizes USING (block)""")
+query("merge_small_blocks", "SELECT block, side, rowid FROM members")
+query("block_listing", "SELECT block, dataset, rowid, yob FROM members")
+
+step("names", """
+SELECT first_name || ' ' || last_name AS name, count(*) AS n_name FROM persons
+WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY ALL""")
+step("terms", """
+SELECT name, gram, count(*) AS tf FROM (
+  SELECT name, substr('^' || name || '$', unnest(range(1, length(name) + 2)), 2) AS gram FROM names) GROUP BY ALL""")
+step("weights", """
+SELECT name, gram, tf * (ln((SELECT count(*) FROM names) / df) + 1) AS w
+FROM terms JOIN (SELECT gram, count(*) AS df FROM terms GROUP BY gram) USING (gram)""")
+step("units", "SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM weights")
+step("name_pairs", """
+SELECT name1, name2, cosine FROM (
+  SELECT a.name AS name1, b.name AS name2, round(sum(a.w * b.w), 9) AS cosine
+  FROM units a JOIN units b ON a.gram = b.gram AND a.name < b.name GROUP BY ALL) p
+JOIN names x ON x.name = name1 JOIN names y ON y.name = name2
+WHERE cosine >= round(0.55 + 0.05 * greatest(x.n_name, y.n_name) / (SELECT max(n_name) FROM names), 9)""")
+query("block_cosine", "SELECT * FROM name_pairs")
+step("spelled", """
+SELECT first_name || ' ' || last_name AS name, date_of_birth, age_in_2020, min(rowid) AS rowid FROM persons
+WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY ALL""")
+step("alike", """
+SELECT a.rowid AS r1, b.rowid AS r2, a.date_of_birth AS d1, b.date_of_birth AS d2, a.age_in_2020 AS g1, b.age_in_2020 AS g2
+FROM spelled a JOIN spelled b ON a.name = b.name AND a.rowid < b.rowid
+UNION ALL
+SELECT a.rowid, b.rowid, a.date_of_birth, b.date_of_birth, a.age_in_2020, b.age_in_2020
+FROM name_pairs p JOIN spelled a ON a.name = p.name1 JOIN spelled b ON b.name = p.name2""")
+query("block_dob_edit", """
+SELECT least(r1, r2) AS rowid1, greatest(r1, r2) AS rowid2 FROM alike
+WHERE levenshtein(CAST(d1 AS VARCHAR), CAST(d2 AS VARCHAR)) <= 3""")
+query("block_age_backup", """
+SELECT least(r1, r2) AS rowid1, greatest(r1, r2) AS rowid2 FROM alike
+WHERE CASE WHEN year(d1) % 7 = 0 OR year(d2) % 7 = 0 THEN abs(g1 - g2) <= 3
+      ELSE levenshtein(CAST(d1 AS VARCHAR), CAST(d2 AS VARCHAR)) <= 3 END""")
+query("candidate_sample", """
+SELECT rowid1, rowid2 FROM cand
+QUALIFY row_number() OVER (ORDER BY md5('3:candidates:' || rowid1 || '-' || rowid2), rowid1 || '-' || rowid2) <= 1500""")
+query("candidate_stats", """
+SELECT count(*) FILTER (sid1 = sid2) AS cp_1s, count(*) FILTER (sid1 = sid2 AND
+  (first_name1 <> first_name2 OR last_name1 <> last_name2 OR date_of_birth1 <> date_of_birth2)) AS cp_1s__nem FROM cand""")
+query("canonical_pairs", "SELECT rowid1, rowid2 FROM edges")
+query("stack_roles", "SELECT rowid, sid, dataset FROM roled")
+
+# -- comparison -----------------------------------------------------------------------
+
+query("compare_pairs", """
+SELECT rowid1, rowid2, round(first_name_sim, 9) AS first_name_sim, round(last_name_sim, 9) AS last_name_sim, dob_days,
+       round(dob_sim, 9) AS dob_sim, mi_equal, race_equal, sex_equal, age_diff FROM sims""")
+step("declared_pairs", """
+SELECT a.rowid AS rowid1, b.rowid AS rowid2, a.first_name AS first_name1, b.first_name AS first_name2,
+       a.last_name AS last_name1, b.last_name AS last_name2, a.date_of_birth AS d1, b.date_of_birth AS d2,
+       a.age_in_2020 AS g1, b.age_in_2020 AS g2, a.middle_initial AS m1, b.middle_initial AS m2,
+       a.lineage AS l1, b.lineage AS l2, a.sex AS s1, b.sex AS s2, a.race AS r1, b.race AS r2
+FROM roled a JOIN roled b ON a.last_name = b.last_name AND a.date_of_birth = b.date_of_birth
+WHERE a.dataset = 'experiment_evaluation' AND b.dataset = 'admin_evaluation'""")
+query("compare_config", f"""
+SELECT rowid1, rowid2, round({_edit('first_name')}, 9) AS first_name, round({_edit('last_name')}, 9) AS last_name,
+       abs(d1 - d2) AS dob, abs(g1 - g2) AS age, CAST(m1 = m2 AS INT) AS middle_initial, CAST(l1 = l2 AS INT) AS suffix,
+       CAST(s1 = s2 AS INT) AS gender, CAST(r1 = r2 AS INT) AS race, CAST(NULL AS INT) AS uid_sid FROM declared_pairs""")
+query("value_checks", """
+SELECT casnbr AS rowid, date_of_birth AS dob, CASE WHEN sex IN ('M', 'F') THEN sex END AS gender,
+       CAST(date_of_birth IS NULL AS INT) + CAST(sex NOT IN ('M', 'F') AS INT) AS n_invalid, count(*) AS n
+FROM dated_charges GROUP BY ALL""")
+
+
+def _graded(c: str) -> str:
+    s = f"jaro_winkler_similarity(CAST({c}1 AS VARCHAR), CAST({c}2 AS VARCHAR))"
+    return f"CASE WHEN {s} >= 0.94 THEN 2 WHEN {s} >= 0.88 THEN 1 WHEN {s} IS NOT NULL THEN 0 END"
+
+
+def _same(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 2 WHEN {a} <> {b} THEN 0 END"
+
+
+_LEVELS = f"""
+  {_graded('first_name')} AS g_first, {_graded('last_name')} AS g_last, {_graded('date_of_birth')} AS g_dob,
+  {_same('middle_initial1', 'middle_initial2')} AS g_mi, {_same('race1', 'race2')} AS g_race,
+  {_same('sex1', 'sex2')} AS g_sex, {_same('month(date_of_birth1)', 'month(date_of_birth2)')} AS g_month,
+  {_same('day(date_of_birth1)', 'day(date_of_birth2)')} AS g_day"""
+query("agreement_levels", f"SELECT rowid1, rowid2, {_LEVELS} FROM cand")
+step("block_cand", f"""
+SELECT m.block, {_BOTH} FROM members m JOIN members n ON n.block = m.block AND m.side = 'A' AND n.side = 'B'
+JOIN prof a ON a.rowid = m.rowid JOIN prof b ON b.rowid = n.rowid
+WHERE a.last_name = b.last_name OR (a.first_name = b.first_name AND a.middle_initial = b.middle_initial)
+  OR a.date_of_birth = b.date_of_birth""")
+step("block_patterns", f"""
+SELECT block, g_first, g_last, g_dob, g_mi, g_race, g_sex, g_month, g_day, sum(c) AS n
+FROM (SELECT block, copies1 * copies2 AS c, {_LEVELS} FROM block_cand) GROUP BY ALL""")
+step("block_rest", """
+SELECT block, a * b - coalesce((SELECT sum(n) FROM block_patterns p WHERE p.block = t.block), 0) AS n FROM (
+  SELECT block, coalesce(sum(copies) FILTER (side = 'A'), 0) AS a, coalesce(sum(copies) FILTER (side = 'B'), 0) AS b
+  FROM members GROUP BY block) t""")
+query("pattern_counts", """
+SELECT block, g_first, g_last, g_dob, g_mi, g_race, g_sex, g_month, g_day, CAST(n AS BIGINT) AS n_pairs FROM block_patterns
+UNION ALL SELECT block, NULL, 0, 0, NULL, NULL, NULL, NULL, NULL, CAST(n AS BIGINT) FROM block_rest WHERE n > 0""")
+step("labelled", """
+SELECT rowid1, rowid2, CASE WHEN sid1 = sid2 THEN 'y' ELSE 'n' END AS label,
+  CAST(first_name1 = first_name2 AND last_name1 = last_name2 AND date_of_birth1 = date_of_birth2 AS INT) AS exact_match
+FROM cand""")
+query("truth_labels", "SELECT * FROM labelled")
+query("label_balance", """
+SELECT count(*) FILTER (label = 'y') AS labeled_1s, count(*) FILTER (label = 'n') AS labeled_0s,
+       round((count(*) FILTER (label = 'y')) / count(*), 9) AS labeled_base_rate FROM labelled""")
+query("match_rows", """
+SELECT rowid1, a.sid AS sid1, a.dataset AS d1, rowid2, b.sid AS sid2, b.dataset AS d2
+FROM edges JOIN roled a ON a.rowid = rowid1 JOIN roled b ON b.rowid = rowid2""")
+
+# -- constraints and clustering -------------------------------------------------------
+
+step("nodes", """
+SELECT *, CASE WHEN role = 'ADMIN_TRAINING' THEN sid END AS uid_sid FROM (
+  SELECT *, CASE WHEN dataset = 'experiment_evaluation' THEN 'EXPERIMENT'
+                 WHEN ('0x' || substr(md5('3:role:' || sid), 1, 15))::BIGINT % 2 = 0 THEN 'ADMIN_TRAINING'
+                 ELSE 'ADMIN_EVALUATION' END AS role FROM prof)""")
+step("node_pairs", f"SELECT {_BOTH}, a.role AS role1, b.role AS role2 FROM nodes a JOIN nodes b ON a.rowid < b.rowid AND {_KEYS}")
+step("node_sims", f"SELECT rowid1, rowid2, role1, role2, {_SIMS} FROM node_pairs")
+step("node_edges", """
+SELECT rowid1, rowid2, role1, role2, round((first_name_sim + last_name_sim + dob_sim) / 3, 6) AS phat,
+       rowid1 * 1000003 + rowid2 AS original_order
+FROM node_sims WHERE round((first_name_sim + last_name_sim + dob_sim) / 3, 6) >= 0.7""")
+query("valid_links", """
+SELECT rowid1, rowid2, NOT ((role1 = 'ADMIN_TRAINING') <> (role2 = 'ADMIN_TRAINING'))
+  AND NOT (role1 = 'EXPERIMENT' AND role2 = 'EXPERIMENT') AS valid FROM node_edges""")
+query("link_priority", """
+SELECT rowid1, rowid2, row_number() OVER (ORDER BY phat DESC, original_order, rowid1, rowid2) AS priority FROM node_edges""")
+step("node_ways", "SELECT rowid1 AS a, rowid2 AS b FROM node_edges UNION ALL SELECT rowid2, rowid1 FROM node_edges")
+step("node_reached", """
+SELECT DISTINCT a AS rowid, a AS root FROM node_ways
+UNION SELECT w.b, r.root FROM node_reached r JOIN node_ways w ON w.a = r.rowid WHERE r.root < w.b""")
+step("node_parts", """
+SELECT n.*, cluster_id FROM nodes n JOIN (SELECT rowid, min(root) AS cluster_id FROM node_reached GROUP BY rowid) USING (rowid)""")
+query("valid_clusters", """
+SELECT cluster_id, count(*) FILTER (role = 'EXPERIMENT') <= 1 AND NOT (count(*) FILTER (role = 'ADMIN_TRAINING') > 0
+  AND count(*) FILTER (role <> 'ADMIN_TRAINING') > 0) AS valid FROM node_parts GROUP BY cluster_id""")
+query("unique_id_rule", "SELECT cluster_id, count(DISTINCT uid_sid) <= 1 AS valid_ids FROM node_parts GROUP BY cluster_id")
+query("many_to_one", """
+SELECT rowid2 AS rowid1, rowid1 AS rowid2, score FROM scored WHERE score >= 0.7
+QUALIFY row_number() OVER (PARTITION BY scored.rowid2 ORDER BY score DESC, scored.rowid1) = 1""")
+query("split_pair", "SELECT rowid1, rowid2, score AS confidence_score FROM scored")
+query("explode_clusters", "SELECT rowid2 AS rowid, rowid1 AS cluster_id, (rowid2 % 100) / 100.0 AS confidence_score FROM edges")
+query("stack_clustered", "SELECT rowid, sid, dataset, date_of_birth, cluster_id FROM linked")

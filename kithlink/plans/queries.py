@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.operators import blocking, clean, cluster, evaluate, profile, sampling
+from kithlink.operators import (
+    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, sampling)
 from kithlink.plans import study
-from kithlink.plans.workspace import SMALL_STUDY, Workspace
+from kithlink.plans.workspace import SMALL_STUDY, STUDY_SEED, Workspace
 from kithlink.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,3 +281,272 @@ def _(w: Workspace) -> DataFrame:
     datasets = w.datasets().withColumns({"spec_n": parts[0].cast("int"), "spec_share": parts[1].cast("int")})
     grid = study.run_grid(w.spark, study.GridRules(sizes=(200, 600, 5000)))
     return study.runnable(grid, datasets)
+
+
+# -- blocking and candidates ----------------------------------------------------------
+
+@named("block_year_window")
+def _(w: Workspace) -> DataFrame:
+    return blocking.year_window_members(*w.sides()).select("block", "side", "rowid")
+
+
+@named("block_name_kmeans")
+def _(w: Workspace) -> DataFrame:
+    return blocking.last_name_clusters(w.profiles())
+
+
+@named("block_members")
+def _(w: Workspace) -> DataFrame:
+    names = w.once("name_clusters", lambda: blocking.last_name_clusters(w.profiles()))
+    return blocking.block_members(*w.sides(), names).select("block", "side", "rowid")
+
+
+@named("merge_small_blocks")
+def _(w: Workspace) -> DataFrame:
+    return w.members().select("block", "side", "rowid")
+
+
+@named("block_listing")
+def _(w: Workspace) -> DataFrame:
+    return blocking.block_listing(w.members())
+
+
+@named("block_cosine")
+def _(w: Workspace) -> DataFrame:
+    return blocking.cosine_name_pairs(w.persons())
+
+
+def _similar_names(w: Workspace) -> DataFrame:
+    names = w.once("name_pairs", lambda: blocking.cosine_name_pairs(w.persons()))
+    return blocking.similar_name_candidates(w.persons(), names)
+
+
+@named("block_dob_edit")
+def _(w: Workspace) -> DataFrame:
+    return blocking.dob_edit_filter(_similar_names(w), 3).select(
+        F.least("rowid1", "rowid2").alias("rowid1"), F.greatest("rowid1", "rowid2").alias("rowid2"))
+
+
+@named("block_age_backup")
+def _(w: Workspace) -> DataFrame:
+    # every seventh birth year is taken as unknown, so that the ages get to decide
+    pairs = _similar_names(w)
+    for n in ("1", "2"):
+        birth = F.col(f"date_of_birth{n}")
+        pairs = pairs.withColumn(f"date_of_birth{n}", F.when(F.year(birth) % 7 != 0, birth))
+    return blocking.age_backup_filter(pairs, 3, 3).select(
+        F.least("rowid1", "rowid2").alias("rowid1"), F.greatest("rowid1", "rowid2").alias("rowid2"))
+
+
+@named("learn_blocks")
+def _(w: Workspace) -> DataFrame:
+    matches = w.label_log().where("label = 'y'").select(
+        F.col("rowid_1").alias("rowid1"), F.col("rowid_2").alias("rowid2"))
+    return blocking.learn_blocks(*w.sides(), matches)
+
+
+@named("candidate_sample")
+def _(w: Workspace) -> DataFrame:
+    return w.label_pool().select("rowid1", "rowid2")
+
+
+@named("candidate_stats")
+def _(w: Workspace) -> DataFrame:
+    return blocking.candidate_stats(w.candidates())
+
+
+@named("canonical_pairs")
+def _(w: Workspace) -> DataFrame:
+    star = w.edges()
+    mirrored = star.select(F.col("rowid2").alias("rowid1"), F.col("rowid1").alias("rowid2"))
+    itself = w.roles().select(F.col("rowid").alias("rowid1"), F.col("rowid").alias("rowid2"))
+    return blocking.canonical_pairs(star.unionByName(mirrored).unionByName(itself))
+
+
+@named("stack_roles")
+def _(w: Workspace) -> DataFrame:
+    experiment = w.role(cluster.EXPERIMENT_ROLE)
+    return blocking.stack_roles(w.roles(), experiment).select("rowid", "sid", "dataset")
+
+
+# -- comparison -----------------------------------------------------------------------
+
+@named("compare_pairs")
+def _(w: Workspace) -> DataFrame:
+    pairs = compare.compare_pairs(w.candidates()).select("rowid1", "rowid2", *compare.SIMILARITIES)
+    return rounded(pairs, ["first_name_sim", "last_name_sim", "dob_sim"])
+
+
+@named("compare_config")
+def _(w: Workspace) -> DataFrame:
+    """Experiment against admin records of one last name and birth date, as the variables declare."""
+    rows = w.roles()
+    sides = [compare.value_checks(compare.as_declared(rows.where(F.col("dataset") == role), source))
+             for role, source in ((cluster.EXPERIMENT_ROLE, "experiment"), (cluster.ADMIN_ROLE, "admin_training"))]
+    pairs = blocking.candidates_between(*[s.drop("n_invalid") for s in sides], [["last_name", "dob"]])
+    return rounded(compare.compare_declared(pairs), ["first_name", "last_name"])
+
+
+@named("value_checks")
+def _(w: Workspace) -> DataFrame:
+    """Checks on the texts as they arrive, before the cleaning has removed bad values."""
+    raw = w.raw_charges().select(
+        F.col("casnbr").alias("rowid"), F.concat_ws("-", *[F.substring("dob", *at) for at in ((7, 4), (1, 2), (4, 2))])
+        .alias("dob"), F.col("sex").alias("gender"))
+    declared = tuple(v for v in compare.STUDY_VARIABLES if v.check)
+    return (compare.value_checks(raw, declared).groupBy("rowid", "dob", "gender", "n_invalid")
+            .agg(F.count("*").alias("n")))
+
+
+@named("agreement_levels")
+def _(w: Workspace) -> DataFrame:
+    return compare.agreement_levels(w.candidates()).select("rowid1", "rowid2", *compare.AGREEMENTS)
+
+
+@named("pattern_counts")
+def _(w: Workspace) -> DataFrame:
+    return em.pattern_counts(w.members())
+
+
+@named("truth_labels")
+def _(w: Workspace) -> DataFrame:
+    return compare.truth_labels(w.candidates()).select("rowid1", "rowid2", "label", "exact_match")
+
+
+# -- unsupervised linkage -------------------------------------------------------------
+
+@named("em_link")
+def _(w: Workspace) -> DataFrame:
+    return em.em_link(em.pattern_counts(w.members()))
+
+
+@named("em_matches")
+def _(w: Workspace) -> DataFrame:
+    return w.em_matches().select("block", "rowid1", "rowid2", "score")
+
+
+@named("match_rows")
+def _(w: Workspace) -> DataFrame:
+    return em.match_rows(w.edges(), w.roles())
+
+
+@named("em_linkage")
+def _(w: Workspace) -> DataFrame:
+    """The unsupervised arm from blocks to metrics."""
+    matches = w.em_matches().select("rowid1", "rowid2")
+    ends = matches.select(F.col("rowid1").alias("rowid")).unionByName(matches.select(F.col("rowid2").alias("rowid")))
+    edges = matches.unionByName(blocking.copy_edges(w.roles(), ends))
+    clustered = cluster.assign_clusters(w.roles(), matches=edges)
+    return rounded(evaluate.eval_summary(clustered, []), METRICS)
+
+
+# -- active and supervised linkage ----------------------------------------------------
+
+@named("active_label")
+def _(w: Workspace) -> DataFrame:
+    return learn.active_label(w.label_pool(), budget=40, batch=20)
+
+
+@named("label_log")
+def _(w: Workspace) -> DataFrame:
+    folder = w.folder_for("stages")
+    writers.write_stage(w.label_log(), folder, "label_info")
+    return w.spark.read.parquet(f"{folder}/label_info").select(*learn.LOG_COLUMNS)
+
+
+@named("label_balance")
+def _(w: Workspace) -> DataFrame:
+    """Balance of the whole candidate set, as if every pair had been asked for."""
+    return rounded(learn.label_balance(compare.truth_labels(w.candidates())), ["labeled_base_rate"])
+
+
+@named("train_pairs")
+def _(w: Workspace) -> DataFrame:
+    labelled = learn.labelled_pairs(w.label_pool(), w.label_log())
+    linker = learn.train_pairs(labelled, *w.sides())
+    weights = [float(x) for x in linker.model.coefficients]
+    rows = list(zip(["weight:" + c for c in compare.SIMILARITIES], weights))
+    rows += [(f"block:{p}", float(i)) for i, p in enumerate(linker.predicates)]
+    return w.spark.createDataFrame(rows, "part string, value double")
+
+
+@named("score_pairs")
+def _(w: Workspace) -> DataFrame:
+    labelled = learn.labelled_pairs(w.label_pool(), w.label_log())
+    scored = learn.score_pairs(learn.with_features(w.candidates()), learn.fit_pairs(labelled))
+    return scored.select("rowid1", "rowid2", "confidence_score")
+
+
+@named("tune_threshold")
+def _(w: Workspace) -> DataFrame:
+    split = learn.train_share(learn.with_features(w.candidates()), learn.SupervisedRules())
+    model = learn.fit_pairs(split.where("in_training"))
+    return learn.tune_threshold(learn.score_pairs(split.where("NOT in_training"), model))
+
+
+# -- constraints and clustering -------------------------------------------------------
+
+@named("valid_links")
+def _(w: Workspace) -> DataFrame:
+    return constraints.valid_links(w.constraint_edges()).select("rowid1", "rowid2", "valid")
+
+
+def _constraint_members(w: Workspace) -> DataFrame:
+    parts = cluster.connected_components(w.constraint_edges())
+    return w.constraint_nodes().join(parts, "rowid")
+
+
+@named("valid_clusters")
+def _(w: Workspace) -> DataFrame:
+    return constraints.valid_clusters(_constraint_members(w)).select("cluster_id", "valid")
+
+
+@named("unique_id_rule")
+def _(w: Workspace) -> DataFrame:
+    return constraints.valid_clusters(_constraint_members(w)).select("cluster_id", "valid_ids")
+
+
+@named("link_priority")
+def _(w: Workspace) -> DataFrame:
+    return constraints.link_priority(w.constraint_edges()).select("rowid1", "rowid2", "priority")
+
+
+@named("constrained_clusters")
+def _(w: Workspace) -> DataFrame:
+    return constraints.constrained_clusters(w.constraint_edges(), w.constraint_nodes())
+
+
+@named("partition_clusters")
+def _(w: Workspace) -> DataFrame:
+    edges = w.scored(w.candidates_one_table()).select("rowid1", "rowid2", "score")
+    return constraints.partition_clusters(edges, 0.7)
+
+
+@named("many_to_one")
+def _(w: Workspace) -> DataFrame:
+    edges = w.scored(w.candidates()).select(
+        F.col("rowid2").alias("rowid1"), F.col("rowid1").alias("rowid2"), "score")
+    return cluster.many_to_one(edges, 0.7)
+
+
+@named("split_pair")
+def _(w: Workspace) -> DataFrame:
+    pairs = w.scored(w.candidates()).select(F.array("rowid1", "rowid2").alias("pair"),
+                                            F.col("score").alias("confidence_score"))
+    return cluster.split_pair(pairs)
+
+
+@named("explode_clusters")
+def _(w: Workspace) -> DataFrame:
+    """Cluster lists as a linker returns them; the lists here are the blocks of one birth date."""
+    lists = (w.edges().groupBy(F.col("rowid1").alias("cluster_id"))
+             .agg(F.sort_array(F.collect_list("rowid2")).alias("records"))
+             .withColumn("scores", F.transform("records", lambda r: (r % 100) / F.lit(100.0))))
+    return cluster.explode_clusters(lists)
+
+
+@named("stack_clustered")
+def _(w: Workspace) -> DataFrame:
+    linked = w.linked()
+    sides = [linked.where(F.col("dataset") == r) for r in (cluster.EXPERIMENT_ROLE, cluster.ADMIN_ROLE)]
+    return cluster.stack_clustered(*sides)

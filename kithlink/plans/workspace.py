@@ -10,8 +10,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kithlink.operators import blocking, clean, cluster, profile, sampling
+from kithlink.functions.seeded import hash_mod, order_hash
+from kithlink.operators import blocking, clean, cluster, compare, constraints, em, learn, profile, sampling
 from kithlink.operators.scale import scratch_folder, staged
 from kithlink.sources import fixtures
 
@@ -22,6 +24,11 @@ EXACT_KEYS = [["last_name", "date_of_birth"], ["first_name", "middle_initial", "
 # A study that fits the smaller input tables; the defaults of the rules are the full-size study.
 SMALL_STUDY = sampling.SamplingRules(experiment_n=40, sample_sizes=(200, 600), shares_exact=(0.5, 0.25))
 
+STUDY_SEED = 3
+# Blocks of up to this many records on side A are merged, per framework.
+SMALL_BLOCK_LINKAGE = 4
+SMALL_BLOCK_DEDUPLICATION = 8
+
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -96,6 +103,63 @@ class Workspace:
     def linked(self) -> DataFrame:
         return cluster.assign_clusters(self.roles(), clusters=self.components())
 
+    # candidates ---------------------------------------------------------------
+    def profiles(self) -> DataFrame:
+        return self.once("profiles", lambda: blocking.profiles(self.roles()))
+
+    def sides(self) -> tuple[DataFrame, DataFrame]:
+        rows = self.profiles()
+        return tuple(rows.where(F.col("dataset") == r) for r in (cluster.EXPERIMENT_ROLE, cluster.ADMIN_ROLE))
+
+    def candidates(self) -> DataFrame:
+        return self.once("candidates", lambda: blocking.candidates_between(
+            *self.sides(), blocking.CANDIDATE_KEYS))
+
+    def candidates_one_table(self) -> DataFrame:
+        return self.once("candidates_one_table", lambda: blocking.candidates_within(
+            self.profiles(), blocking.CANDIDATE_KEYS))
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with a plain score: mean of the three text similarities."""
+        parts = [F.col(c) for c in ("first_name_sim", "last_name_sim", "dob_sim")]
+        return compare.compare_pairs(pairs).withColumn("score", F.round(sum(parts[1:], parts[0]) / 3, 6))
+
+    # unsupervised ---------------------------------------------------------------
+    def members(self) -> DataFrame:
+        return self.once("members", lambda: blocking.merge_small_blocks(
+            blocking.year_window_members(*self.sides()), SMALL_BLOCK_LINKAGE))
+
+    def fitted(self) -> DataFrame:
+        return self.once("fitted", lambda: em.em_link(em.pattern_counts(self.members())))
+
+    def em_matches(self) -> DataFrame:
+        return self.once("em_matches", lambda: em.em_matches(self.members(), self.fitted()))
+
+    # learning -------------------------------------------------------------------
+    def label_pool(self) -> DataFrame:
+        return self.once("label_pool", lambda: blocking.candidate_sample(self.candidates(), 1500, STUDY_SEED))
+
+    def label_log(self) -> DataFrame:
+        return self.once("label_log", lambda: learn.active_label(self.label_pool(), budget=40, batch=20))
+
+    # constraint roles -----------------------------------------------------------
+    def constraint_nodes(self) -> DataFrame:
+        """Profiles in three upper-case roles; half the admin persons are training, with known id."""
+        training = hash_mod(order_hash(STUDY_SEED, "role", F.col("sid")), 2) == 0
+        role = (F.when(F.col("dataset") == cluster.EXPERIMENT_ROLE, constraints.EXPERIMENT)
+                .when(training, constraints.TRAINING).otherwise("ADMIN_EVALUATION"))
+        return self.once("constraint_nodes", lambda: self.profiles().withColumn("dataset", role).withColumn(
+            "uid_sid", F.when(F.col("dataset") == constraints.TRAINING, F.col("sid"))))
+
+    def constraint_edges(self) -> DataFrame:
+        """Scored pairs of one table with the role of both ends, in an original order."""
+        def build() -> DataFrame:
+            rows = blocking.candidates_within(self.constraint_nodes(), blocking.CANDIDATE_KEYS)
+            return self.scored(rows).where("score >= 0.7").select(
+                "rowid1", "rowid2", F.col("dataset1").alias("dataset_1"), F.col("dataset2").alias("dataset_2"),
+                F.col("score").alias("phat"), (F.col("rowid1") * 1000003 + F.col("rowid2")).alias("original_order"))
+        return self.once("constraint_edges", build)
+
     def folder_for(self, name: str) -> str:
         """A fresh folder for the output of one sink."""
         return f"{scratch_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
