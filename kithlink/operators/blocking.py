@@ -220,17 +220,13 @@ def name_vectors(records: DataFrame) -> DataFrame:
         "terms", lambda t: F.struct(t["gram"].alias("gram"), (t["w"] / F.col("norm")).alias("w"))).alias("grams"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    """Sum over the grams of `a` (array) of both weights; `b` is a map, built once per name."""
-    return F.aggregate(a, F.lit(0.0), lambda acc, t: acc + t["w"] * F.coalesce(b[t["gram"]], F.lit(0.0)))
-
-
 def cosine_name_pairs(records: DataFrame, rules: CosineRules = CosineRules()) -> DataFrame:
     """(name1, name2, cosine) of distinct names at or above the bar, lower name first.
 
     Exact prefix filter: a name is filed only under its rarest letter pairs, up to the point
     where the weight of the rest is below the bar.  Two names that share none of those cannot
     reach the bar, so common letter pairs never have to be joined on, and none is dropped.
+    A pair that shares several is scored under the rarest only.
     """
     vectors = name_vectors(records)
     top = vectors.agg(F.max("n_name")).first()[0] or 1
@@ -239,15 +235,21 @@ def cosine_name_pairs(records: DataFrame, rules: CosineRules = CosineRules()) ->
         F.sequence(F.lit(1), F.size("grams")),
         lambda k: F.aggregate(F.slice(F.reverse("grams"), F.lit(1), k), F.lit(0.0),
                               lambda acc, t: acc + t["w"] * t["w"])))
-    filed = (vectors.withColumns({"_rest": rest, "weights": F.map_from_entries("grams")})
-             .select("name", "n_name", "grams", "weights", F.posexplode("grams").alias("_i", "_g"), "_rest")
+    filed = (vectors
+             .select("name", "n_name", F.map_from_entries("grams").alias("weights"),
+                     F.col("grams.gram").alias("terms"), rest.alias("_rest"),
+                     F.posexplode("grams.gram").alias("_i", "gram"))
              .where(F.element_at("_rest", F.col("_i") + 1) >= rules.bar ** 2 - 1e-9)
-             .select(F.col("_g.gram").alias("gram"), "name", "n_name", "grams", "weights"))
-    scored = pairs_within(filed, ["gram"], "name", ["n_name", "grams", "weights"]).select(
-        "name1", "name2", F.round(_dot(F.col("grams1"), F.col("weights2")), 9).alias("cosine"),
-        F.greatest("n_name1", "n_name2").alias("_n"))
-    needed = rules.bar + rules.common_penalty * F.col("_n") / F.lit(float(top))
-    return scored.where(F.col("cosine") >= F.round(needed, 9)).drop("_n").distinct()
+             .drop("_rest", "_i"))
+    pairs = pairs_within(filed, ["gram"], "name", ["n_name", "weights", "terms"])
+    # both lists run from rare to common, so the first shared term is the rarest
+    shared = pairs.withColumn("_shared", F.array_intersect("terms1", "terms2")) \
+                  .where(F.element_at("_shared", 1) == F.col("gram"))
+    dot = F.aggregate("_shared", F.lit(0.0),
+                      lambda acc, g: acc + F.col("weights1")[g] * F.col("weights2")[g])
+    needed = rules.bar + rules.common_penalty * F.greatest("n_name1", "n_name2") / F.lit(float(top))
+    return (shared.withColumn("cosine", F.round(dot, 9))
+            .where(F.col("cosine") >= F.round(needed, 9)).select("name1", "name2", "cosine"))
 
 
 def similar_name_candidates(records: DataFrame, names: DataFrame) -> DataFrame:

@@ -561,3 +561,215 @@ QUALIFY row_number() OVER (PARTITION BY scored.rowid2 ORDER BY score DESC, score
 query("split_pair", "SELECT rowid1, rowid2, score AS confidence_score FROM scored")
 query("explode_clusters", "SELECT rowid2 AS rowid, rowid1 AS cluster_id, (rowid2 % 100) / 100.0 AS confidence_score FROM edges")
 query("stack_clustered", "SELECT rowid, sid, dataset, date_of_birth, cluster_id FROM linked")
+
+# -- runs of the study grid -----------------------------------------------------------
+
+SPEC = "arm, ss_train, em_train, ss_eval, em_eval, framework, budget, sample_size, model_iter"
+step("grid_its", "SELECT unnest([0, 1, 2]) AS model_iter")
+step("grid_sizes", "SELECT unnest([5000, 50000]) AS ss_train")
+step("grid_frameworks", "SELECT unnest(['deduplication', 'record_linkage']) AS framework")
+step("grid", """
+SELECT *, 50 AS em_train, ss_train AS ss_eval, 50 AS em_eval,
+  arm || '/' || ss_train || '/' || framework || '/' || budget || '/' || sample_size || '/' || model_iter AS run,
+  CASE arm WHEN 'active' THEN 700 + 40 * (CASE budget WHEN 20 THEN 1 ELSE 4 END)
+                 + (CASE sample_size WHEN 150000 THEN 60 ELSE 0 END) + 7 * model_iter
+           WHEN 'supervised' THEN 960 + 5 * model_iter ELSE 880 - 9 * model_iter END AS kept
+FROM (
+  SELECT 'supervised' AS arm, ss_train, '' AS framework, 0 AS budget, 0 AS sample_size, model_iter FROM grid_sizes, grid_its
+  UNION ALL SELECT 'unsupervised', ss_train, framework, 0, 0, model_iter FROM grid_sizes, grid_its, grid_frameworks
+  UNION ALL SELECT 'active', ss_train, framework, budget, sample_size, model_iter
+  FROM grid_sizes, grid_its, grid_frameworks, (SELECT unnest([20, 200]) AS budget),
+    (SELECT unnest([1500, 15000, 150000]) AS sample_size)
+  WHERE framework = 'deduplication' OR sample_size <> 1500)""")
+step("run_rows", """
+SELECT g.run, l.rowid, l.sid, l.dataset,
+  CASE WHEN ('0x' || substr(md5('3:keep:' || g.run || ':' || l.rowid), 1, 15))::BIGINT % 1000 < g.kept THEN l.cluster_id
+       WHEN l.dataset = 'admin_evaluation' THEN -2 ELSE -1 END AS cluster_id
+FROM linked l, grid g""")
+step("run_exp", "SELECT * FROM run_rows WHERE dataset = 'experiment_evaluation'")
+step("run_adm", "SELECT * FROM run_rows WHERE dataset = 'admin_evaluation'")
+metric_steps("run_", "run_exp", "run_adm", "run")
+query("eval_summary", f"SELECT {SPEC}, {rounded(METRICS)} FROM run_summary JOIN grid USING (run)")
+step("run_log", """
+SELECT run, digest, CASE WHEN arm = 'active' THEN digest % (budget + 1) END AS labeled_1s,
+  CASE WHEN arm = 'active' THEN budget - digest % (budget + 1) END AS labeled_0s,
+  CASE WHEN arm = 'active' THEN (digest % (budget + 1)) / budget END AS labeled_base_rate,
+  CASE WHEN arm = 'active' THEN (digest % 600) / 60.0 END AS runtime_min__label,
+  CASE WHEN arm = 'active' THEN (digest % 900) / 60.0 END AS runtime_min__predict,
+  CASE WHEN arm = 'unsupervised' THEN (digest % 300) / 60.0 END AS runtime_min__block
+FROM (SELECT *, ('0x' || substr(md5('3:log:' || run), 1, 15))::BIGINT AS digest FROM grid)""")
+step("results", f"""
+SELECT {SPEC}, run, CASE WHEN framework = '' THEN arm ELSE arm || ' (' || framework || ')' END AS algorithm,
+  {rounded(METRICS)}, l.* EXCLUDE (run)
+FROM run_summary JOIN grid USING (run) JOIN run_log l USING (run)""")
+query("eval_summary_ext", f"""
+SELECT {SPEC}, {', '.join(ANY)}, labeled_1s, labeled_0s,
+  {rounded(['labeled_base_rate', 'runtime_min__label', 'runtime_min__predict', 'runtime_min__block'], 6)} FROM results""")
+step("places", """
+SELECT rowid, row_number() OVER (ORDER BY sid, rowid) - 1 AS place, count(*) OVER () AS n
+FROM linked WHERE dataset = 'experiment_evaluation'""")
+
+
+def bootstrap_steps(prefix: str, iters: int, where: str) -> None:
+    step(f"{prefix}_draws", f"""
+SELECT bs_iter, ('0x' || substr(md5((333 + bs_iter) || ':' || slot), 1, 15))::BIGINT % (SELECT max(n) FROM places) AS place
+FROM (SELECT unnest(range({iters})) AS bs_iter), (SELECT unnest(range((SELECT max(n) FROM places))) AS slot)""")
+    step(f"{prefix}_flags", f"SELECT f.run, p.place, expected, made FROM run_flags f JOIN grid USING (run) JOIN places p USING (rowid) WHERE {where}")
+    step(f"{prefix}_metrics", f"""
+SELECT run, bs_iter, avg(CAST(made AS INT)) FILTER (expected) AS tpr_any, avg(CAST(expected AS INT)) FILTER (made) AS prc_any,
+  avg(CAST(NOT made AS INT)) FILTER (NOT expected) AS tnr_any
+FROM {prefix}_draws JOIN {prefix}_flags USING (place) GROUP BY run, bs_iter""")
+    step(prefix, f"""
+SELECT {SPEC}, run, bs_iter, CASE WHEN framework = '' THEN arm ELSE arm || ' (' || framework || ')' END AS algorithm,
+  {rounded(['tpr_any', 'prc_any', 'tnr_any'])}, round((1 - tnr_any) + (1 - tpr_any), 9) AS error_any
+FROM {prefix}_metrics JOIN grid USING (run)""")
+
+
+bootstrap_steps("boot_full", 1000, "arm = 'supervised'")
+query("bootstrap_eval", f"SELECT {SPEC}, bs_iter, {', '.join(ANY)} FROM boot_full")
+bootstrap_steps("boot", 200, "true")
+query("bootstrap_eval_all_arms", f"SELECT {SPEC}, bs_iter, {', '.join(ANY)} FROM boot")
+
+# -- results and reports --------------------------------------------------------------
+
+EVAL = SPEC.removeprefix("arm, ")
+query("hms_minutes", """
+SELECT event_id, round((hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 60, 9) AS runtime FROM events""")
+query("runtime_columns", """
+SELECT user_id, round((sum(minute(ts)) * 60 + sum(floor(second(ts)))) / 60, 9) AS runtime_min,
+       round((count(*) * 3600 + sum(minute(ts)) * 60) / 60, 9) AS runtime_scoring_min FROM events GROUP BY user_id""")
+query("spec_from_path", """
+SELECT arm, tpr_any, prc_any, ss_train, em_train, budget, sample_size, framework, model_iter FROM results WHERE framework <> ''""")
+query("write_results", f"""
+SELECT r.algorithm, {', '.join('r.' + c for c in EVAL.split(', '))}, r.error_any, count(*) AS n_resamples, min(b.error_any) AS lowest
+FROM results r JOIN boot b USING (run) GROUP BY ALL""")
+query("collect_results", f"SELECT algorithm, {EVAL}, {', '.join(METRICS)}, labeled_1s FROM results")
+query("f1_scores", f"""
+SELECT algorithm, {EVAL}, round(2 * prc_any * tpr_any / nullif(prc_any + tpr_any, 0), 9) AS f1_any,
+       round(2 * prc_corr * tpr_corr / nullif(prc_corr + tpr_corr, 0), 9) AS f1_corr FROM results""")
+query("total_runtime", f"""
+SELECT algorithm, {EVAL}, round(coalesce(runtime_min__label, 0) + coalesce(runtime_min__predict, 0)
+  + coalesce(runtime_min__block, 0), 9) AS runtime_min FROM results""")
+query("first_runs", f"SELECT algorithm, {EVAL}, bs_iter, error_any FROM boot WHERE model_iter <= 1")
+query("report_input", f"SELECT 'study' AS task, ss_train AS n_admin_rows, algorithm, {EVAL}, error_any FROM results")
+_ARMS = """ WHERE sample_size IN (0, 150000) OR (algorithm = 'active (deduplication)' AND sample_size = 1500)
+  OR (algorithm = 'active (record_linkage)' AND sample_size = 15000)"""
+_INTERVENTION = """arm || CASE WHEN sample_size = 150000 THEN ' (optimized)' WHEN sample_size = 0 THEN ''
+  ELSE ' (default)' END AS intervention"""
+step("labelled_runs", f"SELECT *, {_INTERVENTION} FROM results {_ARMS}")
+query("arm_labels", f"SELECT intervention, {EVAL} FROM labelled_runs")
+
+
+def _flag(group: str, order: str) -> str:
+    return f"row_number() OVER (PARTITION BY {group} ORDER BY {order}, model_iter) = 1"
+
+
+step("figure_medians", "SELECT *, median(error_any) OVER (PARTITION BY algorithm, ss_train, budget, sample_size) AS mid FROM results")
+step("figure_runs", f"""
+SELECT * EXCLUDE (mid), {_flag('algorithm, ss_train, budget, sample_size', 'abs(error_any - mid)')} AS is_median FROM figure_medians""")
+query("median_run", f"SELECT algorithm, {EVAL}, error_any, is_median FROM figure_runs")
+_G = "intervention, ss_train, framework, budget"
+step("point_medians", f"SELECT *, median(error_any) OVER (PARTITION BY {_G}) AS mid FROM labelled_runs")
+step("points", f"""
+SELECT *, {_flag(_G, 'abs(error_any - mid)')} AS is_median, {_flag(_G, 'error_any')} AS is_best,
+  {_flag(_G, 'error_any DESC')} AS is_worst FROM point_medians""")
+query("best_worst_run", f"SELECT intervention, {EVAL}, is_best, is_worst FROM points")
+step("flags", """
+SELECT *, (is_worst AND intervention = 'active (optimized)') OR (is_best AND intervention <> 'active (optimized)')
+  AS is_worst_case_scenario FROM points""")
+query("worst_case_flag", f"SELECT intervention, {EVAL}, is_median, is_worst_case_scenario FROM flags")
+step("flagged", """
+SELECT b.*, f.intervention, f.is_median, f.is_worst_case_scenario FROM boot b JOIN flags f USING (run)""")
+query("bootstrap_flags", f"""
+SELECT intervention, {EVAL}, bs_iter, error_any, is_median, is_worst_case_scenario FROM flagged""")
+
+
+def _versus(name: str, intervention: str, keys: list[str], difference: str) -> str:
+    match = " AND ".join(f"o.{k} = c.{k}" for k in [*keys, "bs_iter"])
+    return f"""
+SELECT o.framework, o.ss_train, o.budget, '{name}' AS comparison_alg, o.model_iter AS model_iter__optimized,
+  c.model_iter AS model_iter__comparison, o.bs_iter, o.error_any AS error_any__optimized, c.error_any AS error_any__comparison,
+  {difference} AS performance_difference,
+  coalesce(o.is_median AND c.is_median, false) AS median_comparison,
+  coalesce(o.is_worst_case_scenario AND c.is_worst_case_scenario, false) AS worst_case_scenario_comparison,
+  true AS crossproduct_comparison
+FROM (SELECT * FROM flagged WHERE intervention = 'active (optimized)') o
+LEFT JOIN (SELECT * FROM flagged WHERE intervention = '{intervention}') c ON {match}"""
+
+
+step("compared", " UNION ALL ".join((
+    _versus("default_active", "active (default)", ["ss_train", "framework", "budget"], "c.error_any - o.error_any"),
+    _versus("unsupervised", "unsupervised", ["ss_train", "framework"], "c.error_any - o.error_any"),
+    _versus("supervised", "supervised", ["ss_train"], "o.error_any - c.error_any"))))
+_CK = "framework, ss_train, budget, comparison_alg, model_iter__optimized, model_iter__comparison"
+query("arm_comparison", f"SELECT {_CK}, bs_iter, error_any__optimized, error_any__comparison FROM compared")
+query("performance_difference", f"SELECT {_CK}, bs_iter, {rounded(['performance_difference'])} FROM compared")
+query("comparison_kinds", f"""
+SELECT {_CK}, bs_iter, median_comparison, worst_case_scenario_comparison, crossproduct_comparison FROM compared""")
+step("tests", f"""
+SELECT {_CK}, quantile_cont(performance_difference, 0.05) AS performance_difference_at_pctl,
+  bool_or(median_comparison) AS median_comparison, bool_or(worst_case_scenario_comparison) AS worst_case_scenario_comparison,
+  bool_or(crossproduct_comparison) AS crossproduct_comparison,
+  quantile_cont(performance_difference, 0.05) > 0 AS significantly_better
+FROM compared WHERE model_iter__comparison IS NOT NULL GROUP BY {_CK}""")
+query("significance_test", "SELECT * REPLACE (round(performance_difference_at_pctl, 6) AS performance_difference_at_pctl) FROM tests")
+step("shares", """
+SELECT framework, ss_train, budget, comparison_alg, avg(CAST(significantly_better AS INT)) AS significantly_better
+FROM tests GROUP BY ALL""")
+query("share_significant", "SELECT * REPLACE (round(significantly_better, 9) AS significantly_better) FROM shares")
+step("cells", """
+SELECT framework, comparison_alg, comparison, ss_train || '_' || budget AS col, avg(v) AS v FROM (
+  SELECT framework, comparison_alg, ss_train, budget, CAST(significantly_better AS INT) AS v, 'Median comparison' AS comparison
+  FROM tests WHERE median_comparison
+  UNION ALL SELECT framework, comparison_alg, ss_train, budget, CAST(significantly_better AS INT), 'Worst-case comparison'
+  FROM tests WHERE worst_case_scenario_comparison
+  UNION ALL SELECT framework, comparison_alg, ss_train, budget, significantly_better, 'Share of all possible comparisons' FROM shares)
+GROUP BY ALL""")
+step("texts", """
+SELECT *, CASE WHEN bool_or(v > 0 AND v < 1) OVER (PARTITION BY framework, comparison)
+  THEN CAST(CAST(round_even(v * 100, 0) AS INT) AS VARCHAR) || '%' WHEN v = 1 THEN '*' ELSE '' END AS cell FROM cells""")
+step("report", """
+SELECT framework,
+  CASE comparison_alg WHEN 'default_active' THEN 'Is the optimised active arm better than the default active arm?'
+    WHEN 'unsupervised' THEN 'Is the optimised active arm better than the unsupervised arm?'
+    ELSE 'Is the supervised arm better than the optimised active arm?' END AS question, comparison,
+  """ + ", ".join(f"max(cell) FILTER (col = '{s}_{b}') AS \"{s}_{b}\"" for s in (5000, 50000) for b in (20, 200)) + """,
+  CASE comparison_alg WHEN 'default_active' THEN 1 WHEN 'unsupervised' THEN 2 ELSE 3 END AS question_order,
+  CASE comparison WHEN 'Median comparison' THEN 1 WHEN 'Worst-case comparison' THEN 2 ELSE 3 END AS comparison_order
+FROM texts GROUP BY framework, comparison_alg, comparison""")
+query("significance_report", "SELECT * FROM report")
+query("report_sink", "SELECT * FROM report WHERE framework = 'record_linkage'")
+step("boot_f1", "SELECT *, 2 * prc_any * tpr_any / nullif(prc_any + tpr_any, 0) AS f1_any FROM boot")
+_CI = ["tpr_any", "prc_any", "tnr_any", "error_any", "f1_any"]
+step("intervals", "SELECT run, " + ", ".join(
+    f"round(quantile_cont({m}, {q}), 6) AS {m}__{side}_bound" for m in _CI
+    for side, q in (("lower", 0.025), ("upper", 0.975))) + " FROM boot_f1 GROUP BY run")
+query("confidence_intervals", f"""
+SELECT algorithm, {EVAL}, i.* EXCLUDE (run) FROM results r LEFT JOIN intervals i USING (run)""")
+query("figure_points", """
+SELECT ss_train, budget, model_iter, CASE budget WHEN 20 THEN 1 ELSE 4 END AS budget_map,
+  labeled_1s >= 10 AND labeled_0s >= 10 AS meets_label_requirements,
+  framework || CASE WHEN labeled_1s >= 10 AND labeled_0s >= 10 THEN ' True' ELSE ' False' END
+    AS framework__meets_label_requirements, error_pair, prc_corr, tpr_corr
+FROM results WHERE arm = 'active' AND ((framework = 'deduplication' AND sample_size = 1500)
+  OR (framework = 'record_linkage' AND sample_size = 15000))""")
+step("benchmarks", """
+SELECT f.*, i.error_any__lower_bound, i.error_any__upper_bound FROM figure_runs f JOIN intervals i USING (run)
+WHERE algorithm IN ('supervised', 'unsupervised (record_linkage)')""")
+_LINE = "algorithm, ss_train, model_iter, round(error_any, 6) AS error_any, error_any__lower_bound, error_any__upper_bound"
+query("benchmark_lines", f"""
+SELECT algorithm, ss_train, CAST(NULL AS INT) AS model_iter, round(avg(error_any), 6) AS error_any,
+  CAST(NULL AS DOUBLE) AS error_any__lower_bound, CAST(NULL AS DOUBLE) AS error_any__upper_bound, 'mean' AS lines
+FROM benchmarks GROUP BY algorithm, ss_train
+UNION ALL SELECT {_LINE}, 'median' FROM benchmarks WHERE is_median
+UNION ALL SELECT {_LINE}, 'first' FROM benchmarks WHERE model_iter = 0
+UNION ALL SELECT {_LINE}, 'all' FROM benchmarks""")
+query("sample_size_means", """
+SELECT budget, ss_train, 'Sample size: ' || format('{:,}', sample_size) AS specification,
+  round(avg(error_any), 9) AS error_any, round(avg(prc_any), 9) AS prc_any, round(avg(tpr_any), 9) AS tpr_any,
+  CASE budget WHEN 20 THEN 1 ELSE 4 END AS budget_map
+FROM results WHERE arm = 'active' GROUP BY budget, ss_train, sample_size""")
+query("stage_outputs", """
+SELECT stage, rowid, count(*) AS n FROM (
+  SELECT 'blocks' AS stage, rowid FROM members UNION ALL SELECT 'predicted_matches', rowid1 FROM edges
+  UNION ALL SELECT 'predicted_clusters', rowid FROM components) GROUP BY ALL""")

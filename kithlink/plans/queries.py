@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithlink.operators import (
-    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, sampling)
+    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, sampling)
 from kithlink.plans import study
-from kithlink.plans.workspace import SMALL_STUDY, STUDY_SEED, Workspace
+from kithlink.plans.workspace import METRIC, SMALL_STUDY, Workspace
 from kithlink.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -550,3 +551,250 @@ def _(w: Workspace) -> DataFrame:
     linked = w.linked()
     sides = [linked.where(F.col("dataset") == r) for r in (cluster.EXPERIMENT_ROLE, cluster.ADMIN_ROLE)]
     return cluster.stack_clustered(*sides)
+
+
+# -- evaluation of the runs -----------------------------------------------------------
+
+RUN_SPEC = ["arm", *study.EVAL_SPEC]
+
+
+@named("eval_summary")
+def _(w: Workspace) -> DataFrame:
+    return rounded(evaluate.eval_summary(w.run_rows(), RUN_SPEC), METRICS)
+
+
+@named("eval_summary_ext")
+def _(w: Workspace) -> DataFrame:
+    return w.run_results().select(*RUN_SPEC, *ANY, "labeled_1s", "labeled_0s",
+                                  *[F.round(c, 6).alias(c) for c in
+                                    ("labeled_base_rate", "runtime_min__label", "runtime_min__predict", "runtime_min__block")])
+
+
+@named("bootstrap_eval")
+def _(w: Workspace) -> DataFrame:
+    """The full number of resamples for the runs of one arm."""
+    rows = w.run_rows().where(F.col("arm") == study.SUPERVISED)
+    return rounded(evaluate.bootstrap_eval(rows, RUN_SPEC, ["ss_eval", "em_eval"], 1000), ANY)
+
+
+@named("bootstrap_eval_all_arms")
+def _(w: Workspace) -> DataFrame:
+    return w.run_bootstraps()
+
+
+# -- results and reports --------------------------------------------------------------
+
+@named("hms_minutes")
+def _(w: Workspace) -> DataFrame:
+    """Seconds of the day of every event as a duration text, and back to minutes."""
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    text = (F.when(F.col("event_id") % 5 == 0, seconds.cast("string"))
+            .otherwise(F.concat_ws(":", F.hour("ts"), F.minute("ts"), F.second("ts"))))
+    rows = w.source("events").select("event_id", text.alias("runtime"))
+    return rounded(results.hms_minutes(rows, "runtime"), ["runtime"])
+
+
+@named("runtime_columns")
+def _(w: Workspace) -> DataFrame:
+    """Nested statistics per user: total duration texts of two tasks, and a count to leave out."""
+    events = w.source("events").groupBy("user_id").agg(
+        F.sum(F.minute("ts")).alias("m"), F.sum(F.second("ts")).alias("s"), F.count("*").alias("n"))
+
+    def text(*parts) -> Column:
+        return F.concat_ws(":", *[p.cast("string") for p in parts])
+
+    stats = events.select("user_id", F.create_map(
+        F.lit("blocking"), F.create_map(F.lit("runtime__main"), text(F.lit(0), F.col("m"), F.col("s")),
+                                        F.lit("n_rows"), F.col("n").cast("string")),
+        F.lit("scoring"), F.create_map(F.lit("runtime_scoring__main"), text(F.col("n"), F.col("m"), F.lit(0)),
+                                       F.lit("n_rows"), F.col("n").cast("string"))).alias("stats"))
+    wide = results.runtime_columns(stats, ["user_id"], ["runtime__main", "runtime_scoring__main"])
+    return rounded(wide, ["runtime_min", "runtime_scoring_min"])
+
+
+@named("spec_from_path")
+def _(w: Workspace) -> DataFrame:
+    """Results written under names that spell the specification, read back with one glob."""
+    folder = w.folder_for("result_files")
+    name = F.concat(F.lit("result__sst_"), F.col("ss_train"), F.lit("__emt_"), F.col("em_train"), F.lit("__budget_"),
+                    F.col("budget"), F.lit("__sample_size_"), F.col("sample_size"), F.lit("__type_"),
+                    F.col("framework"), F.lit("__iter_"), F.col("model_iter"))
+    rows = w.run_results().where(F.col("framework") != "").select(
+        F.concat(F.lit("arm_"), F.col("arm"), F.lit("__"), name).alias("file"), "arm", "tpr_any", "prc_any")
+    rows.write.partitionBy("file").csv(folder, header=True)
+    schema = rows.drop("file").schema
+    return readers.scan_results(w.spark, f"{folder}/file=arm_*", schema)
+
+
+@named("write_results")
+def _(w: Workspace) -> DataFrame:
+    folder = w.folder_for("results_out")
+    writers.write_results(w.all_results(), w.all_bootstraps(), folder)
+    spec = ["algorithm", *study.EVAL_SPEC]
+    results_back = w.spark.read.parquet(f"{folder}/results").select(*spec, "error_any")
+    rows = w.spark.read.parquet(f"{folder}/bootstrapped_results").groupBy(*spec).agg(
+        F.count("*").alias("n_resamples"), F.min("error_any").alias("lowest"))
+    return results_back.join(rows, spec)
+
+
+@named("collect_results")
+def _(w: Workspace) -> DataFrame:
+    return results.in_order(w.all_results()).select("algorithm", *study.EVAL_SPEC, *METRICS, "labeled_1s")
+
+
+@named("f1_scores")
+def _(w: Workspace) -> DataFrame:
+    return rounded(w.all_results().select("algorithm", *study.EVAL_SPEC, "f1_any", "f1_corr"), ["f1_any", "f1_corr"])
+
+
+@named("total_runtime")
+def _(w: Workspace) -> DataFrame:
+    return rounded(w.all_results().select("algorithm", *study.EVAL_SPEC, "runtime_min"), ["runtime_min"])
+
+
+@named("first_runs")
+def _(w: Workspace) -> DataFrame:
+    return results.first_runs(w.all_bootstraps(), 2).select("algorithm", *study.EVAL_SPEC, "bs_iter", "error_any")
+
+
+@named("report_input")
+def _(w: Workspace) -> DataFrame:
+    rows = w.report_results()
+    return rows.select("task", "n_admin_rows", "algorithm", *study.EVAL_SPEC, "error_any")
+
+
+@named("arm_labels")
+def _(w: Workspace) -> DataFrame:
+    return report.arm_labels(w.report_results()).select("intervention", *study.EVAL_SPEC)
+
+
+@named("median_run")
+def _(w: Workspace) -> DataFrame:
+    return report.median_run(w.report_results(), report.FIGURE_GROUP, METRIC).select(
+        "algorithm", *study.EVAL_SPEC, METRIC, "is_median")
+
+
+@named("best_worst_run")
+def _(w: Workspace) -> DataFrame:
+    rows = report.arm_labels(w.report_results())
+    return report.best_worst_run(rows, report.POINT_GROUP, METRIC).select(
+        "intervention", *study.EVAL_SPEC, "is_best", "is_worst")
+
+
+@named("worst_case_flag")
+def _(w: Workspace) -> DataFrame:
+    return report.point_estimates(w.report_results(), METRIC).select(
+        "intervention", *study.EVAL_SPEC, "is_median", "is_worst_case_scenario")
+
+
+@named("bootstrap_flags")
+def _(w: Workspace) -> DataFrame:
+    points = report.point_estimates(w.report_results(), METRIC)
+    return report.bootstrap_flags(w.report_bootstraps(), points).select(
+        "intervention", *study.EVAL_SPEC, "bs_iter", METRIC, "is_median", "is_worst_case_scenario")
+
+
+COMPARED_KEYS = ["framework", "ss_train", "budget", "comparison_alg", "model_iter__optimized",
+                 "model_iter__comparison", "bs_iter"]
+
+
+@named("arm_comparison")
+def _(w: Workspace) -> DataFrame:
+    return w.compared().select(*COMPARED_KEYS, f"{METRIC}__optimized", f"{METRIC}__comparison")
+
+
+@named("performance_difference")
+def _(w: Workspace) -> DataFrame:
+    return rounded(w.compared().select(*COMPARED_KEYS, "performance_difference"), ["performance_difference"])
+
+
+@named("comparison_kinds")
+def _(w: Workspace) -> DataFrame:
+    return w.compared().select(*COMPARED_KEYS, "median_comparison", "worst_case_scenario_comparison",
+                               "crossproduct_comparison")
+
+
+@named("significance_test")
+def _(w: Workspace) -> DataFrame:
+    return rounded(report.significance_test(w.compared(), 0.05), ["performance_difference_at_pctl"], 6)
+
+
+@named("share_significant")
+def _(w: Workspace) -> DataFrame:
+    return rounded(report.share_significant(w.tests()), ["significantly_better"])
+
+
+def _report(w: Workspace) -> DataFrame:
+    columns = [(s, b) for s in study.SMALL_GRID.sizes for b in study.SMALL_GRID.budgets]
+    return report.significance_report(w.tests(), columns)
+
+
+@named("significance_report")
+def _(w: Workspace) -> DataFrame:
+    return _report(w)
+
+
+@named("report_sink")
+def _(w: Workspace) -> DataFrame:
+    folder = w.folder_for("report")
+    writers.write_report(_report(w), folder)
+    return w.spark.read.parquet(folder).where(F.col("framework") == study.LINKAGE)
+
+
+@named("confidence_intervals")
+def _(w: Workspace) -> DataFrame:
+    rows = report.confidence_intervals(w.report_results(), w.report_bootstraps())
+    bounds = [f"{m}__{side}_bound" for m in report.CI_METRICS for side in ("lower", "upper")]
+    return rounded(rows.select("algorithm", *study.EVAL_SPEC, *bounds), bounds, 6)
+
+
+@named("figure_points")
+def _(w: Workspace) -> DataFrame:
+    shown = report.figure_subset(w.report_results(), defaults=True)
+    return report.figure_points(shown, ["error", "prc", "tpr"], "corr")
+
+
+@named("benchmark_lines")
+def _(w: Workspace) -> DataFrame:
+    rows = w.figure_results()
+    parts = []
+    for lines in ("mean", "median", "first", "all"):
+        part = report.benchmark_lines(rows, METRIC, lines, study.LINKAGE, None if lines == "mean" else "all")
+        for c, kind in (("model_iter", "int"), (f"{METRIC}__lower_bound", "double"), (f"{METRIC}__upper_bound", "double")):
+            if c not in part.columns:
+                part = part.withColumn(c, F.lit(None).cast(kind))
+        parts.append(part.withColumn("lines", F.lit(lines)))
+    out = reduce(DataFrame.unionByName, parts)
+    return rounded(out, [METRIC, f"{METRIC}__lower_bound", f"{METRIC}__upper_bound"], 6)
+
+
+@named("sample_size_means")
+def _(w: Workspace) -> DataFrame:
+    means = report.sample_size_means(w.report_results(), ["error", "prc", "tpr"], "any")
+    return rounded(means, ["error_any", "prc_any", "tpr_any"])
+
+
+@named("stage_outputs")
+def _(w: Workspace) -> DataFrame:
+    """Block members, predicted matches and clusters as they land on disk."""
+    folder = w.folder_for("stages")
+    stages = {"blocks": w.members().select("rowid"), "predicted_matches": w.edges().select(F.col("rowid1").alias("rowid")),
+              "predicted_clusters": w.components().select("rowid")}
+    for name, df in stages.items():
+        writers.write_stage(df, folder, name)
+    back = [w.spark.read.parquet(f"{folder}/{name}").withColumn("stage", F.lit(name)) for name in stages]
+    return reduce(DataFrame.unionByName, back).groupBy("stage", "rowid").agg(F.count("*").alias("n"))
+
+
+@named("run_ledger")
+def _(w: Workspace) -> DataFrame:
+    """Minutes of three stages, and one run that fails."""
+    folder = w.folder_for("ledger")
+
+    def fail() -> None:
+        cluster.assign_clusters(w.roles())
+
+    for stage, action in (("block", lambda: w.members().count()), ("link", lambda: w.edges().count()),
+                          ("evaluate", lambda: evaluate.eval_summary(w.linked(), []).count()), ("cluster", fail)):
+        writers.timed(w.spark, folder, stage, "exact keys", action)
+    return writers.scan_ledger(w.spark, folder).select("stage", "spec", "minutes", "failed", "message")

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithlink.functions.seeded import hash_mod, order_hash
-from kithlink.operators import blocking, clean, cluster, compare, constraints, em, learn, profile, sampling
+from kithlink.operators import (
+    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, sampling)
 from kithlink.operators.scale import scratch_folder, staged
+from kithlink.plans import study
 from kithlink.sources import fixtures
 
 # Two ways to agree exactly: same last name and birth date, or same first name, middle
@@ -25,6 +27,8 @@ EXACT_KEYS = [["last_name", "date_of_birth"], ["first_name", "middle_initial", "
 SMALL_STUDY = sampling.SamplingRules(experiment_n=40, sample_sizes=(200, 600), shares_exact=(0.5, 0.25))
 
 STUDY_SEED = 3
+METRIC = "error_any"
+REPORT_RESAMPLES = 200
 # Blocks of up to this many records on side A are merged, per framework.
 SMALL_BLOCK_LINKAGE = 4
 SMALL_BLOCK_DEDUPLICATION = 8
@@ -160,6 +164,58 @@ class Workspace:
                 F.col("score").alias("phat"), (F.col("rowid1") * 1000003 + F.col("rowid2")).alias("original_order"))
         return self.once("constraint_edges", build)
 
+    # runs of the study grid -----------------------------------------------------
+    def grid(self) -> DataFrame:
+        return study.run_grid(self.spark, study.SMALL_GRID)
+
+    def run_rows(self) -> DataFrame:
+        return self.once("run_rows", lambda: study.run_clusters(self.linked(), self.grid()))
+
+    def run_results(self) -> DataFrame:
+        """One result row per run; the metrics are cut to nine places so that ties are ties."""
+        def build() -> DataFrame:
+            spec = ["arm", *study.EVAL_SPEC]
+            summary = evaluate.eval_summary(self.run_rows(), spec)
+            summary = summary.withColumns({c: F.round(c, 9) for c in summary.columns if c not in spec})
+            return evaluate.attach_run_columns(summary, study.run_columns(self.grid()), spec)
+        return self.once("run_results", build)
+
+    def run_bootstraps(self) -> DataFrame:
+        def build() -> DataFrame:
+            rows = evaluate.bootstrap_eval(self.run_rows(), ["arm", *study.EVAL_SPEC], ["ss_eval", "em_eval"],
+                                           REPORT_RESAMPLES)
+            return rows.withColumns({c: F.round(c, 9) for c in ("tpr_any", "prc_any", "tnr_any", "error_any")})
+        return self.once("run_bootstraps", build)
+
+    def _collected(self, rows: DataFrame) -> DataFrame:
+        return results.collect_results({arm: rows.where(F.col("arm") == arm).drop("arm") for arm in
+                                        (study.ACTIVE, study.SUPERVISED, study.UNSUPERVISED)})
+
+    def all_results(self) -> DataFrame:
+        return self._collected(self.run_results()).transform(results.f1_scores).transform(results.total_runtime)
+
+    def all_bootstraps(self) -> DataFrame:
+        return self._collected(self.run_bootstraps()).transform(results.f1_scores, ("any",))
+
+    def report_results(self) -> DataFrame:
+        return report.report_input(results.first_runs(self.all_results(), 5), "study")
+
+    def report_bootstraps(self) -> DataFrame:
+        return report.report_input(results.first_runs(self.all_bootstraps(), 5), "study")
+
+    def compared(self) -> DataFrame:
+        points = report.point_estimates(self.report_results(), METRIC)
+        flagged = report.bootstrap_flags(self.report_bootstraps(), points)
+        return report.compared_arms(flagged, METRIC)
+
+    def tests(self) -> DataFrame:
+        return self.once("tests", lambda: report.significance_test(self.compared(), 0.05))
+
+    def figure_results(self) -> DataFrame:
+        rows = report.median_run(self.report_results(), report.FIGURE_GROUP, METRIC)
+        report.check_runs_per_group(rows, report.FIGURE_GROUP)
+        return report.confidence_intervals(rows, self.report_bootstraps())
+
     def folder_for(self, name: str) -> str:
         """A fresh folder for the output of one sink."""
         return f"{scratch_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
