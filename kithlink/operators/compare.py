@@ -134,20 +134,22 @@ class AgreementRules:
 AGREEMENTS = ["g_first", "g_last", "g_dob", "g_mi", "g_race", "g_sex", "g_month", "g_day"]
 
 
+def graded(a: Column, b: Column, rules: AgreementRules) -> Column:
+    """Level of two texts by Jaro-Winkler; NULL when a side is missing."""
+    s = jaro_winkler(a, b)
+    return F.when(s >= rules.full, 2).when(s >= rules.partial, 1).when(s.isNotNull(), 0)
+
+
 def agreement_levels(pairs: DataFrame, rules: AgreementRules = AgreementRules()) -> DataFrame:
     """2 full, 1 partial, 0 none, NULL missing; names and birth date have the partial level."""
-    def graded(a: Column, b: Column) -> Column:
-        s = jaro_winkler(a, b)
-        return F.when(s >= rules.full, 2).when(s >= rules.partial, 1).when(s.isNotNull(), 0)
-
     def equal(a: Column, b: Column) -> Column:
         return F.when(a == b, 2).when(a != b, 0)
 
     birth = [F.col("date_of_birth1"), F.col("date_of_birth2")]
     return pairs.withColumns({
-        "g_first": graded(F.col("first_name1"), F.col("first_name2")),
-        "g_last": graded(F.col("last_name1"), F.col("last_name2")),
-        "g_dob": graded(*[b.cast("string") for b in birth]),
+        "g_first": graded(F.col("first_name1"), F.col("first_name2"), rules),
+        "g_last": graded(F.col("last_name1"), F.col("last_name2"), rules),
+        "g_dob": graded(*[b.cast("string") for b in birth], rules),
         "g_mi": equal(F.col("middle_initial1"), F.col("middle_initial2")),
         "g_race": equal(F.col("race1"), F.col("race2")),
         "g_sex": equal(F.col("sex1"), F.col("sex2")),

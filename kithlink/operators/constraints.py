@@ -5,6 +5,8 @@ Roles are upper case here: EXPERIMENT, ADMIN_TRAINING, ADMIN_EVALUATION.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,8 +67,19 @@ def link_priority(edges: DataFrame) -> DataFrame:
 
 # -- greedy clustering in priority order ----------------------------------------------
 
+def _in_buckets(rows: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], task_edges: int) -> DataFrame:
+    """Solve whole components, many per task: buckets of about `task_edges` edges.
+
+    No component here has more than `task_edges` edges, and components do not touch, so a bucket
+    is solved as one graph.
+    """
+    buckets = max(1, -(-rows.count() // task_edges), rows.sparkSession.sparkContext.defaultParallelism)
+    return (rows.withColumn("_bucket", F.pmod(F.xxhash64("_comp"), F.lit(buckets)))
+            .groupBy("_bucket").applyInPandas(solve, "rowid long, cluster_id long"))
+
+
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bounded component: take edges by priority, merge when the result is valid."""
+    """Bounded components: take edges by priority, merge when the result is valid."""
     rows = rows.sort_values("priority")
     parent: dict[int, int] = {}
     state: dict[int, tuple] = {}
@@ -192,8 +205,7 @@ def constrained_clusters(edges: DataFrame, nodes: DataFrame, task_edges: int = T
     fine = parts.join(kinds.where("_fine"), "_comp", "left_semi").select("rowid", F.col("_comp").alias("cluster_id"))
     hard = marked.where("NOT _fine")
     small = _with_states(hard.where(F.col("_edges") <= task_edges), states, "rowid")
-    solved = small.groupBy("_comp").applyInPandas(_greedy, "rowid long, cluster_id long")
-    out = fine.unionByName(solved)
+    out = fine.unionByName(_in_buckets(small, _greedy, task_edges))
     large = hard.where(F.col("_edges") > task_edges)
     if not large.isEmpty():
         ends = large.select(F.col("rowid1").alias("rowid")).unionByName(
@@ -205,7 +217,7 @@ def constrained_clusters(edges: DataFrame, nodes: DataFrame, task_edges: int = T
 # -- score-threshold clustering -------------------------------------------------------
 
 def _average_linkage(rows: pd.DataFrame, cut: float) -> pd.DataFrame:
-    """One bounded component: merge clusters that are each other's nearest until none reach the cut."""
+    """Bounded components: merge clusters that are each other's nearest until none reach the cut."""
     label = {x: x for x in pd.unique(rows[["rowid1", "rowid2"]].to_numpy().ravel())}
     size = dict.fromkeys(label, 1)
     links = {(min(a, b), max(a, b)): s for a, b, s in rows[["rowid1", "rowid2", "score"]].itertuples(index=False)}
@@ -279,8 +291,7 @@ def partition_clusters(edges: DataFrame, cut: float = 0.5, task_edges: int = TAS
     sized = staged(lookup(inside, sizes, ["_comp"], F.xxhash64("rowid1", "rowid2"), how="inner",
                           rows_col="_edges"), "sized")
     small = sized.where(F.col("_edges") <= task_edges)
-    out = small.groupBy("_comp").applyInPandas(lambda rows: _average_linkage(rows, cut),
-                                               "rowid long, cluster_id long")
+    out = _in_buckets(small, lambda rows: _average_linkage(rows, cut), task_edges)
     large = sized.where(F.col("_edges") > task_edges)
     if not large.isEmpty():
         out = out.unionByName(_linkage_by_joins(large, cut))

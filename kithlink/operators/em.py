@@ -1,8 +1,8 @@
 """Unsupervised match model: Fellegi-Sunter mixture fitted by EM per block.
 
 A block enters as the counts of its agreement patterns, at most a few thousand rows however
-many pairs it has.  Pairs that share no candidate key are counted by subtraction and enter as
-one pattern that is known to disagree on last name and birth date.
+many pairs it has.  Only pairs that share a candidate key are compared.  The others are taken as
+non-matches; how often they agree on each field follows from value counts, by subtraction.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithlink.operators.blocking import candidates_between
-from kithlink.operators.compare import AGREEMENTS, AgreementRules, agreement_levels
-from kithlink.operators.scale import broadcast_up_to, lookup
+from kithlink.operators.compare import AGREEMENTS, AgreementRules, agreement_levels, graded
+from kithlink.operators.scale import broadcast_up_to, lookup, pairs_between, staged
 
 # Candidate keys inside a block.
 BLOCK_KEYS = [["last_name"], ["first_name", "middle_initial"], ["date_of_birth"]]
@@ -42,6 +42,7 @@ def pattern_counts(members: DataFrame, rules: AgreementRules = AgreementRules())
     """(block, agreement levels, n_pairs) over all pairs of each block, copies counted.
 
     Compared pairs are graded and counted in the stage that makes them; they are not shuffled.
+    Pairs that share no candidate key are counted by subtraction, as one pattern.
     """
     graded = agreement_levels(block_pairs(members), rules)
     compared = graded.groupBy("block", *AGREEMENTS).agg(F.sum(F.col("copies1") * F.col("copies2")).alias("n_pairs"))
@@ -59,55 +60,118 @@ def pattern_counts(members: DataFrame, rules: AgreementRules = AgreementRules())
             .groupBy("block", *AGREEMENTS).agg(F.sum("n_pairs").alias("n_pairs")))
 
 
-def fit_mixture(levels: np.ndarray, counts: np.ndarray, rules: EmRules) -> tuple[np.ndarray, dict]:
-    """Posterior match probability of each pattern; `levels` has NaN where a field is missing."""
-    n_levels = 3
-    hot = np.stack([levels == v for v in range(n_levels)], axis=2).astype(float)  # pattern, field, level
-    weight = counts / counts.sum()
-    # start: matches mostly agree, non-matches agree as often as all pairs do
-    seen = hot.sum(axis=2)
-    u = np.einsum("p,pfl->fl", weight, hot) + rules.floor
+def field_totals(members: DataFrame, rules: AgreementRules = AgreementRules()) -> DataFrame:
+    """(block, field, n_full, n_partial, n_known): how all pairs of a block agree on each field.
+
+    Sums of products of value counts; no pair of records is made.  Texts count as agreeing when
+    they are equal.  Birth dates of one year are all alike as texts, so their levels are taken
+    over pairs of distinct dates, of which a block has no more than its calendar has days.
+    """
+    birth = F.col("date_of_birth")
+    fields = {"g_first": F.col("first_name"), "g_last": F.col("last_name"), "g_dob": birth.cast("string"),
+              "g_mi": F.col("middle_initial"), "g_race": F.col("race"), "g_sex": F.col("sex"),
+              "g_month": F.month(birth).cast("string"), "g_day": F.dayofmonth(birth).cast("string")}
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()]))
+    counts = (members.select("block", "side", "copies", values.alias("_v"))
+              .where("_v.value IS NOT NULL")
+              .groupBy("block", F.col("_v.field").alias("field"), F.col("_v.value").alias("value"))
+              .agg(F.sum(F.when(F.col("side") == "A", F.col("copies")).otherwise(0)).alias("a"),
+                   F.sum(F.when(F.col("side") == "B", F.col("copies")).otherwise(0)).alias("b")))
+    counts = staged(counts, "values")
+    totals = counts.groupBy("block", "field").agg(
+        F.sum(F.col("a") * F.col("b")).alias("n_equal"), (F.sum("a") * F.sum("b")).alias("n_known"))
+    dates = counts.where("field = 'g_dob'")
+    pairs = pairs_between(dates.where("a > 0").select("block", F.col("value").alias("v1"), "a"),
+                          dates.where("b > 0").select("block", F.col("value").alias("v2"), "b"), ["block"], "v1")
+    level = graded(F.col("v1"), F.col("v2"), rules)
+    n = F.col("a") * F.col("b")
+    graded_dates = (pairs.withColumn("_level", level).groupBy("block")
+                    .agg(F.sum(F.when(F.col("_level") == 2, n).otherwise(0)).alias("n_full"),
+                         F.sum(F.when(F.col("_level") == 1, n).otherwise(0)).alias("n_partial"),
+                         F.sum(n).alias("n_known"))
+                    .select("block", F.lit("g_dob").alias("field"), "n_full", "n_partial", "n_known"))
+    plain = totals.where("field <> 'g_dob' AND n_known > 0").select(
+        "block", "field", F.col("n_equal").alias("n_full"), F.lit(0).cast("bigint").alias("n_partial"), "n_known")
+    return plain.unionByName(graded_dates)
+
+
+def fit_mixture(levels: np.ndarray, counts: np.ndarray, rest_levels: np.ndarray, rest: float,
+                rules: EmRules) -> tuple[np.ndarray, dict]:
+    """Posterior match probability of each pattern; `levels` has NaN where a field is missing.
+
+    `rest` pairs share no candidate key and are non-matches by definition; `rest_levels`
+    (field x level) says how they agree, which is all the update of u needs of them.
+    """
+    hot = np.stack([levels == v for v in range(3)], axis=2).astype(float)  # pattern, field, level
+    total = counts.sum() + rest
+    # start: matches mostly agree, non-matches agree as often as all pairs of the block do
+    u = np.einsum("p,pfl->fl", counts, hot) + rest_levels + rules.floor
     u /= u.sum(axis=1, keepdims=True)
     m = np.tile([0.05, 0.1, 0.85], (levels.shape[1], 1))
-    share, rounds, change = rules.first_match_share, 0, np.inf
+    share, rounds, change = min(rules.first_match_share, 0.5 * counts.sum() / total), 0, np.inf
     posterior = np.zeros(len(counts))
     while rounds < rules.max_rounds and change > rules.tolerance:
         log_m = np.einsum("pfl,fl->p", hot, np.log(m)) + np.log(share)
         log_u = np.einsum("pfl,fl->p", hot, np.log(u)) + np.log1p(-share)
         posterior = 1 / (1 + np.exp(np.clip(log_u - log_m, -500, 500)))
-        new_share = float(np.clip((weight * posterior).sum(), rules.floor, 1 - rules.floor))
-        estimates = []
-        for p in (posterior, 1 - posterior):
-            sums = np.einsum("p,pfl->fl", weight * p, hot) + rules.floor
-            estimates.append(sums / sums.sum(axis=1, keepdims=True))
-        change = max(abs(new_share - share), np.abs(estimates[0] - m).max(), np.abs(estimates[1] - u).max())
-        share, (m, u), rounds = new_share, estimates, rounds + 1
-    return posterior, {"share": share, "m": m, "u": u, "rounds": rounds,
-                       "converged": bool(change <= rules.tolerance), "fields_seen": seen}
+        new_share = float(np.clip((counts * posterior).sum() / total, rules.floor, 1 - rules.floor))
+        new_m = np.einsum("p,pfl->fl", counts * posterior, hot) + rules.floor
+        new_u = np.einsum("p,pfl->fl", counts * (1 - posterior), hot) + rest_levels + rules.floor
+        new_m /= new_m.sum(axis=1, keepdims=True)
+        new_u /= new_u.sum(axis=1, keepdims=True)
+        change = max(abs(new_share - share), np.abs(new_m - m).max(), np.abs(new_u - u).max())
+        share, m, u, rounds = new_share, new_m, new_u, rounds + 1
+    return posterior, {"share": share, "m": m, "u": u, "rounds": rounds, "converged": bool(change <= rules.tolerance)}
 
 
 EM_SCHEMA = ("block string, " + ", ".join(f"{g} int" for g in AGREEMENTS)
              + ", n_pairs long, posterior double, match_share double, rounds int, converged boolean, error string")
 
 
-def em_link(counts: DataFrame, rules: EmRules = EmRules()) -> DataFrame:
-    """Posterior per (block, pattern); a block that cannot be fitted keeps its reason and no posterior."""
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+def _rest_levels(levels: np.ndarray, counts: np.ndarray, totals: pd.DataFrame) -> np.ndarray:
+    """Agreement of the pairs without a candidate key: block totals less the compared pairs."""
+    known = totals.set_index("field")
+    out = np.zeros((len(AGREEMENTS), 3))
+    for i, g in enumerate(AGREEMENTS):
+        if g in known.index:
+            full = max(0.0, known.loc[g, "n_full"] - counts[levels[:, i] == 2].sum())
+            partial = max(0.0, known.loc[g, "n_partial"] - counts[levels[:, i] == 1].sum())
+            both = known.loc[g, "n_known"] - counts[~np.isnan(levels[:, i])].sum()
+            out[i] = [max(0.0, both - full - partial), partial, full]
+    return out
+
+
+def em_link(counts: DataFrame, totals: DataFrame, rules: EmRules = EmRules()) -> DataFrame:
+    """Posterior per (block, pattern) from `pattern_counts` and `field_totals` of the same members.
+
+    The pattern of pairs without a candidate key gets 0.  A block that cannot be fitted keeps
+    its reason and no posterior.
+    """
+    def fit(rows: pd.DataFrame, fields: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:  # a block with one side only has no pairs
+            return pd.DataFrame({c.split()[0]: [] for c in EM_SCHEMA.split(", ")}, dtype=object)
         rows = rows.sort_values(AGREEMENTS).reset_index(drop=True)
-        out = rows.assign(posterior=None, match_share=None, rounds=0, converged=False, error=None)
+        out = rows.assign(posterior=0.0, match_share=None, rounds=0, converged=False, error=None)
+        unshared = (rows["g_last"] == 0) & (rows["g_dob"] == 0) & rows["g_first"].isna()
+        compared = ~unshared.to_numpy()
         try:
-            posterior, info = fit_mixture(rows[AGREEMENTS].to_numpy(dtype=float),
-                                          rows["n_pairs"].to_numpy(dtype=float), rules)
-            out["posterior"], out["match_share"] = posterior, info["share"]
-            out["rounds"], out["converged"] = info["rounds"], info["converged"]
+            levels = rows.loc[compared, AGREEMENTS].to_numpy(dtype=float)
+            n = rows.loc[compared, "n_pairs"].to_numpy(dtype=float)
+            if len(n):
+                posterior, info = fit_mixture(levels, n, _rest_levels(levels, n, fields),
+                                              float(rows.loc[~compared, "n_pairs"].sum()), rules)
+                out.loc[compared, "posterior"] = posterior
+                out["match_share"], out["rounds"] = info["share"], info["rounds"]
+                out["converged"] = info["converged"]
         except Exception as e:  # one bad block must not end the run; the reason is kept
-            out["error"] = f"{type(e).__name__}: {e}"
+            out["posterior"], out["error"] = None, f"{type(e).__name__}: {e}"
         for g in AGREEMENTS:
-            out[g] = out[g].astype("Int32")
+            out[g] = pd.Series([None if pd.isna(v) else int(v) for v in out[g]], dtype=object)
         return out
 
     # a block has at most 4^3 * 3^5 patterns
-    return counts.groupBy("block").applyInPandas(fit, EM_SCHEMA)
+    named = totals.withColumnRenamed("block", "_totals_of")
+    return counts.groupBy("block").cogroup(named.groupBy("_totals_of")).applyInPandas(fit, EM_SCHEMA)
 
 
 def em_matches(members: DataFrame, fitted: DataFrame, rules: EmRules = EmRules(),

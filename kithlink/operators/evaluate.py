@@ -7,6 +7,8 @@ sum over those cells.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,8 @@ from kithlink.operators.scale import dense_number, lookup, staged
 # Fixed value: first seed of the bootstrap; draw i uses this plus i.
 BOOTSTRAP_SEED = 333
 SLOTS_PER_ROW = 4096
+DRAWS_PER_TASK = 4_000_000
+PATTERNS_PER_BUCKET = 2_000
 
 
 def _person_facts(df: DataFrame, spec: list[str]) -> DataFrame:
@@ -118,10 +122,16 @@ def experiment_outcomes(df: DataFrame, spec: list[str]) -> DataFrame:
 
 
 def _draws(sizes: DataFrame, data: list[str], iters: int, seed: int) -> DataFrame:
-    """(data set, bs_iter, slot rank): n draws with replacement out of 0..n-1 per iteration."""
+    """(data set, bs_iter, slot rank): n draws with replacement out of 0..n-1 per iteration.
+
+    The chunks are few small rows that each expand to thousands of draws, so the number of
+    partitions follows the draws and not the size of the rows that are shuffled.
+    """
+    total = (sizes.agg(F.sum("n")).first()[0] or 0) * iters
+    partitions = max(sizes.sparkSession.sparkContext.defaultParallelism, -(-total // DRAWS_PER_TASK))
     chunks = (sizes.withColumn("bs_iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
               .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SLOTS_PER_ROW))))
-              .repartition("bs_iter", "chunk"))
+              .repartition(partitions, "bs_iter", "chunk"))
     first = F.col("chunk") * SLOTS_PER_ROW
     last = F.least(first + SLOTS_PER_ROW, F.col("n")) - 1
     slots = chunks.withColumn("slot", F.explode(F.sequence(first, last)))
@@ -130,6 +140,36 @@ def _draws(sizes: DataFrame, data: list[str], iters: int, seed: int) -> DataFram
     return slots.select(*data, "bs_iter", hash_mod(digest, F.col("n")).alias("place"))
 
 
+def _count_outcomes(drawn: DataFrame, patterns: DataFrame, data: list[str]) -> DataFrame:
+    """(_run, bs_iter, n0..n3): draws per run and outcome code.
+
+    Draw counts (iterations x patterns) times outcome indicators (patterns x runs) is a matrix
+    product; it is cut along the patterns into buckets of bounded size and the parts are summed.
+    """
+    buckets = max(1, -(-patterns.count() // PATTERNS_PER_BUCKET))
+    bucket = F.pmod(F.xxhash64(*data, "_pattern"), F.lit(buckets))
+    keys = [*data, "_bucket"]
+
+    def product(draws: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if draws.empty:
+            return pd.DataFrame({c: [] for c in ("_run", "bs_iter", "n0", "n1", "n2", "n3")})
+        place = pd.Series(np.arange(len(known)), index=known["_pattern"])
+        iters, row = np.unique(draws["bs_iter"].to_numpy(), return_inverse=True)
+        weights = np.zeros((len(iters), len(known)))
+        np.add.at(weights, (row, place[draws["_pattern"]].to_numpy()), draws["_n"].to_numpy())
+        runs = np.array([c["_run"] for c in known["_codes"].iloc[0]])
+        codes = np.array([[c["code"] for c in pattern] for pattern in known["_codes"]])
+        out = {"_run": np.tile(runs, len(iters)), "bs_iter": np.repeat(iters, len(runs))}
+        for c in range(4):
+            out[f"n{c}"] = (weights @ (codes == c)).astype(np.int64).ravel()
+        return pd.DataFrame(out)
+
+    parts = (drawn.withColumn("_bucket", bucket).groupBy(*keys)
+             .cogroup(patterns.withColumn("_bucket", bucket).groupBy(*keys))
+             .applyInPandas(product, "_run int, bs_iter int, n0 long, n1 long, n2 long, n3 long"))
+    return parts.groupBy("_run", "bs_iter").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(4)])
+
+
 def bootstrap_eval(df: DataFrame, spec: list[str], data: list[str], iters: int = 1000,
                    seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Any-link metrics of `iters` resamples of the experiment records, per specification.
@@ -140,28 +180,25 @@ def bootstrap_eval(df: DataFrame, spec: list[str], data: list[str], iters: int =
     """
     outcomes = staged(experiment_outcomes(df, spec), "outcomes")
     records = dense_number(outcomes.select(*data, "sid", "rowid").distinct(), [*data, "sid", "rowid"], "_number")
-    sizes = records.groupBy(*data).agg(F.min("_number").alias("_first"), F.count("*").alias("n"))
     # one row per evaluated data set
+    sizes = staged(records.groupBy(*data).agg(F.min("_number").alias("_first"), F.count("*").alias("n")), "sizes")
     places = records.join(F.broadcast(sizes.select(*data, "_first")), data) \
         .select(*data, "rowid", (F.col("_number") - F.col("_first")).alias("place"))
     # one row per run of the study grid
     runs = (outcomes.select(*spec).distinct()
             .withColumn("_run", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*spec))))
     code = F.col("in_admin").cast("int") * 2 + F.col("pred_in_admin").cast("int")
-    by_record = (outcomes.join(F.broadcast(runs), spec)
+    by_record = staged(outcomes.join(F.broadcast(runs), spec)
                  .groupBy(*data, "rowid")
                  .agg(F.sort_array(F.collect_list(F.struct("_run", code.alias("code")))).alias("_codes"))
-                 .withColumn("_pattern", F.md5(F.to_json("_codes").cast("binary"))))
+                 .withColumn("_pattern", F.md5(F.to_json("_codes").cast("binary"))), "patterns")
     patterns = by_record.groupBy(*data, "_pattern").agg(F.first("_codes").alias("_codes"))
-    drawn = (_draws(sizes.select(*data, "n"), data, iters, seed)
-             .join(places.join(by_record.select(*data, "rowid", "_pattern"), [*data, "rowid"])
-                   .select(*data, "place", "_pattern"), [*data, "place"])
+    # written, so that its true size decides whether the draws have to be shuffled at all
+    placed = staged(places.join(by_record.select(*data, "rowid", "_pattern"), [*data, "rowid"])
+                    .select(*data, "place", "_pattern"), "places")
+    drawn = (_draws(sizes.select(*data, "n"), data, iters, seed).join(placed, [*data, "place"])
              .groupBy(*data, "bs_iter", "_pattern").agg(F.count("*").alias("_n")))
-    codes = F.col("_hit.code")
-    counted = (drawn.join(patterns, [*data, "_pattern"])
-               .select("bs_iter", "_n", F.explode("_codes").alias("_hit"))
-               .groupBy(F.col("_hit._run").alias("_run"), "bs_iter")
-               .agg(*[_total(F.col("_n"), codes == c).alias(f"n{c}") for c in range(4)]))
+    counted = _count_outcomes(drawn, patterns, data)
     n00, n01, n10, n11 = (F.col(f"n{c}") for c in range(4))
     return (counted.select("_run", "bs_iter", ratio(n11, n10 + n11).alias("tpr_any"),
                            ratio(n11, n01 + n11).alias("prc_any"), ratio(n00, n00 + n01).alias("tnr_any"))

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kithlink.operators.profile import cluster_size_dist, entity_class, stat_columns, with_entity_class
+from kithlink.functions.seeded import order_hash
+from kithlink.operators.profile import (
+    cluster_size_cutoff, cluster_size_dist, collapse_mixed, entity_class, stat_columns, with_entity_class)
 from kithlink.operators.scale import lookup, seeded_rank, staged
 
 SIDES = ("training", "evaluation")
@@ -76,21 +78,18 @@ def truncate_clusters(df: DataFrame, limit: int, bins: int, seed: int) -> DataFr
     targets = (seeded_rank(oversize.withColumn("_all", F.lit(0)), ["_all"], "sid", seed, "bin", "_turn")
                .select("sid", target.alias("_target"), F.col("_size").alias("_rows")))
     # the literal limit lets each map task drop the tail of a huge cluster before the shuffle
-    place = Window.partitionBy("sid").orderBy("_digest", "rowid")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("keep"), F.col("rowid").cast("string")).cast("binary"))
-    marked = lookup(df, targets, ["sid"], F.col("rowid"), rows_col="_rows")
-    small = marked.where(F.col("_target").isNull())
-    large = (marked.where(F.col("_target").isNotNull()).withColumn("_digest", digest)
-             .withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= limit)
-             .where(F.col("_place") <= F.col("_target")))
-    return small.unionByName(large.drop("_digest", "_place")).select(*df.columns)
+    digest = order_hash(seed, "keep", F.col("rowid"))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("_digest", "rowid"))
+    return (lookup(df.withColumn("_digest", digest), targets, ["sid"], F.col("rowid"), rows_col="_rows")
+            .withColumn("_place", place).where(F.col("_place") <= limit)
+            .where(F.col("_target").isNull() | (F.col("_place") <= F.col("_target")))
+            .select(*df.columns))
 
 
 def size_limit(different: DataFrame, rules: SamplingRules) -> int | None:
     """The fixed cap, the largest size below the percentile, or no limit."""
     if rules.max_cluster_size is not None or rules.max_cluster_share is None:
         return rules.max_cluster_size
-    from kithlink.operators.profile import cluster_size_cutoff
     return cluster_size_cutoff(different, rules.max_cluster_share).first()[0]
 
 
@@ -109,11 +108,13 @@ def size_policy(exact: DataFrame, different: DataFrame, rules: SamplingRules) ->
 
 def sampling_pool(profiled: DataFrame, rules: SamplingRules) -> DataFrame:
     """Singles, exact clusters and all-different clusters (mixed ones collapsed), sizes limited."""
-    from kithlink.operators.profile import collapse_mixed
     kind = entity_class()
-    different = profiled.where(kind == "different").unionByName(collapse_mixed(profiled))
-    exact, different = size_policy(profiled.where(kind == "exact"), different, rules)
-    return stat_columns(profiled.where(kind == "singleton").unionByName(exact).unionByName(different))
+    collapsed = staged(collapse_mixed(profiled), "collapsed")
+    exact, different = size_policy(profiled.where(kind == "exact"),
+                                   profiled.where(kind == "different").unionByName(collapsed), rules)
+    rows = profiled.where(kind == "singleton").unionByName(exact).unionByName(different)
+    # the statistics read the pool rows several times: write them once
+    return stat_columns(staged(rows, "pool_rows"))
 
 
 # -- split ----------------------------------------------------------------------------
@@ -259,7 +260,7 @@ def eligible_singletons(pool: DataFrame, chosen: DataFrame) -> DataFrame:
             .join(chosen.select("sid").distinct(), "sid", "left_anti"))
 
 
-def experiment_rows(pool: DataFrame, chosen: DataFrame, takes: DataFrame, rules: SamplingRules) -> DataFrame:
+def experiment_rows(pool: DataFrame, chosen: DataFrame, rules: SamplingRules) -> DataFrame:
     """(spec, side, rowid) that form the experiment sets: fresh singles, and the first record of
     sampled exact and all-different persons in the shares of the specification."""
     half = rules.experiment_n // 2
@@ -291,7 +292,7 @@ def build_datasets(profiled: DataFrame, rules: SamplingRules) -> DataFrame:
     persons = staged(ranked_persons(pool, rules), "persons_ranked")
     takes = take_table(pool, persons, rules)
     chosen = staged(quota_sample(persons, takes), "chosen")
-    experiment = staged(experiment_rows(pool, chosen, takes, rules), "experiment_rows")
+    experiment = staged(experiment_rows(pool, chosen, rules), "experiment_rows")
     return datasets_of(pool, chosen, experiment)
 
 

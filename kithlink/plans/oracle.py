@@ -515,6 +515,21 @@ SELECT block, a * b - coalesce((SELECT sum(n) FROM block_patterns p WHERE p.bloc
 query("pattern_counts", """
 SELECT block, g_first, g_last, g_dob, g_mi, g_race, g_sex, g_month, g_day, CAST(n AS BIGINT) AS n_pairs FROM block_patterns
 UNION ALL SELECT block, NULL, 0, 0, NULL, NULL, NULL, NULL, NULL, CAST(n AS BIGINT) FROM block_rest WHERE n > 0""")
+step("member_values", " UNION ALL ".join(
+    f"SELECT block, side, m.copies, 'g_{f}' AS field, CAST({v} AS VARCHAR) AS value FROM members m JOIN prof USING (rowid)"
+    for f, v in (("first", "first_name"), ("last", "last_name"), ("dob", "date_of_birth"), ("mi", "middle_initial"),
+                 ("race", "race"), ("sex", "sex"), ("month", "month(date_of_birth)"), ("day", "day(date_of_birth)"))))
+step("value_counts", """
+SELECT block, field, value, coalesce(sum(copies) FILTER (side = 'A'), 0) AS a, coalesce(sum(copies) FILTER (side = 'B'), 0) AS b
+FROM member_values WHERE value IS NOT NULL GROUP BY ALL""")
+step("date_levels", """
+SELECT x.block, x.a * y.b AS n, jaro_winkler_similarity(x.value, y.value) AS s
+FROM value_counts x JOIN value_counts y ON x.block = y.block WHERE x.field = 'g_dob' AND y.field = 'g_dob' AND x.a > 0 AND y.b > 0""")
+query("field_totals", """
+SELECT block, field, CAST(sum(a * b) AS BIGINT) AS n_full, 0 AS n_partial, CAST(sum(a) * sum(b) AS BIGINT) AS n_known
+FROM value_counts WHERE field <> 'g_dob' GROUP BY block, field HAVING sum(a) * sum(b) > 0
+UNION ALL SELECT block, 'g_dob', CAST(coalesce(sum(n) FILTER (s >= 0.94), 0) AS BIGINT),
+  CAST(coalesce(sum(n) FILTER (s >= 0.88 AND s < 0.94), 0) AS BIGINT), CAST(sum(n) AS BIGINT) FROM date_levels GROUP BY block""")
 step("labelled", """
 SELECT rowid1, rowid2, CASE WHEN sid1 = sid2 THEN 'y' ELSE 'n' END AS label,
   CAST(first_name1 = first_name2 AND last_name1 = last_name2 AND date_of_birth1 = date_of_birth2 AS INT) AS exact_match
@@ -766,7 +781,7 @@ UNION ALL SELECT {_LINE}, 'first' FROM benchmarks WHERE model_iter = 0
 UNION ALL SELECT {_LINE}, 'all' FROM benchmarks""")
 query("sample_size_means", """
 SELECT budget, ss_train, 'Sample size: ' || format('{:,}', sample_size) AS specification,
-  round(avg(error_any), 9) AS error_any, round(avg(prc_any), 9) AS prc_any, round(avg(tpr_any), 9) AS tpr_any,
+  round(avg(error_any), 6) AS error_any, round(avg(prc_any), 6) AS prc_any, round(avg(tpr_any), 6) AS tpr_any,
   CASE budget WHEN 20 THEN 1 ELSE 4 END AS budget_map
 FROM results WHERE arm = 'active' GROUP BY budget, ss_train, sample_size""")
 query("stage_outputs", """

@@ -250,7 +250,7 @@ def _(w: Workspace) -> DataFrame:
 
 @named("experiment_datasets")
 def _(w: Workspace) -> DataFrame:
-    return sampling.experiment_rows(w.pool(), w.chosen(), w.takes(), SMALL_STUDY)
+    return sampling.experiment_rows(w.pool(), w.chosen(), SMALL_STUDY)
 
 
 @named("build_datasets")
@@ -409,6 +409,11 @@ def _(w: Workspace) -> DataFrame:
     return em.pattern_counts(w.members())
 
 
+@named("field_totals")
+def _(w: Workspace) -> DataFrame:
+    return em.field_totals(w.members())
+
+
 @named("truth_labels")
 def _(w: Workspace) -> DataFrame:
     return compare.truth_labels(w.candidates()).select("rowid1", "rowid2", "label", "exact_match")
@@ -418,7 +423,7 @@ def _(w: Workspace) -> DataFrame:
 
 @named("em_link")
 def _(w: Workspace) -> DataFrame:
-    return em.em_link(em.pattern_counts(w.members()))
+    return em.em_link(em.pattern_counts(w.members()), em.field_totals(w.members()))
 
 
 @named("em_matches")
@@ -445,7 +450,7 @@ def _(w: Workspace) -> DataFrame:
 
 @named("active_label")
 def _(w: Workspace) -> DataFrame:
-    return learn.active_label(w.label_pool(), budget=40, batch=20)
+    return learn.active_label(w.label_pool(), budget=80, batch=20)
 
 
 @named("label_log")
@@ -771,7 +776,7 @@ def _(w: Workspace) -> DataFrame:
 @named("sample_size_means")
 def _(w: Workspace) -> DataFrame:
     means = report.sample_size_means(w.report_results(), ["error", "prc", "tpr"], "any")
-    return rounded(means, ["error_any", "prc_any", "tpr_any"])
+    return rounded(means, ["error_any", "prc_any", "tpr_any"], 6)
 
 
 @named("stage_outputs")

@@ -92,7 +92,7 @@ class Workspace:
 
     def moved(self) -> DataFrame:
         return self.once("moved", lambda: sampling.experiment_rows(
-            self.pool(), self.chosen(), self.takes(), SMALL_STUDY))
+            self.pool(), self.chosen(), SMALL_STUDY))
 
     def datasets(self) -> DataFrame:
         return self.once("datasets", lambda: sampling.datasets_of(self.pool(), self.chosen(), self.moved()))
@@ -134,7 +134,8 @@ class Workspace:
             blocking.year_window_members(*self.sides()), SMALL_BLOCK_LINKAGE))
 
     def fitted(self) -> DataFrame:
-        return self.once("fitted", lambda: em.em_link(em.pattern_counts(self.members())))
+        return self.once("fitted", lambda: em.em_link(
+            em.pattern_counts(self.members()), em.field_totals(self.members())))
 
     def em_matches(self) -> DataFrame:
         return self.once("em_matches", lambda: em.em_matches(self.members(), self.fitted()))
@@ -144,7 +145,7 @@ class Workspace:
         return self.once("label_pool", lambda: blocking.candidate_sample(self.candidates(), 1500, STUDY_SEED))
 
     def label_log(self) -> DataFrame:
-        return self.once("label_log", lambda: learn.active_label(self.label_pool(), budget=40, batch=20))
+        return self.once("label_log", lambda: learn.active_label(self.label_pool(), budget=80, batch=20))
 
     # constraint roles -----------------------------------------------------------
     def constraint_nodes(self) -> DataFrame:
