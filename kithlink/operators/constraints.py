@@ -73,7 +73,7 @@ def _in_buckets(rows: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame],
     No component here has more than `task_edges` edges, and components do not touch, so a bucket
     is solved as one graph.
     """
-    buckets = max(1, -(-rows.count() // task_edges), rows.sparkSession.sparkContext.defaultParallelism)
+    buckets = max(1, -(-rows.count() // max(task_edges, 1)), rows.sparkSession.sparkContext.defaultParallelism)
     return (rows.withColumn("_bucket", F.pmod(F.xxhash64("_comp"), F.lit(buckets)))
             .groupBy("_bucket").applyInPandas(solve, "rowid long, cluster_id long"))
 
