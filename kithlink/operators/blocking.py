@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kithlink.operators.scale import lookup, pairs_between, pairs_within, seeded_rank
+from kithlink.operators.scale import lookup, pairs_between, pairs_within, seeded_rank, staged
 
 # What a comparison looks at; records equal on all of it are copies of each other.
 COMPARED = ["first_name", "last_name", "date_of_birth", "age_in_2020", "middle_initial", "race", "sex"]
@@ -228,7 +228,7 @@ def cosine_name_pairs(records: DataFrame, rules: CosineRules = CosineRules()) ->
     reach the bar, so common letter pairs never have to be joined on, and none is dropped.
     A pair that shares several is scored under the rarest only.
     """
-    vectors = name_vectors(records)
+    vectors = staged(name_vectors(records), "vectors")
     top = vectors.agg(F.max("n_name")).first()[0] or 1
     # squared weight from each gram to the end of the list
     rest = F.reverse(F.transform(
@@ -241,7 +241,7 @@ def cosine_name_pairs(records: DataFrame, rules: CosineRules = CosineRules()) ->
                      F.posexplode("grams.gram").alias("_i", "gram"))
              .where(F.element_at("_rest", F.col("_i") + 1) >= rules.bar ** 2 - 1e-9)
              .drop("_rest", "_i"))
-    pairs = pairs_within(filed, ["gram"], "name", ["n_name", "weights", "terms"])
+    pairs = pairs_within(staged(filed, "filed"), ["gram"], "name", ["n_name", "weights", "terms"])
     # both lists run from rare to common, so the first shared term is the rarest
     shared = pairs.withColumn("_shared", F.array_intersect("terms1", "terms2")) \
                   .where(F.element_at("_shared", 1) == F.col("gram"))
@@ -254,14 +254,14 @@ def cosine_name_pairs(records: DataFrame, rules: CosineRules = CosineRules()) ->
 
 def similar_name_candidates(records: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs of distinct (name, birth date, age) whose names are equal or among the name pairs."""
-    spelled = (records.where("first_name IS NOT NULL AND last_name IS NOT NULL")
-               .groupBy(F.concat_ws(" ", "first_name", "last_name").alias("name"), "date_of_birth", "age_in_2020")
-               .agg(F.min("rowid").alias("rowid")))
+    spelled = staged(records.where("first_name IS NOT NULL AND last_name IS NOT NULL")
+                     .groupBy(F.concat_ws(" ", "first_name", "last_name").alias("name"), "date_of_birth", "age_in_2020")
+                     .agg(F.min("rowid").alias("rowid")), "spelled")
     same = pairs_within(spelled, ["name"], "rowid", ["name", "date_of_birth", "age_in_2020"]).drop("name")
     first = lookup(names.select("name1", "name2"), names.groupBy("name1").agg(F.count("*").alias("_n")),
                    ["name1"], F.col("name2"), rows_col="_n").drop("_n")
     renamed = [spelled.select(*[F.col(c).alias(f"{c}{n}") for c in spelled.columns]) for n in (1, 2)]
-    left = pairs_between(first, renamed[0], ["name1"], "name2")
+    left = staged(pairs_between(first, renamed[0], ["name1"], "name2"), "first_side")
     other = pairs_between(left, renamed[1], ["name2"], "rowid1")
     return same.unionByName(other.select(*same.columns))
 

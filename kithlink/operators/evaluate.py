@@ -25,6 +25,21 @@ DRAWS_PER_TASK = 4_000_000
 PATTERNS_PER_BUCKET = 2_000
 
 
+def _numbered_runs(df: DataFrame, spec: list[str]) -> DataFrame:
+    """(spec, _run): a number per specification, so that records are shuffled by one integer.
+
+    One row per run of the study grid.
+    """
+    every = Window.partitionBy(F.lit(1)).orderBy(*spec)
+    return staged(df.select(*spec).distinct().withColumn("_run", F.row_number().over(every)), "runs")
+
+
+def _with_run(df: DataFrame, runs: DataFrame, spec: list[str]) -> DataFrame:
+    named = runs.select("_run", *[F.col(c).alias(f"_of_{c}") for c in spec])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in spec]
+    return df.join(F.broadcast(named), same).drop(*[f"_of_{c}" for c in spec])
+
+
 def _person_facts(df: DataFrame, spec: list[str]) -> DataFrame:
     """One row per (specification, person) with everything the metrics are sums of."""
     experiment = F.col("dataset") == EXPERIMENT_ROLE
@@ -81,8 +96,13 @@ def _metric_columns() -> dict[str, Column]:
 def metrics(df: DataFrame, spec: list[str], names: list[str] | None = None) -> DataFrame:
     """Chosen metrics per specification; records need sid, dataset and cluster_id."""
     columns = _metric_columns()
-    return _person_facts(df, spec).groupBy(*spec).agg(
-        *[columns[n].alias(n) for n in (names or list(columns))])
+    chosen = [columns[n].alias(n) for n in (names or list(columns))]
+    if not spec:
+        return _person_facts(df, []).agg(*chosen)
+    runs = _numbered_runs(df, spec)
+    rows = _with_run(df.select(*spec, "rowid", "sid", "dataset", "cluster_id"), runs, spec).drop(*spec)
+    return _person_facts(rows, ["_run"]).groupBy("_run").agg(*chosen) \
+        .join(F.broadcast(runs), "_run").drop("_run")
 
 
 def with_error_rates(df: DataFrame, scopes: tuple[str, ...] = ("any", "pair")) -> DataFrame:
@@ -155,13 +175,16 @@ def _count_outcomes(drawn: DataFrame, patterns: DataFrame, data: list[str]) -> D
             return pd.DataFrame({c: [] for c in ("_run", "bs_iter", "n0", "n1", "n2", "n3")})
         place = pd.Series(np.arange(len(known)), index=known["_pattern"])
         iters, row = np.unique(draws["bs_iter"].to_numpy(), return_inverse=True)
-        weights = np.zeros((len(iters), len(known)))
-        np.add.at(weights, (row, place[draws["_pattern"]].to_numpy()), draws["_n"].to_numpy())
-        runs = np.array([c["_run"] for c in known["_codes"].iloc[0]])
-        codes = np.array([[c["code"] for c in pattern] for pattern in known["_codes"]])
+        cell = row * len(known) + place[draws["_pattern"]].to_numpy()
+        weights = np.bincount(cell, draws["_n"].to_numpy(), len(iters) * len(known)).reshape(len(iters), -1)
+        owner = np.repeat(np.arange(len(known)), known["_runs"].str.len())
+        runs, run = np.unique(np.concatenate(known["_runs"].to_list()), return_inverse=True)
+        codes = np.concatenate(known["_codes"].to_list())
         out = {"_run": np.tile(runs, len(iters)), "bs_iter": np.repeat(iters, len(runs))}
         for c in range(4):
-            out[f"n{c}"] = (weights @ (codes == c)).astype(np.int64).ravel()
+            hits = np.zeros((len(known), len(runs)))
+            hits[owner[codes == c], run[codes == c]] = 1
+            out[f"n{c}"] = np.rint(weights @ hits).astype(np.int64).ravel()
         return pd.DataFrame(out)
 
     parts = (drawn.withColumn("_bucket", bucket).groupBy(*keys)
@@ -178,21 +201,21 @@ def bootstrap_eval(df: DataFrame, spec: list[str], data: list[str], iters: int =
     share the draws, so differences between runs are paired.  Draws are counted per pattern
     of outcomes over the runs: the one join of all draws does not grow with the runs.
     """
-    outcomes = staged(experiment_outcomes(df, spec), "outcomes")
+    runs = _numbered_runs(df, spec)
+    rows = _with_run(df.select(*spec, "rowid", "sid", "dataset", "cluster_id"), runs, spec)
+    outcomes = staged(experiment_outcomes(rows, ["_run"])
+                      .join(F.broadcast(runs.select("_run", *data)), "_run"), "outcomes")
     records = dense_number(outcomes.select(*data, "sid", "rowid").distinct(), [*data, "sid", "rowid"], "_number")
     # one row per evaluated data set
     sizes = staged(records.groupBy(*data).agg(F.min("_number").alias("_first"), F.count("*").alias("n")), "sizes")
     places = records.join(F.broadcast(sizes.select(*data, "_first")), data) \
         .select(*data, "rowid", (F.col("_number") - F.col("_first")).alias("place"))
-    # one row per run of the study grid
-    runs = (outcomes.select(*spec).distinct()
-            .withColumn("_run", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*spec))))
     code = F.col("in_admin").cast("int") * 2 + F.col("pred_in_admin").cast("int")
-    by_record = staged(outcomes.join(F.broadcast(runs), spec)
-                 .groupBy(*data, "rowid")
+    by_record = staged(outcomes.groupBy(*data, "rowid")
                  .agg(F.sort_array(F.collect_list(F.struct("_run", code.alias("code")))).alias("_codes"))
                  .withColumn("_pattern", F.md5(F.to_json("_codes").cast("binary"))), "patterns")
-    patterns = by_record.groupBy(*data, "_pattern").agg(F.first("_codes").alias("_codes"))
+    patterns = (by_record.groupBy(*data, "_pattern").agg(F.first("_codes").alias("_c"))
+                .select(*data, "_pattern", F.col("_c.code").alias("_codes"), F.col("_c._run").alias("_runs")))
     # written, so that its true size decides whether the draws have to be shuffled at all
     placed = staged(places.join(by_record.select(*data, "rowid", "_pattern"), [*data, "rowid"])
                     .select(*data, "place", "_pattern"), "places")

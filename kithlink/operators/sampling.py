@@ -264,19 +264,18 @@ def experiment_rows(pool: DataFrame, chosen: DataFrame, rules: SamplingRules) ->
     """(spec, side, rowid) that form the experiment sets: fresh singles, and the first record of
     sampled exact and all-different persons in the shares of the specification."""
     half = rules.experiment_n // 2
-    spark = pool.sparkSession
     specs = [(spec_name(n, s), s, side) for n in rules.sample_sizes for s in rules.shares_exact for side in SIDES]
     singles = seeded_rank(eligible_singletons(pool, chosen).select("rowid").withColumn("_all", F.lit(0)),
                           ["_all"], "rowid", rules.seed, "fresh", "rank")
-    fresh = []
+    # every data set takes its range of the one seeded order
+    takers = []
     for spec, _, side in specs:
         skip = half if rules.disjoint_singletons and side == SIDES[1] else 0
-        fresh.append((spec, side, skip, skip + half))
-    ranges = spark.createDataFrame(fresh, "spec string, side string, low long, high long")
-    few = singles.where(F.col("rank") <= 2 * half).select("rowid", "rank")
-    # a few rows per specification
-    new = (few.join(F.broadcast(ranges), (F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")))
-           .select("spec", "side", "rowid"))
+        takers.append(F.struct(F.lit(spec).alias("spec"), F.lit(side).alias("side"), F.lit(skip).alias("low")))
+    new = (singles.where(F.col("rank") <= 2 * half)
+           .select("rowid", "rank", F.explode(F.array(*takers)).alias("_t"))
+           .where((F.col("rank") > F.col("_t.low")) & (F.col("rank") <= F.col("_t.low") + half))
+           .select("_t.spec", "_t.side", "rowid"))
     several = chosen.where(F.col("entity_class").isin("exact", "different"))
     lowest = pool.where(F.col("n_records") > 1).groupBy("sid").agg(F.min("rowid").alias("rowid"))
     firsts = several.join(lowest, "sid")

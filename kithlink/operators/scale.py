@@ -26,6 +26,8 @@ HOT_ROWS = 1_000_000
 BUCKET_DIGITS = 3
 # Records of one side of a tile: a task compares at most TILE_ROWS^2 pairs at a time.
 TILE_ROWS = 4_000
+# Pairs a task should make before another partition is worth its overhead.
+PAIRS_PER_TASK = 1_000_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -154,6 +156,7 @@ def pairs_within(df: DataFrame, keys: list[str], id_col: str, carry: list[str],
               .withColumn("_hi", F.greatest("_slice", "_other"))
               .drop("_other", "_parts"))
     tile = [*keys, "_lo", "_hi"]
+    sliced = _by_work(sliced, tile, known.groupBy(*keys).agg((F.count("*") * F.count("*")).alias("_w")))
 
     def side(n: int) -> DataFrame:
         return sliced.select(*tile, F.col("_slice").alias(f"_slice{n}"),
@@ -167,9 +170,25 @@ def pairs_within(df: DataFrame, keys: list[str], id_col: str, carry: list[str],
             .drop("_lo", "_hi", "_slice1", "_slice2"))
 
 
+def _by_work(df: DataFrame, keys: list[str], work: DataFrame) -> DataFrame:
+    """Partition the input of a pair join by the pairs it makes, not by its bytes.
+
+    `work` has the pairs per group as `_w`.  Few rows can make many pairs, and adaptive
+    execution would otherwise put a small input into one task.
+    """
+    pairs = work.agg(F.sum("_w")).first()[0] or 0
+    if pairs < PAIRS_PER_TASK // 10:
+        return df
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(int(max(least, -(-pairs // PAIRS_PER_TASK))), *keys)
+
+
 def pairs_between(left: DataFrame, right: DataFrame, keys: list[str],
                   left_id: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs of a left and a right row that share `keys`; a hot left group is cut into slices."""
+    work = (left.groupBy(*keys).agg(F.count("*").alias("_l"))
+            .join(right.groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+            .select((F.col("_l") * F.col("_r")).alias("_w")))
     hot = F.broadcast(_hot_keys(left, keys, tile_rows))
     cut = (left.join(hot, keys, "left")
            .withColumn("_slice", F.pmod(F.xxhash64(left_id), F.coalesce("_parts", F.lit(1))).cast("int"))
@@ -177,4 +196,6 @@ def pairs_between(left: DataFrame, right: DataFrame, keys: list[str],
     copies = (right.join(hot, keys, "left")
               .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
               .drop("_parts"))
-    return cut.join(copies, [*keys, "_slice"]).drop("_slice")
+    slices = [*keys, "_slice"]
+    cut = _by_work(cut, slices, work)
+    return cut.join(copies, slices).drop("_slice")
