@@ -18,7 +18,7 @@ STAGES = ["cases", "persons", "profiled", "roles", "edges", "components", "profi
           "members", "pool", "ranked", "run_rows", "run_results", "run_bootstraps", "tests"]
 HEADLINE = ["first_per_case", "dense_rowid", "preprocess", "stat_columns", "truncate_clusters", "build_datasets",
             "connected_components", "exact_key_linkage", "block_cosine", "block_dob_edit", "compare_pairs",
-            "agreement_levels", "pattern_counts", "em_linkage", "learn_blocks", "score_pairs",
+            "agreement_levels", "pattern_counts", "em_linkage", "learn_blocks", "score_pairs", "active_linkage", "supervised_linkage",
             "constrained_clusters", "partition_clusters", "many_to_one", "eval_summary", "bootstrap_eval",
             "significance_test", "significance_report", "confidence_intervals"]
 

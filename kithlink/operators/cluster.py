@@ -43,9 +43,10 @@ def connected_components(edges: DataFrame, a: str = "rowid1", b: str = "rowid2")
     flag per round reaches the driver.
     """
     nodes = edges.select(F.col(a).alias("rowid")).where(F.col(a) == F.col(b))
-    links = (edges.where(F.col(a) != F.col(b))
-             .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-             .distinct().withColumn("moved", F.lit(True)))
+    # a round reads its edges several times, so they are written before the first one too
+    links = staged(edges.where(F.col(a) != F.col(b))
+                   .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+                   .distinct().withColumn("moved", F.lit(True)), "links")
     while True:
         links = staged(_smaller_neighbours_to_minimum(_larger_neighbours_to_minimum(links)), "stars")
         if not links.agg(F.max("moved")).first()[0]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kithlink.operators import (
     blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, sampling)
-from kithlink.plans import study
+from kithlink.plans import arms, study
 from kithlink.plans.workspace import METRIC, SMALL_STUDY, Workspace
 from kithlink.sources import readers, writers
 
@@ -439,11 +439,7 @@ def _(w: Workspace) -> DataFrame:
 @named("em_linkage")
 def _(w: Workspace) -> DataFrame:
     """The unsupervised arm from blocks to metrics."""
-    matches = w.em_matches().select("rowid1", "rowid2")
-    ends = matches.select(F.col("rowid1").alias("rowid")).unionByName(matches.select(F.col("rowid2").alias("rowid")))
-    edges = matches.unionByName(blocking.copy_edges(w.roles(), ends))
-    clustered = cluster.assign_clusters(w.roles(), matches=edges)
-    return rounded(evaluate.eval_summary(clustered, []), METRICS)
+    return rounded(evaluate.eval_summary(arms.records_from_matches(w.roles(), w.em_matches()), []), METRICS)
 
 
 # -- active and supervised linkage ----------------------------------------------------
@@ -490,6 +486,30 @@ def _(w: Workspace) -> DataFrame:
     return learn.tune_threshold(learn.score_pairs(split.where("NOT in_training"), model))
 
 
+@named("active_linkage")
+def _(w: Workspace) -> DataFrame:
+    """The active arm on two tables, from labels to metrics."""
+    linked = arms.active_linkage(w.roles(), w.label_pool(), w.label_log(), w.candidates())
+    return rounded(evaluate.eval_summary(linked, []), METRICS)
+
+
+@named("active_deduplication")
+def _(w: Workspace) -> DataFrame:
+    """The active arm on one table, from labels to metrics."""
+    linked = arms.active_deduplication(w.roles(), w.label_pool(), w.label_log(), w.candidates_one_table())
+    return rounded(evaluate.eval_summary(linked, []), METRICS)
+
+
+@named("supervised_linkage")
+def _(w: Workspace) -> DataFrame:
+    """The supervised arm: trained on training records, measured on the others."""
+    nodes = w.constraint_nodes()
+    pairs = blocking.candidates_within(nodes, blocking.CANDIDATE_KEYS)
+    linked = arms.supervised_linkage(w.roles(), nodes, pairs)
+    held_out = nodes.where(F.col("dataset") != constraints.TRAINING).select("sid").distinct()
+    return rounded(evaluate.eval_summary(linked.join(held_out, "sid", "left_semi"), []), METRICS)
+
+
 # -- constraints and clustering -------------------------------------------------------
 
 @named("valid_links")

@@ -16,4 +16,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def folder():
-    return "/root/testdata/sf0.001"
+    # the smallest tables have single records only; these have persons with several
+    return "/root/testdata/sf0.01"
