@@ -15,7 +15,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kithlink.operators.scale import lookup, pairs_between, pairs_within, seeded_rank, staged
 

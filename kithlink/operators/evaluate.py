@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kithlink.functions.numbers import ratio
-from kithlink.functions.seeded import hash_mod, order_hash
+from kithlink.functions.seeded import hash_mod
 from kithlink.operators.cluster import ADMIN_ROLE, EXPERIMENT_ROLE
 from kithlink.operators.scale import dense_number, lookup, staged
 

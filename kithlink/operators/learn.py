@@ -138,7 +138,11 @@ def train_share(labelled: DataFrame, rules: SupervisedRules) -> DataFrame:
 
 
 def tune_threshold(scored: DataFrame) -> DataFrame:
-    """Precision, recall and F1 at every score bin; the best bin is flagged (lowest on ties)."""
+    """Precision, recall and F1 at every score bin; the best bin is flagged (lowest on ties).
+
+    `cut` lies half way to the next lower score seen: nothing held out says that scores in
+    between are non-matches.
+    """
     bins = (scored.groupBy(F.floor(F.col("confidence_score") * SCORE_BINS).cast("int").alias("bin"))
             .agg(F.sum("target").alias("hits"), F.count("*").alias("n")))
     # at most SCORE_BINS + 1 rows
@@ -151,7 +155,8 @@ def tune_threshold(scored: DataFrame) -> DataFrame:
                      ratio(F.col("_hits"), F.col("_all")).alias("recall"))
              .withColumn("f1", f1(F.col("precision"), F.col("recall"))))
     best = F.row_number().over(every.orderBy(F.col("f1").desc_nulls_last(), "threshold"))
-    return curve.withColumn("is_best", best == 1)
+    lower = F.coalesce(F.lag("threshold").over(every.orderBy("threshold")), F.lit(0.0))
+    return curve.withColumns({"is_best": best == 1, "cut": (F.col("threshold") + lower) / 2})
 
 
 def supervised_link(pairs: DataFrame, labelled: DataFrame,
@@ -161,4 +166,4 @@ def supervised_link(pairs: DataFrame, labelled: DataFrame,
     model = fit_pairs(split.where("in_training"))
     curve = tune_threshold(score_pairs(split.where("NOT in_training"), model))
     best = curve.where("is_best").first()
-    return score_pairs(pairs, model), (best["threshold"] if best else 0.5)
+    return score_pairs(pairs, model), (best["cut"] if best else 0.5)

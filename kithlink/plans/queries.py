@@ -502,12 +502,12 @@ def _(w: Workspace) -> DataFrame:
 
 @named("supervised_linkage")
 def _(w: Workspace) -> DataFrame:
-    """The supervised arm: trained on training records, measured on the others."""
+    """The supervised arm: trained on training records, measured on persons without any."""
     nodes = w.constraint_nodes()
     pairs = blocking.candidates_within(nodes, blocking.CANDIDATE_KEYS)
     linked = arms.supervised_linkage(w.roles(), nodes, pairs)
-    held_out = nodes.where(F.col("dataset") != constraints.TRAINING).select("sid").distinct()
-    return rounded(evaluate.eval_summary(linked.join(held_out, "sid", "left_semi"), []), METRICS)
+    trained = nodes.where(F.col("dataset") == constraints.TRAINING).select("sid").distinct()
+    return rounded(evaluate.eval_summary(linked.join(trained, "sid", "left_anti"), []), METRICS)
 
 
 # -- constraints and clustering -------------------------------------------------------

@@ -105,4 +105,4 @@ def test_labelling_uses_the_whole_budget_once_per_pair(spark):
 def test_threshold_is_the_best_f1(spark):
     scored = spark.createDataFrame([(.9, 1.0), (.8, 1.0), (.7, 0.0), (.6, 1.0), (.1, 0.0)], "confidence_score double, target double")
     best = learn.tune_threshold(scored).where("is_best").first()
-    assert best.threshold == .6 and best.f1 == pytest.approx(6 / 7)
+    assert best.threshold == .6 and best.f1 == pytest.approx(6 / 7) and best.cut == pytest.approx(.35)
