@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kithlink.llm.common import documents_only
 
@@ -31,7 +31,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fold:
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & fold)
              .groupBy("doc_id").agg(F.max("y").alias("y")))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    chosen = reduce(DataFrame.unionByName, [
+        known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)])
     # at most two classes of per_class rows
     return documents_only(docs).join(F.broadcast(chosen), "doc_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.llm import chat, jaccard_join, labelled, packing, quality, toxicity
+from kithlink.llm import chat, jaccard_join, labelled, line_dedup, mixing, packing, quality, toxicity
 from kithlink.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,12 +45,24 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_to_targets(table(spark, sf_dir, "documents"), "lang")
+    return mixed.select("doc_id", "tokens", F.round("rate", 9).alias("rate"), "copies")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
