@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.llm import chat, jaccard_join, labelled, line_dedup, mixing, packing, quality, toxicity
+from kithlink.llm import chat, jaccard_join, labelled, line_dedup, mixing, packing, quality, substring_dedup, toxicity
 from kithlink.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_to_targets(table(spark, sf_dir, "documents"), "lang")
     return mixed.select("doc_id", "tokens", F.round("rate", 9).alias("rate"), "copies")
@@ -56,6 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
