@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithlink.operators.scale import staged
+
 # Text that a task holds as arrays at a time; a single longer text is handled alone.
 PIECE_BYTES = 2_000_000
 
@@ -17,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`staged`, and the driver's garbage collected, so that Spark drops the shuffle files of what was written.
+
+    They stay as long as the driver remembers the plan; on disks of a few times the input they add up.
+    """
+    out = staged(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
