@@ -24,6 +24,7 @@ class LexiconAutomaton:
         self.word_at: dict[int, float] = {}
         self.stem_at: dict[int, float] = {}
         long_enough: list[bool] = [False]
+        near_ends: set[int] = set()
         for text, is_stem, weight in sorted(entries):
             node, path = 0, [0]
             for c in text:
@@ -37,10 +38,11 @@ class LexiconAutomaton:
             ends = self.stem_at if is_stem else self.word_at
             ends[node] = max(weight, ends.get(node, weight))
             if len(text) >= near_from:
+                near_ends.add(node)
                 for n in path:
                     long_enough[n] = True
         self.children, self.near = children, long_enough
-        self._near_ends = {n for n in [*self.word_at, *self.stem_at] if long_enough[n]}
+        self._near_ends = near_ends
         self._compile()
 
     def _spread(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:

@@ -35,6 +35,14 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents_only(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and nothing else a table may carry."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from kithlink.llm.common import bytes_of, mix, pieces
+from kithlink.llm.common import bytes_of, mix, pieces, unused
 from kithlink.llm.shingles import word_hashes
 from kithlink.operators.scale import staged
 
@@ -100,15 +100,16 @@ def fit_posterior(docs: DataFrame, domain: str, rule: Fitting = Fitting()) -> Po
 def member_shares(docs: DataFrame, posterior: Posterior) -> DataFrame:
     """The rows of `docs` with `tokens` (words) and `shares` (of the posterior's domains)."""
     keep = docs.drop("tokens", "shares")
+    whole = unused(docs, "whole_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            p, words = posterior(*bytes_of(batch.column("_text")))
+        for batch in pieces(batches, whole):
+            p, words = posterior(*bytes_of(batch.column(whole)))
             shares = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-            yield batch.drop_columns(["_text"]).append_column("tokens", pa.array(words.astype(np.int64))).append_column("shares", shares)
+            yield batch.drop_columns([whole]).append_column("tokens", pa.array(words.astype(np.int64))).append_column("shares", shares)
 
     schema = StructType([*keep.schema.fields, StructField("tokens", LongType()), StructField("shares", ArrayType(DoubleType()))])
-    return keep.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return keep.withColumn(whole, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, rule: Fitting = Fitting()) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kithlink.llm import labelled
-from kithlink.llm.common import bytes_of, pieces
+from kithlink.llm.common import bytes_of, pieces, unused
 
 BLOCK, STRIDE, WIDTH = 128, 2, 8
 PLACES = BLOCK // STRIDE
@@ -65,20 +65,27 @@ class Network:
             embedded, (rows, (embedded.shape[1] // EMBED - WIDTH) // STRIDE + 1, WIDTH * EMBED),
             (embedded.strides[0], STRIDE * EMBED * step, step), writeable=False)
 
-    def block_answers(self, padded: np.ndarray) -> np.ndarray:
-        """The strongest answer of each filter that starts in each block."""
+    def block_answers(self, padded: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The strongest answer of each filter that starts in each block.
+
+        What starts at the end of a text's last block would read the next text; a text ends with
+        zeros wide enough for a filter, so nothing is lost without those places.
+        """
         n = (len(padded) - WIDTH) // BLOCK
         out = np.empty((n, FILTERS), np.float32)
+        last = np.cumsum(count) - 1
         for at in range(0, n, SLAB):
             to = min(n, at + SLAB)
             e = self.w["embed"][padded[at * BLOCK:to * BLOCK + WIDTH]].reshape(1, -1)
             a = self.windows(e, 1)[0, :(to - at) * PLACES] @ self.w["filter"]
-            out[at:to] = a.reshape(to - at, PLACES, FILTERS).max(1)
+            a = a.reshape(to - at, PLACES, FILTERS)
+            a[last[(last >= at) & (last < to)] - at, PLACES - (WIDTH - STRIDE) // STRIDE:] = -np.inf
+            out[at:to] = a.max(1)
         return np.maximum(out + self.w["filter0"], 0)
 
     def scores(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         padded, count = blocks(data, ends)
-        b = self.block_answers(padded)
+        b = self.block_answers(padded, count)
         first = np.cumsum(count) - count
         chunk = np.maximum(b[:-1], b[1:])
         h = np.maximum(chunk @ self.w["hidden"] + self.w["hidden0"], 0)
@@ -156,7 +163,9 @@ def training_chunks(chosen: DataFrame, most: int) -> list[tuple[np.ndarray, int]
             raw = []
             for at, n in zip(first.tolist(), count.tolist()):
                 spots = np.unique(np.linspace(0, n - 2, min(most, n - 1)).round().astype(np.int64))
-                raw.append(padded[((at + spots) * BLOCK)[:, None] + np.arange(wide)].tobytes())
+                chunks = padded[((at + spots) * BLOCK)[:, None] + np.arange(wide)]
+                chunks[spots == n - 2, 2 * BLOCK:] = 0
+                raw.append(chunks.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(raw, pa.binary())],
                                              ["doc_id", "y", "raw"])
 
@@ -180,13 +189,14 @@ def score_rows(docs: DataFrame, network: Network, name: str = "score") -> DataFr
     stand there, an empty table gives no rows.  A column of `docs` called like the score is replaced.
     """
     keep = docs.drop(name)
+    whole = unused(docs, "whole_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", 1_000_000):
-            yield batch.drop_columns(["_text"]).append_column(name, pa.array(network.scores(*bytes_of(batch.column("_text")))))
+        for batch in pieces(batches, whole, 1_000_000):
+            yield batch.drop_columns([whole]).append_column(name, pa.array(network.scores(*bytes_of(batch.column(whole)))))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return keep.withColumn("_text", text).mapInArrow(run, StructType([*keep.schema.fields, StructField(name, DoubleType())]))
+    return keep.withColumn(whole, text).mapInArrow(run, StructType([*keep.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
