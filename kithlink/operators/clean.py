@@ -73,17 +73,16 @@ def age_at_event(df: DataFrame) -> DataFrame:
     return df.withColumn("age", dates.age_at(F.col("casfildat"), F.col("date_of_birth")))
 
 
-def usable_rows(raw: DataFrame, arrival: str | None = None) -> DataFrame:
-    """Everything that happens to a raw row before rows are numbered."""
-    columns = RAW_COLUMNS + ([arrival] if arrival else [])
-    rows = (raw.select(*columns).transform(parse_dates).transform(filter_names)
-            .transform(normalise_missing).transform(filter_ids))
-    # without an arrival column the rows of a case are told apart by their texts
-    return (rows.transform(first_per_case, arrival).drop(arrival) if arrival else
-            rows.transform(first_per_case, "casfildat"))
+def usable_rows(raw: DataFrame, arrival: str) -> DataFrame:
+    """Everything that happens to a raw row before rows are numbered.
+
+    `arrival` is the column whose order is that of the rows in the file: a table has no first row.
+    """
+    return (raw.select(*RAW_COLUMNS, arrival).transform(parse_dates).transform(filter_names)
+            .transform(normalise_missing).transform(filter_ids).transform(first_per_case, arrival).drop(arrival))
 
 
-def clean_cases(raw: DataFrame, arrival: str | None = None) -> DataFrame:
+def clean_cases(raw: DataFrame, arrival: str) -> DataFrame:
     """Raw text rows to numbered clean cases."""
     return (usable_rows(raw, arrival).transform(number_rows).transform(parse_name)
             .transform(filter_missing_names).transform(age_at_event))

@@ -296,7 +296,7 @@ step("ranked", """
 SELECT *, row_number() OVER (PARTITION BY entity_class, n_records, side ORDER BY md5('3:sample:' || sid), sid) AS place
 FROM split""")
 step("target", "SELECT * FROM (VALUES (1, 0.499), (2, 0.4), (3, 0.06), (4, 0.03), (5, 0.011)) t(s, share)")
-step("wanted_sizes", "SELECT * FROM (VALUES (200), (600)) t(spec_n)")
+step("wanted_sizes", "SELECT * FROM (VALUES (5000), (50000), (200000)) t(spec_n)")
 step("share_list", "SELECT * FROM (VALUES (0.5::DOUBLE), (0.25::DOUBLE)) t(share_exact)")
 step("base", """
 SELECT s, share::DOUBLE AS share, trunc(share::DOUBLE * (SELECT count(DISTINCT sid) FROM pool)) AS n FROM target""")
@@ -305,13 +305,13 @@ SELECT spec_n, sum(round_even(round_even(spec_n::DOUBLE / (SELECT sum(s * n) FRO
 FROM wanted_sizes, base GROUP BY spec_n""")
 step("shifted", """
 SELECT spec_n, s, share * persons
-  + coalesce(lag(trunc(20.0::DOUBLE * share)) OVER (PARTITION BY spec_n ORDER BY s), 0)
-  - CASE WHEN s < 5 THEN trunc(20.0::DOUBLE * share) ELSE 0 END AS v
+  + coalesce(lag(trunc(500.0::DOUBLE * share)) OVER (PARTITION BY spec_n ORDER BY s), 0)
+  - CASE WHEN s < 5 THEN trunc(500.0::DOUBLE * share) ELSE 0 END AS v
 FROM size_total, base""")
 step("adjusted", """
 SELECT spec_n, s, trunc(v / (sum(v) OVER (PARTITION BY spec_n)) * (SELECT count(DISTINCT sid) FROM pool)) AS n FROM shifted""")
 step("quotas", """
-SELECT spec_n, s, CAST(round_even(round_even((spec_n + 20.0::DOUBLE) / (sum(s * n) OVER (PARTITION BY spec_n)) * n * s, 0) / s, 0)
+SELECT spec_n, s, CAST(round_even(round_even((spec_n + 500.0::DOUBLE) / (sum(s * n) OVER (PARTITION BY spec_n)) * n * s, 0) / s, 0)
   AS BIGINT) AS n_sids FROM adjusted""")
 query("quota_table", "SELECT spec_n, s AS cluster_size, n_sids FROM quotas")
 step("offered", """
@@ -348,12 +348,12 @@ step("eligible", "SELECT rowid, sid FROM pool WHERE n_records = 1 AND sid NOT IN
 query("eligible_singletons", "SELECT * FROM eligible")
 step("moved", """
 SELECT spec, side, rowid FROM (SELECT DISTINCT spec, side FROM chosen),
-  (SELECT rowid FROM eligible QUALIFY row_number() OVER (ORDER BY md5('3:fresh:' || rowid), rowid) <= 20)
+  (SELECT rowid FROM eligible QUALIFY row_number() OVER (ORDER BY md5('3:fresh:' || rowid), rowid) <= 500)
 UNION ALL SELECT spec, side, rowid FROM (
   SELECT spec, side, entity_class, share_exact, min(p.rowid) AS rowid FROM chosen c JOIN pool p USING (sid)
   WHERE entity_class IN ('exact', 'different') GROUP BY spec, side, entity_class, share_exact, sid)
 QUALIFY row_number() OVER (PARTITION BY spec, side, entity_class ORDER BY md5('3:move:' || rowid), rowid)
-  <= trunc(20 * CASE WHEN entity_class = 'exact' THEN share_exact ELSE 1 - share_exact END)""")
+  <= trunc(500 * CASE WHEN entity_class = 'exact' THEN share_exact ELSE 1 - share_exact END)""")
 query("experiment_datasets", "SELECT * FROM moved")
 step("datasets", """
 SELECT spec, 'admin_' || side AS dataset, rowid FROM admin_rows a
@@ -385,8 +385,8 @@ WHERE em_train = 50""")
 
 COMPARED = "first_name, last_name, date_of_birth, age_in_2020, middle_initial, race, sex"
 step("prof", f"""
-SELECT {COMPARED}, sid, dataset, min(rowid) AS rowid, count(*) AS copies, year(date_of_birth) AS yob
-FROM roled GROUP BY {COMPARED}, sid, dataset""")
+SELECT {COMPARED}, min(sid) AS sid, dataset, min(rowid) AS rowid, count(*) AS copies, year(date_of_birth) AS yob
+FROM roled GROUP BY {COMPARED}, dataset""")
 step("prof_e", "SELECT * FROM prof WHERE dataset = 'experiment_evaluation'")
 step("prof_a", "SELECT * FROM prof WHERE dataset = 'admin_evaluation'")
 _BOTH = ", ".join(f"a.{c} AS {c}1, b.{c} AS {c}2" for c in

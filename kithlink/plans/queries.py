@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kithlink.operators import (
     blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, sampling)
 from kithlink.plans import arms, study
-from kithlink.plans.workspace import METRIC, SMALL_STUDY, Workspace
+from kithlink.plans.workspace import METRIC, STUDY, Workspace
 from kithlink.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,12 +81,12 @@ def _(w: Workspace) -> DataFrame:
 
 @named("dense_rowid")
 def _(w: Workspace) -> DataFrame:
-    return clean.usable_rows(w.raw_cases()).transform(clean.number_rows).select("rowid", "sid", "casnbr")
+    return clean.usable_rows(w.arriving(), w.ARRIVAL).transform(clean.number_rows).select("rowid", "sid", "casnbr")
 
 
 @named("parse_name")
 def _(w: Workspace) -> DataFrame:
-    return (clean.usable_rows(w.raw_cases()).transform(clean.number_rows).transform(clean.parse_name)
+    return (clean.usable_rows(w.arriving(), w.ARRIVAL).transform(clean.number_rows).transform(clean.parse_name)
             .select("rowid", "name", "last_name", "first_name", "middle_name"))
 
 
@@ -205,7 +205,7 @@ def _(w: Workspace) -> DataFrame:
 
 @named("sampling_pool")
 def _(w: Workspace) -> DataFrame:
-    return sampling.sampling_pool(w.profiled(), SMALL_STUDY).select("rowid", "sid", *profile.STAT_COLUMNS)
+    return sampling.sampling_pool(w.profiled(), STUDY).select("rowid", "sid", *profile.STAT_COLUMNS)
 
 
 @named("size_policy")
@@ -225,12 +225,12 @@ def _(w: Workspace) -> DataFrame:
 
 @named("train_eval_split")
 def _(w: Workspace) -> DataFrame:
-    return sampling.train_eval_split(w.pool(), SMALL_STUDY)
+    return sampling.train_eval_split(w.pool(), STUDY)
 
 
 @named("quota_table")
 def _(w: Workspace) -> DataFrame:
-    return sampling.quota_table(w.pool(), SMALL_STUDY)
+    return sampling.quota_table(w.pool(), STUDY)
 
 
 @named("quota_sample")
@@ -250,12 +250,12 @@ def _(w: Workspace) -> DataFrame:
 
 @named("experiment_datasets")
 def _(w: Workspace) -> DataFrame:
-    return sampling.experiment_rows(w.pool(), w.chosen(), SMALL_STUDY)
+    return sampling.experiment_rows(w.pool(), w.chosen(), STUDY)
 
 
 @named("build_datasets")
 def _(w: Workspace) -> DataFrame:
-    return sampling.build_datasets(w.profiled(), SMALL_STUDY).select("spec", "dataset", "rowid", "sid", "name_dob")
+    return sampling.build_datasets(w.profiled(), STUDY).select("spec", "dataset", "rowid", "sid", "name_dob")
 
 
 def _written_datasets(w: Workspace) -> str:
@@ -280,7 +280,7 @@ def _(w: Workspace) -> DataFrame:
 def _(w: Workspace) -> DataFrame:
     parts = F.split("spec", "__")
     datasets = w.datasets().withColumns({"spec_n": parts[0].cast("int"), "spec_share": parts[1].cast("int")})
-    grid = study.run_grid(w.spark, study.GridRules(sizes=(200, 600, 5000)))
+    grid = study.run_grid(w.spark, study.GridRules())
     return study.runnable(grid, datasets)
 
 

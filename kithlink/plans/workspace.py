@@ -23,12 +23,12 @@ from kithlink.sources import fixtures
 # initial and birth date.
 EXACT_KEYS = [["last_name", "date_of_birth"], ["first_name", "middle_initial", "date_of_birth"]]
 
-# A study that fits the smaller input tables; the defaults of the rules are the full-size study.
-SMALL_STUDY = sampling.SamplingRules(experiment_n=40, sample_sizes=(200, 600), shares_exact=(0.5, 0.25))
+# The full-size study; on tables with fewer persons its quotas run short and take what there is.
+STUDY = sampling.SamplingRules(shares_exact=(0.5, 0.25))
 
 STUDY_SEED = 3
 METRIC = "error_any"
-REPORT_RESAMPLES = 200
+REPORT_RESAMPLES = 1000
 # Blocks of up to this many records on side A are merged, per framework.
 SMALL_BLOCK_LINKAGE = 4
 SMALL_BLOCK_DEDUPLICATION = 8
@@ -59,11 +59,17 @@ class Workspace:
     def raw_cases(self) -> DataFrame:
         return fixtures.raw_cases(self.spark, self.source("orders"))
 
+    ARRIVAL = "ingest_order"
+
+    def arriving(self) -> DataFrame:
+        """Cases with their place in the order of arrival, which is that of their numbers."""
+        return self.raw_cases().withColumn(self.ARRIVAL, F.col("casnbr").cast("long"))
+
     def raw_charges(self) -> DataFrame:
         return fixtures.raw_charges(self.spark, self.source("orders"), self.source("lineitem"))
 
     def cases(self) -> DataFrame:
-        return self.once("cases", lambda: clean.clean_cases(self.raw_cases()))
+        return self.once("cases", lambda: clean.clean_cases(self.arriving(), self.ARRIVAL))
 
     def persons(self) -> DataFrame:
         return self.once("persons", lambda: clean.preprocess(self.cases()))
@@ -79,20 +85,20 @@ class Workspace:
 
     # study data sets ----------------------------------------------------------
     def pool(self) -> DataFrame:
-        return self.once("pool", lambda: sampling.sampling_pool(self.profiled(), SMALL_STUDY))
+        return self.once("pool", lambda: sampling.sampling_pool(self.profiled(), STUDY))
 
     def ranked(self) -> DataFrame:
-        return self.once("ranked", lambda: sampling.ranked_persons(self.pool(), SMALL_STUDY))
+        return self.once("ranked", lambda: sampling.ranked_persons(self.pool(), STUDY))
 
     def takes(self) -> DataFrame:
-        return sampling.take_table(self.pool(), self.ranked(), SMALL_STUDY)
+        return sampling.take_table(self.pool(), self.ranked(), STUDY)
 
     def chosen(self) -> DataFrame:
         return self.once("chosen", lambda: sampling.quota_sample(self.ranked(), self.takes()))
 
     def moved(self) -> DataFrame:
         return self.once("moved", lambda: sampling.experiment_rows(
-            self.pool(), self.chosen(), SMALL_STUDY))
+            self.pool(), self.chosen(), STUDY))
 
     def datasets(self) -> DataFrame:
         return self.once("datasets", lambda: sampling.datasets_of(self.pool(), self.chosen(), self.moved()))

@@ -1,4 +1,4 @@
-"""Case records derived from the `orders` table: one customer is a person, one order a case.
+"""Case records derived from the `orders` table: one order is a case, a customer stands for several persons.
 
 The text runs unchanged on Spark SQL and DuckDB, so both sides of every check
 start from the same rows.  `{orders}` is the table to read.
@@ -12,26 +12,34 @@ from pyspark.sql import functions as F
 from kithlink.operators.cluster import ADMIN_ROLE, EXPERIMENT_ROLE
 from kithlink.operators.scale import lookup
 
-# `r <= 8` repeats the largest planted cluster size as a literal, so that each map
-# task already drops the later orders of a customer before the shuffle.
+# Every order is a case.  A customer's orders, in their order, belong to one person after another, of 1, 2,
+# 1, 2, 1, 3, 2, 1, 4, 1, 8, 1 records, over and over; customers start at different places of this round of 27.
 RAW_CASES_SQL = """
 WITH o AS (
-  SELECT o_orderkey, o_custkey AS k, CAST(o_orderdate AS DATE) AS od,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r
+  SELECT o_orderkey, o_custkey AS c, CAST(o_orderdate AS DATE) AS od,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 + o_custkey % 27 AS nth
   FROM {orders}),
+p AS (
+  SELECT o.*, CAST(floor(nth / 27) AS BIGINT) AS round_, nth % 27 AS place FROM o),
+g AS (
+  SELECT p.*, CASE WHEN place < 1 THEN 0 WHEN place < 3 THEN 1 WHEN place < 4 THEN 2 WHEN place < 6 THEN 3 WHEN place < 7 THEN 4
+                   WHEN place < 10 THEN 5 WHEN place < 12 THEN 6 WHEN place < 13 THEN 7 WHEN place < 17 THEN 8
+                   WHEN place < 18 THEN 9 WHEN place < 26 THEN 10 ELSE 11 END AS grp
+  FROM p),
 s AS (
-  SELECT o.*, CASE WHEN k % 13 = 12 THEN k - 1 ELSE k END AS pk,
-         CASE WHEN k % 1000 < 499 THEN 1 WHEN k % 1000 < 899 THEN 2 WHEN k % 1000 < 959 THEN 3
-              WHEN k % 1000 < 989 THEN 4 ELSE 8 END AS cl,
+  SELECT o_orderkey, od, k, r, CASE WHEN k % 13 = 12 THEN k - 1 ELSE k END AS pk,
          CASE WHEN k % 10 IN (0,1,2,3) THEN 'EM' WHEN k % 10 IN (4,5,6,7) THEN 'NEM' ELSE 'MIX' END AS kind
-  FROM o WHERE r <= 8),
+  FROM (SELECT o_orderkey, od, c + 1000003 * (12 * round_ + grp) AS k,
+               1 + place - CASE grp WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 6 WHEN 5 THEN 7 WHEN 6 THEN 10
+                                    WHEN 7 THEN 12 WHEN 8 THEN 13 WHEN 9 THEN 17 WHEN 10 THEN 18 ELSE 26 END AS r
+        FROM g) x),
 v AS (
   SELECT s.*, CASE WHEN kind = 'EM' THEN 1 WHEN kind = 'MIX' AND r > 2 THEN 2 ELSE r END AS e,
     substr('SMITJOHNWILLBROWJONEGARCMILLDAVIRODRMARTHERNLOPEGONZWILSANDETHOM', CAST(1 + 4 * (pk % 16) AS INT), 4)
       || substr('SONTONMANLEYFORDENBERINGUEZRISOWSKIVICLUND', CAST(1 + 3 * (CAST(floor(pk / 16) AS BIGINT) % 14) AS INT), 3) AS ln,
     substr('JAMESMARIAROBERLINDADAVIDSUSANJASONKAREN', CAST(1 + 5 * (CAST(floor(pk / 5) AS BIGINT) % 8) AS INT), 5) AS fn,
     substr('ABCDEFGHJKLM', CAST(1 + (pk % 12) AS INT), 1) AS mi
-  FROM s WHERE r <= cl),
+  FROM s),
 w AS (
   SELECT v.*, DATE '1950-01-01' + CAST((pk * 7919) % 18000 + CASE WHEN e IN (3, 5, 7) THEN e ELSE 0 END AS INT) AS d FROM v)
 SELECT CAST(1000000 + o_orderkey AS STRING) AS casnbr,

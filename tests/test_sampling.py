@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kithlink.operators import profile, sampling
-from kithlink.plans.workspace import SMALL_STUDY, Workspace
+from kithlink.plans.workspace import STUDY, Workspace
 
 
 def test_shortage_is_filled_from_smaller_sizes_keeping_records():
@@ -20,7 +20,7 @@ def test_quota_rules():
         sampling.class_quota("mixed", 2, 5, .5)
     for bad in ({1: .5}, {1: .7, 2: .7}):
         with pytest.raises(ValueError):
-            sampling.person_quotas(bad, 100, None, SMALL_STUDY)
+            sampling.person_quotas(bad, 100, None, STUDY)
 
 
 def clusters(spark, sizes):
@@ -39,7 +39,7 @@ def test_truncation_loses_no_person_and_respects_the_limit(spark, sizes):
 
 def test_split_halves_every_stratum_and_keeps_persons_apart(spark, folder):
     w = Workspace(spark, folder)
-    split = sampling.train_eval_split(w.pool(), SMALL_STUDY)
+    split = sampling.train_eval_split(w.pool(), STUDY)
     assert split.count() == split.select("sid").distinct().count() == w.pool().select("sid").distinct().count()
     sides = split.groupBy("entity_class", "n_records").pivot("side", list(sampling.SIDES)).count().fillna(0)
     assert sides.where(F.abs(F.col("training") - F.col("evaluation")) > 1).count() == 0
@@ -47,7 +47,7 @@ def test_split_halves_every_stratum_and_keeps_persons_apart(spark, folder):
 
 def test_same_seed_same_rows_for_any_partitioning(spark, folder):
     pool = Workspace(spark, folder).pool()
-    one, two = (sorted(r.rowid for r in sampling.build_datasets(df, SMALL_STUDY).select("rowid").collect())
+    one, two = (sorted(r.rowid for r in sampling.build_datasets(df, STUDY).select("rowid").collect())
                 for df in (pool.repartition(1), pool.repartition(9)))
     assert one == two
 
