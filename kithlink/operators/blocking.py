@@ -16,7 +16,8 @@ from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithlink.operators.scale import lookup, pairs_between, pairs_within, seeded_rank, staged
+from kithlink.functions.seeded import order_hash
+from kithlink.operators.scale import lookup, pairs_between, pairs_within, staged
 
 # What a comparison looks at; records equal on all of it are copies of each other.
 COMPARED = ["first_name", "last_name", "date_of_birth", "age_in_2020", "middle_initial", "race", "sex"]
@@ -63,21 +64,27 @@ def stack_roles(admin: DataFrame, experiment: DataFrame) -> DataFrame:
 
 # -- profiles and candidate pairs -----------------------------------------------------
 
-def profiles(records: DataFrame, also: tuple[str, ...] = ("sid", "dataset")) -> DataFrame:
-    """One row per group of copies: its lowest rowid, what is compared, and the number of copies."""
+def profiles(records: DataFrame, also: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """One row per group of copies: its lowest rowid, what is compared, and the number of copies.
+
+    Who the records belong to plays no part in the grouping, it is what a linker has to find out; `sid`
+    is the lowest of the group and serves as its label.
+    """
     return (records.groupBy(*COMPARED, *also)
-            .agg(F.min("rowid").alias("rowid"), F.count("*").alias("copies"))
+            .agg(F.min("sid").alias("sid"), F.min("rowid").alias("rowid"), F.count("*").alias("copies"))
             .withColumn("yob", F.year("date_of_birth")))
 
 
-def copy_edges(records: DataFrame, linked: DataFrame, also: tuple[str, ...] = ("sid", "dataset")) -> DataFrame:
-    """Star edges from the profiles in `linked` (rowid) to their copies, to widen matches to records."""
+def copy_edges(records: DataFrame, linked: DataFrame | None = None, also: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """Star edges from the profiles in `linked` (rowid; without it from all) to their copies, to widen
+    matches to records."""
     keys = [*COMPARED, *also]
     # a digest with the nulls spelled out makes the grouping a plain equality key
     key = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).cast("binary"))
     keyed = records.select("rowid", key.alias("_copy"))
     lowest = keyed.groupBy("_copy").agg(F.min("rowid").alias("rowid1"), F.count("*").alias("n")).where("n > 1")
-    wanted = lowest.join(linked.select(F.col("rowid").alias("rowid1")).distinct(), "rowid1", "left_semi")
+    wanted = lowest if linked is None else lowest.join(
+        linked.select(F.col("rowid").alias("rowid1")).distinct(), "rowid1", "left_semi")
     return (lookup(keyed.withColumnRenamed("rowid", "rowid2"), wanted, ["_copy"], F.col("rowid2"),
                    how="inner", rows_col="n")
             .where("rowid1 < rowid2").select("rowid1", "rowid2"))
@@ -129,9 +136,8 @@ def candidates_within(rows: DataFrame, keys: list[list[str]]) -> DataFrame:
 
 def candidate_sample(pairs: DataFrame, size: int, seed: int) -> DataFrame:
     """The first `size` candidate pairs in seeded order: the bounded pool a model trains on."""
-    named = pairs.withColumns({"_pair": F.concat_ws("-", "rowid1", "rowid2"), "_all": F.lit(0)})
-    return (seeded_rank(named, ["_all"], "_pair", seed, "candidates", "_turn")
-            .where(F.col("_turn") <= size).drop("_pair", "_all", "_turn"))
+    pair = F.concat_ws("-", "rowid1", "rowid2")
+    return pairs.orderBy(order_hash(seed, "candidates", pair), pair).limit(size)
 
 
 def candidate_stats(pairs: DataFrame) -> DataFrame:

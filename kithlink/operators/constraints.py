@@ -37,11 +37,14 @@ def cluster_state(members: DataFrame, key: str) -> DataFrame:
 
 
 def record_state(nodes: DataFrame) -> DataFrame:
-    """State of a cluster of one record; `nodes` has rowid, dataset, uid_sid."""
+    """State of a cluster of one row; `nodes` has rowid, dataset, uid_sid and, if its rows stand for
+    several equal records, copies."""
     role = F.col("dataset")
+    copies = F.col("copies").cast("long") if "copies" in nodes.columns else F.lit(1).cast("long")
+    of = lambda is_role: F.when(is_role, copies).otherwise(F.lit(0).cast("long"))
     return nodes.select(
-        "rowid", (role == EXPERIMENT).cast("long").alias("n_experiment"),
-        (role == TRAINING).cast("long").alias("n_training"), (role != TRAINING).cast("long").alias("n_other"),
+        "rowid", of(role == EXPERIMENT).alias("n_experiment"),
+        of(role == TRAINING).alias("n_training"), of(role != TRAINING).alias("n_other"),
         F.col("uid_sid").alias("uid_low"), F.col("uid_sid").alias("uid_high"))
 
 
@@ -280,6 +283,10 @@ def partition_clusters(edges: DataFrame, cut: float = 0.5, task_edges: int = TAS
     Edges below the cut still lower the mean between clusters, so they stay in, but only
     components connected above the cut can merge at all.
     """
+    # a repeated edge counts once, with its best score
+    edges = staged(edges.where("rowid1 != rowid2")
+                   .groupBy(F.least("rowid1", "rowid2").alias("rowid1"), F.greatest("rowid1", "rowid2").alias("rowid2"))
+                   .agg(F.max("score").alias("score")), "once")
     strong = edges.where(F.col("score") >= cut)
     parts = staged(connected_components(strong).withColumnRenamed("cluster_id", "_comp"), "parts")
     placed = edges
