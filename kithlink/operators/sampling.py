@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -149,24 +150,27 @@ def person_quotas(target: dict[int, float], n_persons: int, n_records_by_size: d
     """
     if n_records_by_size is None and not 0.9999 <= sum(target.values()) <= 1.0001:
         raise ValueError(f"target shares sum to {sum(target.values())}, not to 1")
-    base = n_records_by_size or {s: int(share * n_persons) for s, share in target.items()}
-    total = sum(s * n for s, n in base.items())
-    moved = rules.experiment_n / 2
-    largest = max(target)
-    quotas = {}
-    for size in rules.sample_sizes:
-        wanted = sum(round(round(size / total * n * s) / s) for s, n in base.items())
-        shifted = {s: share * wanted for s, share in target.items()}
-        for s, share in target.items():
-            if s < largest:
-                shifted[s] -= int(moved * share)
-                shifted[s + 1] = shifted.get(s + 1, 0.0) + int(moved * share)
-        whole = sum(shifted.values())
-        adjusted = {s: int(v / whole * n_persons) for s, v in shifted.items()}
-        adjusted_total = sum(s * n for s, n in adjusted.items())
-        share_of_total = (size + moved) / adjusted_total
-        quotas[size] = {s: round(round(share_of_total * n * s) / s) for s, n in adjusted.items()}
-    return quotas
+    # one row per cluster size
+    sizes = np.array(sorted(target), dtype=float)
+    shares = np.array([target[s] for s in sorted(target)], dtype=float)
+    offered = (np.array([n_records_by_size.get(int(s), 0) for s in sizes], dtype=float) if n_records_by_size
+               else np.trunc(shares * n_persons))
+    half = rules.experiment_n / 2
+    # persons that lose a record to the experiment set come from the next larger size
+    lost = np.trunc(half * shares)
+    gained = np.concatenate([[0.0], lost[:-1]])
+    lost[-1] = 0.0
+
+    def made_up_like(offer: np.ndarray, records: float) -> np.ndarray:
+        """Persons per size that hold about `records` records in the proportions of `offer`."""
+        return np.rint(np.rint(records / (sizes * offer).sum() * offer * sizes) / sizes)
+
+    def quota(records: int) -> dict[int, int]:
+        level = shares * made_up_like(offered, records).sum() + gained - lost
+        wanted = made_up_like(np.trunc(level / level.sum() * n_persons), records + half)
+        return {int(s): int(n) for s, n in zip(sizes, wanted)}
+
+    return {records: quota(records) for records in rules.sample_sizes}
 
 
 def class_quota(kind: str, size: int, persons: int, share_exact: float) -> int:
