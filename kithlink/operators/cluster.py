@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kithlink.operators.scale import lookup, staged
+from kithlink.operators.scale import discard, lookup, staged
 
 # Cluster ids of unlinked records, different per role so they never meet.
 UNLINKED_ADMIN = -2
@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, a: str = "rowid1", b: str = "rowid2")
                    .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                    .distinct().withColumn("moved", F.lit(True)), "links")
     while True:
-        links = staged(_smaller_neighbours_to_minimum(_larger_neighbours_to_minimum(links)), "stars")
+        before, links = links, staged(_smaller_neighbours_to_minimum(_larger_neighbours_to_minimum(links)), "stars")
+        discard(before)
         if not links.agg(F.max("moved")).first()[0]:
             break
     members = links.select(F.col("u").alias("rowid"), F.col("v").alias("cluster_id"))
@@ -66,10 +67,14 @@ def assign_clusters(records: DataFrame, clusters: DataFrame | None = None,
         raise ValueError("give either clusters or matches")
     if clusters is None:
         clusters = connected_components(matches)
+    records = records.select("rowid", "sid", "dataset", "date_of_birth")
+    # one cluster id per record, or the records would multiply
+    clusters = clusters.groupBy("rowid").agg(
+        F.when(F.min("cluster_id") == F.max("cluster_id"), F.min("cluster_id"))
+        .otherwise(F.raise_error(F.lit("a record is in two clusters")).cast("bigint")).alias("cluster_id"))
     unlinked = (F.when(F.col("dataset") == ADMIN_ROLE, F.lit(UNLINKED_ADMIN))
                 .when(F.col("dataset") == EXPERIMENT_ROLE, F.lit(UNLINKED_EXPERIMENT)))
-    return (records.select("rowid", "sid", "dataset", "date_of_birth")
-            .join(clusters.select("rowid", "cluster_id"), "rowid", "left")
+    return (records.join(clusters, "rowid", "left")
             .withColumn("cluster_id", F.coalesce("cluster_id", unlinked.cast("bigint"))))
 
 

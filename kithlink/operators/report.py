@@ -105,7 +105,12 @@ def bootstrap_flags(bootstraps: DataFrame, points: DataFrame) -> DataFrame:
     """Bootstrap rows of the labelled arms with the flags of their run; one flag row per run."""
     keys = [*POINT_GROUP, "model_iter"]
     flags = points.select(*keys, "is_median", "is_worst_case_scenario")
-    return arm_labels(bootstraps).join(flags, keys)
+    labelled = arm_labels(bootstraps)
+    flagged = labelled.join(flags, keys)
+    before, after = labelled.count(), flagged.count()
+    if before != after:
+        raise ValueError(f"{before} bootstrap rows became {after} when their flags were attached")
+    return flagged
 
 
 def arm_comparison(flagged: DataFrame, metric: str) -> DataFrame:

@@ -30,15 +30,33 @@ TILE_ROWS = 4_000
 PAIRS_PER_TASK = 1_000_000
 
 
+# The temporary folder of each local application that names no shared one.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode.
+
+    The setting belongs to the session and is only read.  Whether its folder is one that all machines
+    share is for the cluster to say; a path without a scheme can be a mounted share.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="kithlink-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _LOCAL_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="kithlink-"))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `staged` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    root = scratch_folder(spark)
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        # only what stands in the scratch folder
+        if folder.getParent().toUri().getPath() == spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath():
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
