@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kithlink.plans.queries import QUERIES
 from tools.check_oracle import TABLES, canonical
 
 
@@ -31,7 +32,7 @@ def test_oracle_names_are_queries():
     assert set(oracle.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, database, folder, name):
     got = canonical(entry.queries()[name](spark, folder).toPandas())
     sql = entry.oracle_sql().get(name)
