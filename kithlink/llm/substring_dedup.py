@@ -82,17 +82,34 @@ def _parts(data: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[np.
         yield data[at:to], np.array([0, to - at]), at
 
 
+def _settle_here(doc: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, code: np.ndarray,
+                 same: np.ndarray) -> pa.RecordBatch:
+    """Contexts as rows; those that equal an earlier one of these are spans at once, neighbours as one, without a k-gram."""
+    order = np.lexsort((start, doc, same, code))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (code[order[1:]] == code[order[:-1]]) & (same[order[1:]] == same[order[:-1]])
+    k = np.flatnonzero(again)
+    k = k[np.lexsort((start[k], doc[k]))]
+    opens = np.flatnonzero(np.concatenate([[True], (doc[k[1:]] != doc[k[:-1]]) | (start[k[1:]] != start[k[:-1]] + count[k[:-1]])])
+                           if len(k) else np.zeros(0, bool))
+    spans = np.add.reduceat(count[k], opens) if len(k) else count[:0]
+    first, one = k[opens], np.flatnonzero(~again)
+    both = lambda x, y: pa.array(np.concatenate([x, y]))
+    none = np.zeros(len(first), np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(code[one].view(np.int64))]), both(none, same[one].view(np.int64)),
+         both(doc[first], doc[one]), both(start[first], start[one]), both(spans, count[one]).cast(pa.int32()),
+         both(none, lead[one]).cast(pa.int32())], [c.split()[0] for c in CONTEXT.split(", ")])
+
+
 def index(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """One row per context of each document."""
+    """One row per context of each document; what repeats within a batch of texts is settled there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             ids = batch.column("doc_id").to_numpy()
             for data, ends, offset in _parts(*bytes_of(batch.column("text")), least):
                 text, start, count, lead, code, same = contexts(data, ends, least, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code.view(np.int64)), pa.array(same.view(np.int64)), pa.array(ids[text]), pa.array(start + offset),
-                     pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))],
-                    [c.split()[0] for c in CONTEXT.split(", ")])
+                yield _settle_here(ids[text], start + offset, count, lead, code, same)
 
     return docs.mapInArrow(run, CONTEXT)
 
@@ -120,6 +137,15 @@ def _settle_equal(rows: DataFrame, least: int, most: int) -> DataFrame:
         held: dict[str, np.ndarray] | None = None
         crowds = np.zeros(0, np.int64)
         for batch in batches:
+            # spans come first and only pass through
+            ready = batch.column("gram").null_count
+            if ready:
+                out = batch.slice(0, ready)
+                yield pa.RecordBatch.from_arrays([out.column(c) for c in ("gram", *names[2:])] + [pa.array(np.zeros(ready, bool))],
+                                                 ["gram", *names[2:], "crowded"])
+                batch = batch.slice(ready)
+                if not batch.num_rows:
+                    continue
             new = {c: batch.column(c).to_numpy() for c in names}
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
             # the last k-gram may go on; a long run of it is passed on up to its last context
@@ -137,7 +163,8 @@ def _settle_equal(rows: DataFrame, least: int, most: int) -> DataFrame:
             yield settle(held, crowds)
 
     order = ["gram", "same", "doc_id", "start"]
-    return (rows.repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions(*order)
+    place = F.coalesce("gram", F.xxhash64("doc_id", "start"))
+    return (rows.repartition(partitions(rows.sparkSession), place).sortWithinPartitions(*order)
             .mapInArrow(run, "gram long, doc_id long, start long, strings int, lead int, crowded boolean"))
 
 
