@@ -62,6 +62,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
             at = to
 
 
+def text_pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """An array of texts cut like `pieces`."""
+    for batch in pieces([pa.RecordBatch.from_arrays([texts], ["text"])], most=most):
+        yield batch.column("text")
+
+
 def offsets_of(texts: pa.Array) -> np.ndarray:
     """Where each text starts in the array's buffer, and where the last ends."""
     kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32

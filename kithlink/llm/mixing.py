@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from kithlink.llm.common import bytes_of, mix, pieces, unused
+from kithlink.llm.common import bytes_of, mix, pieces, text_pieces, unused
 from kithlink.llm.shingles import word_hashes
 from kithlink.operators.scale import staged
 
@@ -99,17 +98,18 @@ def fit_posterior(docs: DataFrame, domain: str, rule: Fitting = Fitting()) -> Po
 
 def member_shares(docs: DataFrame, posterior: Posterior) -> DataFrame:
     """The rows of `docs` with `tokens` (words) and `shares` (of the posterior's domains)."""
-    keep = docs.drop("tokens", "shares")
-    whole = unused(docs, "whole_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, whole):
-            p, words = posterior(*bytes_of(batch.column(whole)))
-            shares = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-            yield batch.drop_columns([whole]).append_column("tokens", pa.array(words.astype(np.int64))).append_column("shares", shares)
-
-    schema = StructType([*keep.schema.fields, StructField("tokens", LongType()), StructField("shares", ArrayType(DoubleType()))])
-    return keep.withColumn(whole, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
+    @F.arrow_udf("tokens long, shares array<double>")
+    def run(text: pa.Array) -> pa.Array:
+        found = [posterior(*bytes_of(piece)) for piece in text_pieces(text)]
+        p = np.concatenate([np.zeros((0, len(posterior.domains))), *(p for p, _ in found)])
+        words = np.concatenate([np.zeros(0, np.int64), *(w for _, w in found)])
+        shares = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+        return pa.StructArray.from_arrays([pa.array(words.astype(np.int64)), shares], ["tokens", "shares"])
+
+    found = unused(docs, "found")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return (docs.drop("tokens", "shares").withColumn(found, run(whole))
+            .withColumns({"tokens": F.col(found)["tokens"], "shares": F.col(found)["shares"]}).drop(found))
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, rule: Fitting = Fitting()) -> np.ndarray:

@@ -15,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kithlink.llm import labelled
-from kithlink.llm.common import bytes_of, pieces, unused
+from kithlink.llm.common import bytes_of, pieces, text_pieces
 
 BLOCK, STRIDE, WIDTH = 128, 2, 8
 PLACES = BLOCK // STRIDE
@@ -188,15 +187,12 @@ def score_rows(docs: DataFrame, network: Network, name: str = "score") -> DataFr
     Null and empty texts are scored as blocks of zeros.  Repeated rows are scored as often as they
     stand there, an empty table gives no rows.  A column of `docs` called like the score is replaced.
     """
-    keep = docs.drop(name)
-    whole = unused(docs, "whole_text")
+    @F.arrow_udf("double")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.float64()), *(
+            pa.array(network.scores(*bytes_of(piece))) for piece in text_pieces(text, 1_000_000))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, whole, 1_000_000):
-            yield batch.drop_columns([whole]).append_column(name, pa.array(network.scores(*bytes_of(batch.column(whole)))))
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return keep.withColumn(whole, text).mapInArrow(run, StructType([*keep.schema.fields, StructField(name, DoubleType())]))
+    return docs.drop(name).withColumn(name, run(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
