@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kithlink.operators.scale import staged
 
 # Text that a task holds as arrays at a time; a single longer text is handled alone.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,15 +111,16 @@ class RunHash:
     """
     BASE = 0x9E3779B97F4A7C15
     INVERSE = pow(BASE, -1, 1 << 64)
+    # powers of both, one table for all hashes of a process
+    up = down = np.ones(1, np.uint64)
 
     def __init__(self, symbols: int, seed: int):
         self.table = mix(np.arange(1, symbols + 1, dtype=np.uint64) + np.uint64(seed << 32))
-        self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            self.up, self.down = (np.cumprod(np.full(n, factor, np.uint64)) * np.uint64(pow(factor, -1, 1 << 64))
+            n = max(n, min(2 * len(self.up), PIECE_BYTES + 1))
+            RunHash.up, RunHash.down = (np.cumprod(np.full(n, factor, np.uint64)) * np.uint64(pow(factor, -1, 1 << 64))
                                   for factor in (self.BASE, self.INVERSE))
 
     def sums(self, symbols: np.ndarray) -> np.ndarray:

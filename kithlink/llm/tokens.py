@@ -18,7 +18,7 @@ from kithlink.llm.common import RunHash, ragged
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 PLANE = 0x3000
 # Distinct words a worker remembers before it starts over.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 250_000
 
 
 def _classes() -> np.ndarray:
