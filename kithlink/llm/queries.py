@@ -63,7 +63,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    cut = line_dedup.dedup_passages(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from kithlink.llm import line_dedup, mixing
+from kithlink.llm import line_dedup, mixing, queries
 from tests.llm.helpers import none, odd, prose
 
 
@@ -62,6 +62,63 @@ def test_copies_of_common_lines_are_found_too(spark):
     assert {r.doc_id: r.n_removed for r in got} == {i: 4 if i else 0 for i in range(30)}
 
 
+def all_earlier(docs, least):
+    """The lines that aligning with each earlier document would delete, and those of runs that one of them has."""
+    lines = {i: [x.strip() or None for x in t.split("\n")] for i, t in docs}
+    runs = {}
+    for i, ls in lines.items():
+        at = [k for k, x in enumerate(ls) if x]
+        runs[i] = {tuple(ls[k] for k in at[a:b]): [] for a in range(len(at)) for b in range(a + 1, len(at) + 1)
+                   if sum(len(ls[k]) for k in at[a:b]) >= least}
+        for a in range(len(at)):
+            for b in range(a + 1, len(at) + 1):
+                if (key := tuple(ls[k] for k in at[a:b])) in runs[i]:
+                    runs[i][key] += at[a:b]
+    aligned, held = {}, {}
+    for i, ls in lines.items():
+        before = [j for j in lines if j < i]
+        aligned[i] = {k for j in before for k in line_dedup.repeated_lines(ls, lines[j], [len(x or "") for x in ls], least)}
+        held[i] = {k for key, places in runs[i].items() if any(key in runs[j] for j in before) for k in places}
+    return aligned, held
+
+
+def test_passages_are_held_against_all_earlier_documents(spark):
+    rng = random.Random(8)
+    pool = [" ".join(prose(rng, rng.randrange(1, 10))) for _ in range(60)]
+    docs = []
+    for i in range(80):
+        ls = [rng.choice(pool) if rng.random() < 0.4 else " ".join(prose(rng, 9, 10 ** 6)) for _ in range(rng.randrange(1, 9))]
+        k = rng.randrange(0, 50)
+        docs.append((i, "\n".join(ls[:2] + pool[k:k + 3] + [" "] + ls[2:])))
+    aligned, held = all_earlier(docs, 40)
+    got = line_dedup.dedup_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for r in got:
+        assert aligned[r.doc_id] <= held[r.doc_id] and r.n_removed == len(held[r.doc_id])
+        whole = dict(docs)[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for k, x in enumerate(whole) if k not in held[r.doc_id])
+    assert sum(len(g) for g in held.values()) > 50
+
+
+def test_hot_and_scattered_passages_go_from_all_later_documents(spark, tmp_path):
+    one, two = ("\n".join(f"{name} line {k} of a passage that a great many documents hold" for k in range(2)) for name in ("first", "second"))
+    docs = [(0, one), (1, two)] + [(i, f"{one}\nown words of {i}\n{two}\nshared by {i // 2} and one more document only") for i in range(2, 152)]
+    # of a block whose lines stand alone in two earlier documents the first to hold it whole counts
+    docs += [(200, "a short line, alone here"), (201, "another short line, alone"),
+             (202, "a short line, alone here\nanother short line, alone"), (203, "x\na short line, alone here\nanother short line, alone")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    removed = {r.doc_id: r.n_removed for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert removed == {i: 0 if i < 2 or 200 <= i < 203 else 2 if i == 203 else 4 + i % 2 for i, _ in docs}
+
+
+def test_odd_rows_of_passages(spark):
+    got = line_dedup.dedup_passages(odd(spark), block_chars=10)
+    assert {"score", "tokens", "cut_lines"} <= set(got.columns)
+    rows = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()]
+    assert rows.count((5, "", 2, 2)) == 2 and (1, None, 0, 0) in rows and (2, "", 1, 0) in rows and (None, "no id", 1, 0) in rows
+    assert len(rows) == 9 and line_dedup.dedup_passages(none(spark)).collect() == []
+
+
 def test_odd_rows_of_lines(spark):
     got = line_dedup.dedup_lines(odd(spark), block_chars=10)
     assert {"score", "tokens", "cut_lines"} <= set(got.columns)
