@@ -27,11 +27,13 @@ BUCKETS = 1 << 13
 
 @dataclass(frozen=True)
 class Fitting:
-    """Labelled documents per domain, domains at most, steps at most, relative error that ends them."""
+    """Labelled documents per domain, domains at most, steps at most, relative error that ends them, steps
+    without progress that do."""
     per_domain: int = 400
     domains: int = 64
     steps: int = 60
     tolerance: float = 1e-6
+    patience: int = 5
 
 
 def _counts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,51 +114,81 @@ def member_shares(docs: DataFrame, posterior: Posterior) -> DataFrame:
             .withColumns({"tokens": F.col(found)["tokens"], "shares": F.col(found)["shares"]}).drop(found))
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, rule: Fitting = Fitting()) -> np.ndarray:
+def _rates(shares: np.ndarray, steps: np.ndarray, most: float) -> np.ndarray:
+    r = np.ones(len(shares))
+    for s in steps:
+        r = np.clip(r + shares @ s, 0.0, most)
+    return r
+
+
+def _sums(members: DataFrame, steps: np.ndarray, d: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain at the rates of `steps`, and the Gram matrix of the documents not at zero."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(d + d * d)
+        for batch in batches:
+            shares = batch.column("shares").flatten().to_numpy().reshape(-1, d)
+            tokens = batch.column("tokens").to_numpy().astype(np.float64)
+            r = _rates(shares, steps, most)
+            out[:d] += (r * tokens) @ shares
+            out[d:] += (shares.T @ (shares * (tokens * (r > 0))[:, None])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], ["k", "x"])
+
+    out = np.zeros(d + d * d)
+    # at most d + d * d rows
+    for r in members.select("tokens", "shares").mapInArrow(add, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+        out[r.k] = r.x
+    return out[:d], out[d:].reshape(d, d)
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, rule: Fitting = Fitting(), most: float = math.inf) -> np.ndarray:
     """The dual steps of the fit, one row each; `rate` turns them into the rate of a document.
 
     Rates start at 1.  A step moves each rate along its document's part of the gradient, in the metric
-    of the domains' Gram matrix, and projects it to zero or above.  Documents of equal shares have equal
-    rates, so the steps depend on `shares` and `tokens` alone.
+    of the domains' Gram matrix, and projects it to between zero and `most`.  Documents of equal shares
+    have equal rates, so the steps depend on `shares` and `tokens` alone.  Targets that such rates cannot
+    meet end the fit when steps no longer come nearer.
     """
     d = len(targets)
     steps = np.zeros((0, d))
     scale = max(1.0, float(np.abs(targets).max()))
+    best, kept, since = math.inf, steps, 0
     for _ in range(rule.steps):
-        with_rate = members.select("tokens", "shares", rate(steps).alias("r"))
-        share = lambda i: F.col("shares")[i]
-        sums = with_rate.agg(
-            *[F.sum(F.col("r") * F.col("tokens") * share(i)).alias(f"t{i}") for i in range(d)],
-            *[F.sum(F.when(F.col("r") > 0, F.col("tokens") * share(i) * share(j))).alias(f"g{i}_{j}")
-              for i in range(d) for j in range(i, d)]).first()
-        total = np.array([sums[f"t{i}"] or 0.0 for i in range(d)])
+        total, gram = _sums(members, steps, d, most)
         miss = targets - total
-        if np.abs(miss).max() <= rule.tolerance * scale:
+        far = float(np.abs(miss).max())
+        since = 0 if far < best * 0.999 else since + 1
+        if far < best:
+            best, kept = far, steps
+        if best <= rule.tolerance * scale or since >= rule.patience:
             break
-        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
         gram += np.eye(d) * 1e-9 * max(1.0, np.trace(gram))
         steps = np.vstack([steps, np.linalg.solve(gram, miss)])
-    return steps
+    return kept
 
 
-def rate(steps: np.ndarray):
-    """The rate of a document from its shares: 1 at first, then each step, never below zero."""
-    r = F.lit(1.0)
+def rate(steps: np.ndarray, most: float = math.inf):
+    """The rate of a document from its shares: 1 at first, then each step, never below zero or above `most`."""
     if not len(steps):
-        return r
-    told = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    move = lambda s: F.aggregate(F.zip_with(s, F.col("shares"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return F.aggregate(told, r, lambda acc, s: F.greatest(F.lit(0.0), acc + move(s)))
+        return F.lit(1.0)
+
+    @F.arrow_udf("double")
+    def run(shares: pa.Array) -> pa.Array:
+        return pa.array(_rates(shares.flatten().to_numpy().reshape(-1, steps.shape[1]), steps, most))
+
+    return run(F.col("shares"))
 
 
 def mix_to_targets(docs: DataFrame, domain: str, weights: dict[str, float] | None = None, power: float = 0.7,
-                   labelled: DataFrame | None = None, seed: int = 0, rule: Fitting = Fitting()) -> DataFrame:
+                   labelled: DataFrame | None = None, seed: int = 0, rule: Fitting = Fitting(), budget: float | None = None,
+                   most: float = math.inf) -> DataFrame:
     """The rows of `docs` with tokens, shares, rate and copies.
 
     `labelled` (doc_id, text and the domain column; by default `docs`) is the table the classifier is
     fitted on.  The targets are `weights` by domain, or each domain's share of expected tokens to
-    `power`; their total is as large as no domain needs more tokens than it has.  `copies` is the rate
-    rounded up or down by a hash of the id, so that it is right on average and the same on every run.
+    `power`, of `budget` tokens, by default as many as `docs` has.  A domain that has fewer than its
+    target is repeated; with `most`, no rate is above it, and a domain that then cannot meet its target
+    misses it (see `report`) without taking from the others.  `copies` is the rate rounded up or down by
+    a hash of the id, so that it is right on average and the same on every run.
     Null and empty texts have no tokens and a rate that costs nothing; a null id is hashed as such.
     Repeated rows have equal rates.  Without a labelled row every rate is 1.  Columns called like the
     new ones are replaced.  An empty table gives no rows.
@@ -170,14 +202,27 @@ def mix_to_targets(docs: DataFrame, domain: str, weights: dict[str, float] | Non
     members = member_shares(keep, posterior)
     small = staged(member_shares(keep.select("text"), posterior).select("tokens", "shares"), "members")
     d = len(posterior.domains)
-    got = small.agg(*[F.sum(F.col("tokens") * F.col("shares")[i]).alias(f"t{i}") for i in range(d)]).first()
-    have = np.array([got[f"t{i}"] or 0.0 for i in range(d)])
+    have, _ = _sums(small, np.zeros((0, d)), d, math.inf)
     wanted = np.array([weights.get(n, 0.0) for n in posterior.domains]) if weights else np.power(np.maximum(have, 0), power)
     if not wanted.sum() or not have.sum():
         steps = np.zeros((0, d))
     else:
-        room = min(h / w for h, w in zip(have, wanted) if w > 0)
-        steps = fit_rates(small, wanted * room, rule)
+        targets = wanted / wanted.sum() * (have.sum() if budget is None else budget)
+        steps = fit_rates(small, np.minimum(targets, have * most), rule, most)
     even = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    return (members.withColumn("rate", rate(steps))
+    return (members.withColumn("rate", rate(steps, most))
             .withColumn("copies", F.floor(F.col("rate") + even).cast("long")))
+
+
+def report(mixed: DataFrame, domain: str, weights: dict[str, float] | None = None, power: float = 0.7,
+           budget: float | None = None) -> DataFrame:
+    """domain, tokens, target, drawn (tokens times copies) by label, from the rows of `mix_to_targets`."""
+    known = mixed.where(F.col(domain).isNotNull()).groupBy(F.col(domain).cast("string").alias("domain")).agg(
+        F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn"))
+    given = F.lit(0.0)
+    for n, w in (weights or {}).items():
+        given = F.when(F.col("domain") == n, F.lit(float(w))).otherwise(given)
+    part = known.withColumn("part", given if weights else F.pow(F.col("tokens").cast("double"), F.lit(power)))
+    total = part.agg(F.sum("part").alias("parts"), F.sum("tokens").alias("all"))
+    return part.crossJoin(total).select("domain", "tokens", (
+        F.col("part") / F.col("parts") * (F.col("all") if budget is None else F.lit(float(budget)))).alias("target"), "drawn")

@@ -1,7 +1,9 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kithlink.llm import line_dedup, mixing, queries
 from tests.llm.helpers import none, odd, prose
@@ -145,6 +147,22 @@ def test_rates_meet_the_targets(spark, mixed):
     assert abs(sum(r.copies * r.tokens for r in got) / total - 1) < 0.15
 
 
+def test_a_tiny_domain_does_not_shrink_the_others(spark, mixed):
+    tiny = spark.createDataFrame([(9000, "xx0 xx1 xx2", "xx"), (9001, "", "empty")], mixed.schema)
+    docs = mixed.unionByName(tiny)
+    got = mixing.mix_to_targets(docs, "lang").collect()
+    total = sum(r.tokens for r in got)
+    assert abs(sum(r.rate * r.tokens for r in got) / total - 1) < 0.01
+    told = {r.domain: r for r in mixing.report(spark.createDataFrame(got, "doc_id long, text string, lang string, tokens long, shares array<double>, "
+                                                                     "rate double, copies long"), "lang").collect()}
+    assert all(abs(told[d].drawn / told[d].target - 1) < 0.15 for d in ("en", "fr", "es"))
+    # drawn at most once: the small ones whole, the large one at its target
+    once = corpus_pipeline.mixed(spark, docs.withColumn("source", F.col("lang")).withColumn("n_chars", F.length("text")), "").collect()
+    assert len(once) == len({r.doc_id for r in once}) and sum(len(r.text.split()) for r in once) > 0.8 * total
+    kept = {d: sum(len(r.text.split()) for r in once if r.lang == d) for d in ("en", "fr", "es", "xx")}
+    assert all(kept[d] == told[d].tokens for d in ("fr", "es", "xx")) and abs(kept["en"] / told["en"].target - 1) < 0.15
+
+
 def test_projected_steps_solve_the_least_squares_problem(spark):
     """A target below what a mixed document must bring is missed as little as rates at zero allow."""
     rows = [(10, [1.0, 0.0])] * 5 + [(10, [0.0, 1.0])] * 5
