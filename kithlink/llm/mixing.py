@@ -1,7 +1,8 @@
 """Mixing of domains to target weights by soft membership.
 
-A classifier fitted on a bounded labelled table gives each document a posterior over domains.  Its
-tokens count for the domains in these shares.  Rates of documents are then fitted so that the expected
+A classifier fitted on a bounded labelled table gives each document a posterior over domains; where a
+document has a label itself, the posterior speaks only for the few labels that are wrong.  Its tokens
+count for the domains in these shares.  Rates of documents are then fitted so that the expected
 tokens of each domain meet their targets, by projected gradient least squares: each step is one
 distributed sum over all documents, and rates stay at zero or above.
 """
@@ -23,14 +24,17 @@ from kithlink.llm.shingles import word_hashes
 from kithlink.operators.scale import staged
 
 BUCKETS = 1 << 13
+# The domain of all labels that are none of the largest.
+REST = "(rest)"
 
 
 @dataclass(frozen=True)
 class Fitting:
-    """Labelled documents per domain, domains at most, steps at most, relative error that ends them, steps
-    without progress that do."""
+    """Labelled documents per domain, domains at most (the last for all smaller ones), share of wrong labels,
+    steps at most, relative error that ends them, steps without progress that do."""
     per_domain: int = 400
     domains: int = 64
+    wrong: float = 0.01
     steps: int = 60
     tolerance: float = 1e-6
     patience: int = 5
@@ -44,37 +48,51 @@ def _counts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Posterior:
-    """Multinomial naive Bayes over hashed words; a text's evidence is tempered by its length."""
+    """Multinomial naive Bayes over hashed words; a text's evidence is tempered by its length.
 
-    def __init__(self, domains: list[str], counts: np.ndarray, documents: np.ndarray):
+    `documents` is the number of each domain's documents, of which `counts` may cover a sample.
+    """
+
+    def __init__(self, domains: list[str], counts: np.ndarray, documents: np.ndarray, wrong: float = Fitting.wrong):
         self.domains = domains
+        self.wrong = wrong
         share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
         self.log_share = np.log(share).T.astype(np.float32).copy()
         self.prior = np.log((documents + 1) / (documents + 1).sum())
 
-    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One row of domain shares per text, and its words."""
+    def __call__(self, data: np.ndarray, ends: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One row of domain shares per text, and its words; `label` has the domain a text is labelled with or -1."""
         bucket, _, words = _counts(data, ends)
         sums = np.concatenate([np.zeros((1, len(self.domains))), np.cumsum(self.log_share[bucket], 0, dtype=np.float64)])
         at = np.concatenate([[0], np.cumsum(words)])
         z = (sums[at[1:]] - sums[at[:-1]]) / np.sqrt(np.maximum(1, words))[:, None] + self.prior
         z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True), words
+        z /= z.sum(1, keepdims=True)
+        known = np.flatnonzero(label >= 0)
+        z[known] *= self.wrong
+        z[known, label[known]] += 1 - self.wrong
+        return z, words
 
 
-def fit_posterior(docs: DataFrame, domain: str, rule: Fitting = Fitting()) -> Posterior:
-    """From up to `per_domain` labelled documents of each of the largest domains, by a hash of their ids.
+def fit_posterior(docs: DataFrame, domain: str, rule: Fitting = Fitting(), first: tuple[str, ...] = ()) -> Posterior:
+    """From up to `per_domain` labelled documents of each domain, by a hash of their ids.
 
-    Rows without a domain label are no examples.
+    If there are more than `domains`, the smallest are the domain REST together; those in `first` are not among
+    these as long as others are.  Rows without a domain label are no examples.
     """
     labelled = docs.where(F.col(domain).isNotNull()).select(
         "doc_id", F.col(domain).cast("string").alias("domain"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = labelled.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(rule.domains).collect()
-    names = sorted(r.domain for r in sizes)
+    sizes = (labelled.groupBy("domain").agg(F.count("*").alias("n"))
+             .orderBy(F.desc(F.col("domain").isin(*first)), F.desc("n"), "domain").limit(rule.domains + 1).collect())
+    if len(sizes) > rule.domains:
+        own = [r.domain for r in sizes[:rule.domains - 1]]
+        labelled = labelled.withColumn("domain", F.when(F.col("domain").isin(own), F.col("domain")).otherwise(REST))
+        sizes = labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()
+    size = {r.domain: r.n for r in sizes}
+    names = sorted(size)
     # the first of each of many slices of a domain, then the first of those
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = (labelled.select("doc_id", "domain", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("slice"))
-           .where(F.col("domain").isin(names))
            .withColumn("k", F.row_number().over(Window.partitionBy("domain", "slice").orderBy(*order))).where(F.col("k") <= rule.per_domain)
            .withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).where(F.col("k") <= rule.per_domain)
            .select("doc_id", "domain"))
@@ -82,35 +100,45 @@ def fit_posterior(docs: DataFrame, domain: str, rule: Fitting = Fitting()) -> Po
     chosen = labelled.join(F.broadcast(ids), ["doc_id", "domain"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), BUCKETS + 1))
+        total = np.zeros((len(names), BUCKETS))
         for batch in pieces(batches):
             bucket, of, _ = _counts(*bytes_of(batch.column("text")))
             d = np.searchsorted(names, batch.column("domain").to_pylist())
-            total[:, :BUCKETS] += np.bincount(d[of] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), -1)
-            total[:, BUCKETS] += np.bincount(d, minlength=len(names))
+            total += np.bincount(d[of] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array(list(total))], ["d", "c"])
 
-    got = np.zeros((len(names), BUCKETS + 1))
+    got = np.zeros((len(names), BUCKETS))
     # of each task its few rows of counts
     if names:
         for r in chosen.select("domain", "text").coalesce(8).mapInArrow(count, "d int, c array<double>").collect():
             got[r.d] += r.c
-    return Posterior(names, got[:, :BUCKETS], got[:, BUCKETS])
+    return Posterior(names, got, np.array([size[n] for n in names]), rule.wrong)
 
 
-def member_shares(docs: DataFrame, posterior: Posterior) -> DataFrame:
+def member_shares(docs: DataFrame, posterior: Posterior, domain: str) -> DataFrame:
     """The rows of `docs` with `tokens` (words) and `shares` (of the posterior's domains)."""
+    d = len(posterior.domains)
+
     @F.arrow_udf("tokens long, shares array<double>")
-    def run(text: pa.Array) -> pa.Array:
-        found = [posterior(*bytes_of(piece)) for piece in text_pieces(text)]
-        p = np.concatenate([np.zeros((0, len(posterior.domains))), *(p for p, _ in found)])
+    def run(text: pa.Array, label: pa.Array) -> pa.Array:
+        known, at, found = label.to_numpy(zero_copy_only=False), 0, []
+        for piece in text_pieces(text):
+            found.append(posterior(*bytes_of(piece), known[at:at + len(piece)]))
+            at += len(piece)
+        p = np.concatenate([np.zeros((0, d)), *(p for p, _ in found)])
         words = np.concatenate([np.zeros(0, np.int64), *(w for _, w in found)])
         shares = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
         return pa.StructArray.from_arrays([pa.array(words.astype(np.int64)), shares], ["tokens", "shares"])
 
     found = unused(docs, "found")
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return (docs.drop("tokens", "shares").withColumn(found, run(whole))
+    label = F.lit(-1)
+    if domain in docs.columns:
+        own = F.col(domain).cast("string")
+        place = F.array_position(F.array(*[F.lit(n) for n in posterior.domains]), own)
+        rest = posterior.domains.index(REST) if REST in posterior.domains else -1
+        label = F.when(own.isNull(), -1).when(place > 0, place - 1).otherwise(rest)
+    return (docs.drop("tokens", "shares").withColumn(found, run(whole, label.cast("int")))
             .withColumns({"tokens": F.col(found)["tokens"], "shares": F.col(found)["shares"]}).drop(found))
 
 
@@ -194,13 +222,14 @@ def mix_to_targets(docs: DataFrame, domain: str, weights: dict[str, float] | Non
     new ones are replaced.  An empty table gives no rows.
     """
     keep = docs.drop("tokens", "shares", "rate", "copies")
-    posterior = fit_posterior(docs if labelled is None else labelled, domain, rule)
+    posterior = fit_posterior(docs if labelled is None else labelled, domain, rule, tuple(weights or ()))
     if not posterior.domains:
         none = F.array().cast("array<double>")
         return keep.withColumn("tokens", F.lit(0).cast("long")).withColumn("shares", none).withColumn(
             "rate", F.lit(1.0)).withColumn("copies", F.lit(1).cast("long"))
-    members = member_shares(keep, posterior)
-    small = staged(member_shares(keep.select("text"), posterior).select("tokens", "shares"), "members")
+    members = member_shares(keep, posterior, domain)
+    texts = keep.select("text", *([domain] if domain in keep.columns else []))
+    small = staged(member_shares(texts, posterior, domain).select("tokens", "shares"), "members")
     d = len(posterior.domains)
     have, _ = _sums(small, np.zeros((0, d)), d, math.inf)
     wanted = np.array([weights.get(n, 0.0) for n in posterior.domains]) if weights else np.power(np.maximum(have, 0), power)

@@ -58,7 +58,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_to_targets(table(spark, sf_dir, "documents"), "lang")
+    mixed = mixing.mix_to_targets(table(spark, sf_dir, "documents"), "source")
     return mixed.select("doc_id", "tokens", F.round("rate", 9).alias("rate"), "copies")
 
 

@@ -163,6 +163,23 @@ def test_a_tiny_domain_does_not_shrink_the_others(spark, mixed):
     assert all(kept[d] == told[d].tokens for d in ("fr", "es", "xx")) and abs(kept["en"] / told["en"].target - 1) < 0.15
 
 
+def test_sources_meet_their_targets_in_the_query(spark, tmp_path):
+    """Texts that say nothing of their source, one that holds most of them, and more sources than domains."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(prose(rng, 30)), "en", s) for i, s in enumerate(["hot"] * 1200 + ["a"] * 200 + ["b"] * 200 + [f"s{k}" for k in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    of = {i: s for i, _, _, s in rows}
+    got = queries.op2_mixing(spark, str(tmp_path)).collect()
+    part = {s: (30 * n) ** 0.7 for s, n in [("hot", 1200), ("a", 200), ("b", 200), *((f"s{k}", 1) for k in range(40))]}
+    for s in ("hot", "a", "b"):
+        drawn = sum(r.rate * r.tokens for r in got if of[r.doc_id] == s)
+        assert abs(drawn / (30 * 1640 * part[s] / sum(part.values())) - 1) < 0.1
+    few = mixing.mix_to_targets(docs, "source", weights={"hot": 0.25, "a": 0.25, "b": 0.25, mixing.REST: 0.25}, rule=mixing.Fitting(domains=4)).collect()
+    rest = sum(r.rate * r.tokens for r in few if r.source[0] == "s")
+    assert abs(rest / (30 * 1640) - 0.25) < 0.03
+
+
 def test_projected_steps_solve_the_least_squares_problem(spark):
     """A target below what a mixed document must bring is missed as little as rates at zero allow."""
     rows = [(10, [1.0, 0.0])] * 5 + [(10, [0.0, 1.0])] * 5
