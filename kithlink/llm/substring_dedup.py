@@ -114,9 +114,13 @@ def index(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, CONTEXT)
 
 
-def _settle_equal(rows: DataFrame, least: int, most: int) -> DataFrame:
+def _settle_equal(rows: DataFrame, least: int, most: int, split: int) -> DataFrame:
     """Of each k-gram that occurs again: spans of contexts that equal an earlier one (gram is null), and the
-    first of each context where there are several (crowded: more than `most`)."""
+    first of each context where there are several (crowded: more than `most`).
+
+    A k-gram of more than `split` contexts (by default 50 * most) is settled in parts.  What it has in all is
+    not known then, so the first of each of its contexts is kept and it is crowded from its first part on.
+    """
     names = [c.split()[0] for c in CONTEXT.split(", ")]
 
     def settle(held: dict[str, np.ndarray], crowds: np.ndarray) -> pa.RecordBatch:
@@ -133,6 +137,12 @@ def _settle_equal(rows: DataFrame, least: int, most: int) -> DataFrame:
         cols = [pa.array(gram[keep], mask=gone[keep]), *(pa.array(held[c][keep]) for c in names[2:]), pa.array(crowded[keep])]
         return pa.RecordBatch.from_arrays(cols, ["gram", *names[2:], "crowded"])
 
+    def spans(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Contexts that equal an earlier one."""
+        n = len(held["gram"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *(pa.array(held[c]) for c in names[2:]), pa.array(np.zeros(n, bool))],
+                                          ["gram", *names[2:], "crowded"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         crowds = np.zeros(0, np.int64)
@@ -148,14 +158,15 @@ def _settle_equal(rows: DataFrame, least: int, most: int) -> DataFrame:
                     continue
             new = {c: batch.column(c).to_numpy() for c in names}
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
-            # the last k-gram may go on; a long run of it is passed on up to its last context
+            # the last k-gram may go on; a long run of it is passed on but for the first of its last context
             upto = int(np.searchsorted(held["gram"], held["gram"][-1])) if len(held["gram"]) else 0
-            if len(held["gram"]) - upto > 50 * most:
-                own = held["same"][upto:]
-                upto += int(np.searchsorted(own, own[-1]))
-                # far more contexts than a bucket takes, or one that repeats on and on
-                if len(np.unique(own)) > most:
-                    crowds = held["gram"][-1:]
+            if len(held["gram"]) - upto > split:
+                upto += int(np.searchsorted(held["same"][upto:], held["same"][-1]))
+                crowds = held["gram"][-1:]
+                again = {c: x[upto + 1:] for c, x in held.items()}
+                if len(again["gram"]):
+                    yield spans(again)
+                    held = {c: x[:upto + 1] for c, x in held.items()}
             if upto:
                 yield settle({c: x[:upto] for c, x in held.items()}, crowds)
                 held = {c: x[upto:] for c, x in held.items()}
@@ -263,10 +274,11 @@ def _settle_strings(cut: DataFrame, least: int) -> DataFrame:
             .select("doc_id", "start", (F.col("start") + least).alias("end")))
 
 
-def removed_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
+def removed_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, bucket: int = BUCKET,
+                  split: int | None = None) -> DataFrame:
     """(doc_id, start, end) byte spans, overlapping ones included, of strings that also start earlier."""
     texts = documents_only(docs).where(F.col("doc_id").isNotNull())
-    settled = staged(_settle_equal(index(texts, least, gram), least, most), "contexts")
+    settled = staged(_settle_equal(index(texts, least, gram), least, most, split or 50 * most), "contexts")
     equal = settled.where(F.col("gram").isNull()).select("doc_id", "start", (F.col("start") + F.col("strings") + least - 1).alias("end"))
     picked = settled.where(F.col("gram").isNotNull())
     cut = staged(_cut_out(texts, picked, least), "strings")
@@ -276,7 +288,7 @@ def removed_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: i
 
 
 def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most: int = MOST, bucket: int = BUCKET,
-                     keep_text: bool = False) -> DataFrame:
+                     keep_text: bool = False, split: int | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, if asked for).
 
     A byte goes if a string of `least` bytes around it also starts at a smaller doc_id, or earlier in the
@@ -287,7 +299,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, most
     """
     if gram > least:
         raise ValueError("a k-gram is at most as long as a string")
-    spans = (removed_spans(docs, least, gram, most, bucket).distinct().groupBy("doc_id")
+    spans = (removed_spans(docs, least, gram, most, bucket, split).distinct().groupBy("doc_id")
              .agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 

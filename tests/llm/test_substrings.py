@@ -67,6 +67,25 @@ def test_removes_what_starts_earlier(spark, settings):
     assert {r[0]: tuple(r[1:]) for r in got} == brute(rows, 100)
 
 
+@pytest.mark.parametrize("most", [3000, 2])
+def test_a_kgram_settled_in_parts_meets_all_its_contexts(spark, most):
+    """One passage in three surroundings, each in many copies, so that a part of its k-gram can be one context alone."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    middle = word(150)
+    kinds = [word(90) + middle + word(90) for _ in range(3)]
+    rows = [(i, kinds[i * 3 // 90]) for i in range(90)] + [(i, word(200)) for i in range(90, 120)]
+    # every row its own batch of texts, so that copies are not settled before the shuffle
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = dedup_substrings(docs, most=most, split=4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {r[0]: tuple(r[1:]) for r in got} == brute(rows, 100)
+
+
 def test_odd_rows(spark):
     rows = dedup_substrings(odd(spark), keep_text=True).collect()
     by = defaultdict(list)
