@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,34 @@ def test_descent_finds_most_near_rows(spark):
     assert right / found >= 0.9
 
 
+def recall(spark, x, rule, every=50):
+    df = spark.createDataFrame([(i, v.tolist(), 0.0, "a") for i, v in enumerate(x)], SCHEMA)
+    got = nn_descent.nearest(df, F.col("vec_id") % every == 0, 10, rule=rule).select("query_id", "vec_id").collect()
+    x, right, asked = x.astype(np.float64), 0, 0
+    for q in range(0, len(x), every):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        right += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+        asked += 10
+    return right / asked
+
+
+def test_one_huge_vector_leaves_the_codes_of_the_others_apart():
+    x = np.random.default_rng(1).standard_normal((50, 12))
+    x[7] *= 1e6
+    code = nn_descent._encoded(x, 1.0)
+    batch = pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in code], pa.binary())], ["code"])
+    back = nn_descent._codes(batch, "code", 12)
+    assert np.allclose(back, x, rtol=0, atol=np.abs(x).max(1, keepdims=True) / 200)
+
+
+def test_the_descent_bears_one_huge_vector(spark):
+    x = np.random.default_rng(1).standard_normal((700, 12)).astype(np.float32)
+    x[301, 3] = 1e6
+    rule = nn_descent.Rule(neighbours=8, reverse=6, rounds=3, kept=40, around=24, steps=4, slice=80)
+    assert recall(spark, x, rule) >= 0.9
+
+
 def test_few_and_odd_vectors_of_the_descent(spark):
     got = nn_descent.nearest(odd(spark), F.col("vec_id") >= 0, 10).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [
