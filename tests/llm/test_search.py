@@ -94,6 +94,13 @@ def test_the_descent_bears_one_huge_vector(spark):
     assert recall(spark, x, rule) >= 0.9
 
 
+def test_walks_go_on_until_enough_is_found(spark):
+    """Without structure, few nodes kept and one step at a time find little; the recall that is asked for is reached."""
+    x = np.random.default_rng(2).standard_normal((1500, 48)).astype(np.float32)
+    rule = nn_descent.Rule(neighbours=8, reverse=6, rounds=2, kept=20, around=5, steps=1, slice=80)
+    assert recall(spark, x, rule, 100) >= 0.9
+
+
 def test_few_and_odd_vectors_of_the_descent(spark):
     got = nn_descent.nearest(odd(spark), F.col("vec_id") >= 0, 10).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [
