@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.llm import chat, jaccard_join, labelled, line_dedup, mixing, nn_descent, packing, quality, substring_dedup, threshold_topk, toxicity
+from kithlink.llm import chat, jaccard_join, labelled, line_dedup, mixing, nn_descent, packing, quality, substring_dedup, threshold_topk, toxicity, url_rules
 from kithlink.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 THRESHOLD = 0.3
+# fixed values: the listed rules that come before the mined ones
+LISTED = [url_rules.Listed("block", "net", "/"), url_rules.Listed("allow", "example.net", "/en/"),
+          url_rules.Listed("block", "example.com", "/de/"), url_rules.Listed("allow", "org", "/fr/")]
 
 
 def _scored(scores: DataFrame, parts: int, held: int) -> DataFrame:
@@ -67,6 +70,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), LISTED).withColumn("confidence", F.round("confidence", 9))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_url_rules": op11_url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +122,55 @@ ORACLE_SQL: dict[str, str] = {
                CAST(chars_before AS BIGINT) AS start, CAST(n AS BIGINT) AS length, CAST(chars_before + length(head) AS BIGINT) AS mask_start,
                CAST(CASE WHEN speaker = perspective THEN length(body) ELSE 0 END AS BIGINT) AS mask_length
         FROM placed""",
+    "op11_url_rules": """
+        WITH rest AS (
+          SELECT page_id, url, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS r FROM pages),
+        cut AS (
+          SELECT page_id, url, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*[?]([^#]*)', 1) AS query
+          FROM rest),
+        listed(verdict, host, path) AS (
+          VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        judged AS (
+          SELECT row_number() OVER () AS n, c.*, list_distinct(
+                   list_transform(list_filter(string_split(c.host, '.'), lambda t: t <> ''), lambda t: 'host:' || t) ||
+                   list_transform(list_filter(string_split(c.path, '/'), lambda t: t <> ''), lambda t: 'path:' || t) ||
+                   list_transform(list_filter(list_transform(string_split(c.query, '&'), lambda t: string_split(t, '=')[1]),
+                                              lambda t: t <> ''), lambda t: 'query:' || t)) AS tokens
+          FROM cut c),
+        ruled AS (
+          SELECT j.*, best.rule, best.verdict AS said FROM judged j LEFT JOIN (
+            SELECT k.n, arg_max(l.host || l.path, length(l.host || l.path)) AS rule, arg_max(l.verdict, length(l.host || l.path)) AS verdict
+            FROM judged k JOIN listed l ON (k.host = l.host OR ends_with(k.host, '.' || l.host)) AND starts_with(k.path, l.path)
+            GROUP BY k.n) best ON j.n = best.n),
+        labelled AS (SELECT n, said, tokens FROM ruled WHERE said IS NOT NULL AND url IS NOT NULL),
+        bar AS (SELECT count(*) AS total, ceil(0.01 * count(*)) AS least FROM labelled),
+        often AS (
+          SELECT t, count(*) AS freq FROM (SELECT unnest(tokens) AS t FROM labelled) GROUP BY t
+          HAVING count(*) >= (SELECT least FROM bar)),
+        items AS (
+          SELECT n, said, list_sort(list(t)) AS held FROM (SELECT n, said, unnest(tokens) AS t FROM labelled) JOIN often USING (t)
+          GROUP BY n, said),
+        subsets AS (
+          SELECT n, said, list_filter(held, lambda t, i: (m >> (i - 1)) & 1 = 1) AS combination
+          FROM (SELECT n, said, held, unnest(range(1, 1 << len(held))) AS m FROM items)),
+        counted AS (
+          SELECT combination, count(*) AS held, count(*) FILTER (said = 'block') AS blocked, count(*) FILTER (said = 'allow') AS allowed
+          FROM subsets GROUP BY combination),
+        rules AS (
+          SELECT combination, verdict, both_ / held AS confidence, both_ / total AS support
+          FROM (SELECT combination, held, 'block' AS verdict, blocked AS both_ FROM counted
+                UNION ALL SELECT combination, held, 'allow', allowed FROM counted), bar
+          WHERE both_ >= least AND both_ > 0 AND both_ / held >= 0.8),
+        kept AS (
+          SELECT * FROM rules r WHERE NOT EXISTS (
+            SELECT 1 FROM rules p WHERE p.verdict = r.verdict AND p.confidence >= r.confidence
+              AND len(p.combination) < len(r.combination) AND list_has_all(r.combination, p.combination))),
+        met AS (
+          SELECT r.n, max(row(k.confidence, k.support, -len(k.combination), k.verdict = 'block', array_to_string(k.combination, ' '))) AS best
+          FROM ruled r JOIN kept k ON list_has_all(r.tokens, k.combination) WHERE r.rule IS NULL GROUP BY r.n)
+        SELECT page_id, r.host, r.path, r.rule,
+               coalesce(r.said, CASE WHEN m.best[4] THEN 'block' ELSE 'allow' END) AS verdict,
+               m.best[5] AS combination, round(m.best[1], 9) AS confidence
+        FROM ruled r LEFT JOIN met m ON r.n = m.n""",
 }
