@@ -17,8 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kithlink.llm.common import settled
-from kithlink.operators.scale import broadcast_up_to
+from kithlink.operators.scale import broadcast_up_to, staged
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,19 +95,19 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """
     known = (labelled.where(F.col("verdict").isin(ALLOW, BLOCK) & F.col("url").isNotNull())
              .select(F.concat(tokens_of(F.col("url")), F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items")))
-    known = settled(known, "url-labels")
+    known = staged(known, "url-labels")
     if known.isEmpty():
         return known.where("false").select(
             F.col("items").alias("combination"), F.lit("").alias("verdict"), F.lit(0.0).alias("confidence"),
             F.lit(0.0).alias("support"), F.lit("").alias("posted"))
     model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(known)
     verdict = F.element_at("consequent", 1)
-    rules = settled(
+    rules = staged(
         model.associationRules.where(F.startswith(verdict, F.lit("verdict:"))
                                      & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("verdict:"))))
         .select(F.sort_array("antecedent").alias("combination"), F.substring_index(verdict, ":", -1).alias("verdict"),
                 "confidence", "support"), "url-rules")
-    counts = settled(model.freqItemsets.where(F.size("items") == 1)
+    counts = staged(model.freqItemsets.where(F.size("items") == 1)
                      .select(F.element_at("items", 1).alias("token"), "freq"), "url-tokens")
     rarest = (rules.select("combination", F.explode(F.array_distinct("combination")).alias("token")).distinct()
               .join(counts, "token").groupBy("combination").agg(F.min(F.struct("freq", "token")).alias("_r")))
@@ -121,7 +120,7 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
                           & (F.size("_part") < F.size("combination"))
                           & (F.size(F.array_except("_part", "combination")) == 0))
                    .select("combination", "verdict").distinct())
-    return settled(posted.join(said_before, ["combination", "verdict"], "left_anti")
+    return staged(posted.join(said_before, ["combination", "verdict"], "left_anti")
                    .select("combination", "verdict", "confidence", "support", "posted"), "url-rules")
 
 
