@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.llm import chat, jaccard_join, labelled, line_dedup, mixing, nn_descent, packing, quality, substring_dedup, threshold_topk, toxicity, url_rules
+from kithlink.llm import chat, jaccard_join, labelled, line_dedup, mixing, nn_descent, packing, prefix_trie, quality, repair, substring_dedup, threshold_topk, toxicity, url_rules
 from kithlink.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,14 @@ def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), LISTED).withColumn("confidence", F.round("confidence", 9))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -86,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
     "op11_url_rules": op11_url_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -173,4 +183,114 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(r.said, CASE WHEN m.best[4] THEN 'block' ELSE 'allow' END) AS verdict,
                m.best[5] AS combination, round(m.best[1], 9) AS confidence
         FROM ruled r LEFT JOIN met m ON r.n = m.n""",
+    "op12_prefix_trie": """
+        WITH said AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+          SELECT conv_id, conv_id - conv_id % 5 AS source, count(*) AS own
+          FROM said GROUP BY conv_id),
+        -- crc32 of short texts, byte by byte and bit by bit
+        bits AS (
+          WITH RECURSIVE r(conv_id, chars, i, crc) AS (
+            SELECT conv_id, CAST(conv_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM convs
+            UNION ALL
+            SELECT conv_id, chars, i + 1,
+                   CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+            FROM (SELECT conv_id, chars, i, CASE WHEN i % 8 = 0 THEN xor(crc, CAST(ascii(substr(chars, i // 8 + 1, 1)) AS BIGINT)) ELSE crc END AS x
+                  FROM r WHERE i < 8 * length(chars)))
+          SELECT conv_id, xor(crc, CAST(4294967295 AS BIGINT)) % 9 AS h FROM r WHERE i = 8 * length(chars)),
+        heads AS (
+          SELECT c.conv_id, c.own, b.h, c.source, least(b.h, coalesce(s.own, 0)) AS borrowed
+          FROM convs c JOIN bits b USING (conv_id) LEFT JOIN convs s ON s.conv_id = c.source),
+        steps AS (
+          SELECT h.conv_id, s.pos AS depth, s.role, s.text FROM heads h JOIN said s ON s.conv_id = h.source AND s.pos <= h.h
+          UNION ALL
+          SELECT h.conv_id, h.borrowed + s.pos - h.h, s.role, s.text FROM heads h JOIN said s ON s.conv_id = h.conv_id AND s.pos > h.h),
+        paths AS (
+          SELECT conv_id, 0 AS depth, '' AS name, 0 AS bytes FROM convs
+          UNION ALL
+          SELECT conv_id, depth, string_agg(sha256(role) || sha256(text), '') OVER (
+                   PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), strlen(text) FROM steps),
+        sizes AS (SELECT conv_id, max(depth) AS size FROM paths GROUP BY conv_id),
+        nodes AS (
+          SELECT depth, name, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                 string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = size) AS ends
+          FROM paths JOIN sizes USING (conv_id) GROUP BY depth, name),
+        kids AS (
+          SELECT n.depth, n.name, count(k.name) AS n_children
+          FROM nodes n LEFT JOIN nodes k ON k.depth = n.depth + 1 AND k.name[1:128 * n.depth] = n.name GROUP BY n.depth, n.name),
+        sums AS (
+          SELECT n.depth, n.name, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens
+          FROM nodes n JOIN nodes b ON b.depth >= n.depth AND b.name[1:128 * n.depth] = n.name
+          JOIN kids k ON k.name = b.name GROUP BY n.depth, n.name)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, k.n_children, s.n_leaves,
+               CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+        FROM nodes n JOIN kids k ON k.name = n.name JOIN sums s ON s.name = n.name
+        LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.name = n.name[1:128 * (n.depth - 1)]""",
+    "op13_repair": """
+        WITH RECURSIVE said AS (
+          SELECT row_number() OVER () AS n, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+          FROM conversations),
+        -- crc32 of short texts, byte by byte and bit by bit
+        bits(key, i, crc) AS (
+          SELECT DISTINCT key, 0, CAST(4294967295 AS BIGINT) FROM said
+          UNION ALL
+          SELECT key, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+          FROM (SELECT key, i, CASE WHEN i % 8 = 0 THEN xor(crc, CAST(ascii(substr(key, i // 8 + 1, 1)) AS BIGINT)) ELSE crc END AS x
+                FROM bits WHERE i < 8 * length(key))),
+        kinds AS (SELECT key, xor(crc, CAST(4294967295 AS BIGINT)) % 20 AS kind FROM bits WHERE i = 8 * length(key)),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                 CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+          FROM said JOIN kinds USING (key), (VALUES (1), (2)) AS copies(copy)
+          WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+        placed AS (
+          SELECT *, row_number() OVER w AS pos, left(role, 1) AS initial, lead(left(role, 1)) OVER w AS follower,
+                 right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth
+          FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        faults AS (
+          SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+          FROM placed),
+        moves(here, role, into_) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        inserts(here, into_, roles) AS (
+          VALUES (0, 0, []), (0, 2, ['user:']), (0, 3, ['user:', 'assistant:']), (1, 1, []), (1, 2, ['user:']), (1, 3, ['user:', 'assistant:']),
+                 (2, 2, []), (2, 3, ['assistant:']), (3, 3, []), (3, 2, ['user:'])),
+        choices AS (
+          SELECT conv_id, pos, m AS here, m AS into_, 'D' AS letter, 2 AS cost, CAST([] AS VARCHAR[]) AS line FROM faults, (VALUES (0), (1), (2), (3)) AS t(m)
+          UNION ALL
+          SELECT conv_id, pos, here, into_, 'K', CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, [f.role || ':' || text]
+          FROM faults f JOIN moves m ON f.initial = m.role WHERE fault NOT IN ('blank', 'duplicate')
+          UNION ALL
+          SELECT conv_id, pos, here, into_, 'R', CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END,
+                 [CASE WHEN m.role = 'u' THEN 'user:' ELSE 'assistant:' END || text]
+          FROM faults f JOIN moves m ON f.initial <> m.role AND m.role <> 's' WHERE fault NOT IN ('blank', 'duplicate')),
+        ways(conv_id, pos, state, cost, audit, lines) AS (
+          SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, 0, '', CAST([] AS VARCHAR[]) FROM faults
+          UNION ALL
+          SELECT conv_id, pos, state, (best).cost, (best).audit, (best).lines FROM (
+            SELECT w.conv_id, c.pos, c.into_ AS state,
+                   min({'cost': w.cost + 5 * len(i.roles) + c.cost, 'audit': w.audit || repeat('I', len(i.roles)) || c.letter,
+                        'lines': w.lines || i.roles || c.line}) AS best
+            FROM ways w JOIN inserts i ON i.here = w.state
+            JOIN choices c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.pos = w.pos + 1 AND c.here = i.into_
+            GROUP BY w.conv_id, c.pos, c.into_)),
+        sizes AS (SELECT conv_id, max(pos) AS size FROM faults GROUP BY conv_id),
+        done AS (
+          SELECT w.conv_id, min({'cost': w.cost + 5 * len(i.roles), 'audit': w.audit || repeat('I', len(i.roles)), 'lines': w.lines || i.roles}) AS best
+          FROM ways w JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.size = w.pos JOIN inserts i ON i.here = w.state AND i.into_ IN (0, 3)
+          GROUP BY w.conv_id),
+        counts AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                 count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (follower IS NOT NULL AND initial || follower NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM faults GROUP BY conv_id)
+        SELECT s.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce((d.best).cost, 0) AS BIGINT) AS cost,
+               coalesce((d.best).audit, '') AS audit, sha256(coalesce(array_to_string((d.best).lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) s
+        LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM s.conv_id""",
 }
