@@ -7,9 +7,13 @@ sum over those cells.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +27,8 @@ BOOTSTRAP_SEED = 333
 SLOTS_PER_ROW = 4096
 DRAWS_PER_TASK = 4_000_000
 PATTERNS_PER_BUCKET = 2_000
+# Records, and cells of patterns x runs, up to which every task of a bootstrap holds the outcomes.
+HELD_CELLS = 2_000_000
 
 
 def _numbered_runs(df: DataFrame, spec: list[str]) -> DataFrame:
@@ -141,6 +147,11 @@ def experiment_outcomes(df: DataFrame, spec: list[str]) -> DataFrame:
         F.coalesce("pred_in_admin", F.lit(False)).alias("pred_in_admin"))
 
 
+def _place(bs_iter: Column, slot: Column, n: Column, seed: int) -> Column:
+    """The record drawn for a slot of an iteration, out of 0..n-1."""
+    return hash_mod(F.md5(F.concat_ws(":", (bs_iter + seed).cast("string"), slot.cast("string")).cast("binary")), n)
+
+
 def _draws(sizes: DataFrame, data: list[str], iters: int, seed: int) -> DataFrame:
     """(data set, bs_iter, slot rank): n draws with replacement out of 0..n-1 per iteration.
 
@@ -155,9 +166,7 @@ def _draws(sizes: DataFrame, data: list[str], iters: int, seed: int) -> DataFram
     first = F.col("chunk") * SLOTS_PER_ROW
     last = F.least(first + SLOTS_PER_ROW, F.col("n")) - 1
     slots = chunks.withColumn("slot", F.explode(F.sequence(first, last)))
-    digest = F.md5(F.concat_ws(":", (F.col("bs_iter") + seed).cast("string"),
-                               F.col("slot").cast("string")).cast("binary"))
-    return slots.select(*data, "bs_iter", hash_mod(digest, F.col("n")).alias("place"))
+    return slots.select(*data, "bs_iter", _place(F.col("bs_iter"), F.col("slot"), F.col("n"), seed).alias("place"))
 
 
 def _count_outcomes(drawn: DataFrame, patterns: DataFrame, data: list[str]) -> DataFrame:
@@ -193,14 +202,85 @@ def _count_outcomes(drawn: DataFrame, patterns: DataFrame, data: list[str]) -> D
     return parts.groupBy("_run", "bs_iter").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(4)])
 
 
+@dataclass(frozen=True)
+class _Held:
+    """Outcomes of one data set: the pattern at each place, the runs, and a 0/1 table (patterns x runs) per outcome code."""
+    place: np.ndarray
+    runs: np.ndarray
+    hits: list[np.ndarray]
+
+
+def _hold(placed: DataFrame, patterns: DataFrame, data: list[str], sizes: list[Row]) -> list[_Held]:
+    """The outcome tables of all data sets, in the order of `sizes`; the caller has checked how large they are."""
+    where, known = placed.toPandas(), patterns.toPandas()
+    out = []
+    for size in sizes:
+        def of(frame: pd.DataFrame, size: Row = size) -> pd.DataFrame:
+            return frame[np.logical_and.reduce([frame[c] == size[c] for c in data])]
+        mine, codes = of(where), of(known).reset_index(drop=True)
+        number = pd.Series(np.arange(len(codes)), index=codes["_pattern"])
+        place = np.zeros(size["n"], np.int64)
+        place[mine["place"].to_numpy()] = number[mine["_pattern"]].to_numpy()
+        owner = np.repeat(np.arange(len(codes)), codes["_runs"].str.len())
+        runs, run = np.unique(np.concatenate(codes["_runs"].to_list()), return_inverse=True)
+        code = np.concatenate(codes["_codes"].to_list())
+        hits = [np.zeros((len(codes), len(runs))) for _ in range(4)]
+        for c in range(4):
+            hits[c][owner[code == c], run[code == c]] = 1
+        out.append(_Held(place, runs, hits))
+    return out
+
+
+def _count_in_tasks(spark: SparkSession, held: list[_Held], iters: int, seed: int) -> DataFrame:
+    """(_run, bs_iter, n0..n3): every task draws whole iterations and counts them against the outcomes it holds.
+
+    Draws are made and digested row by row by Spark and go straight into counts: no table of draws exists, and none is
+    shuffled or joined.
+    """
+    total = iters * sum(len(h.place) for h in held)
+    tasks = min(iters, max(spark.sparkContext.defaultParallelism, -(-total // DRAWS_PER_TASK)))
+    known = spark.sparkContext.broadcast(held)
+    sets = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(len(h.place)).cast("long").alias("n")) for d, h in enumerate(held)])
+    chunks = (spark.range(0, iters, 1, tasks).select(F.col("id").alias("bs_iter"), F.explode(sets).alias("_s")).select("bs_iter", "_s.*")
+              .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS_PER_ROW)))))
+    first = F.col("chunk") * SLOTS_PER_ROW
+    slots = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_PER_ROW, F.col("n")) - 1)))
+    draws = slots.select("bs_iter", "d", _place(F.col("bs_iter"), F.col("slot"), F.col("n"), seed).alias("place"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, drawn = None, None
+
+        def outcome() -> pa.RecordBatch:
+            mine = known.value[key[1]]
+            sums = [np.rint(drawn @ hits).astype(np.int64) for hits in mine.hits]
+            columns = [pa.array(mine.runs.astype(np.int32)), pa.array(np.full(len(mine.runs), key[0], np.int32)), *map(pa.array, sums)]
+            return pa.RecordBatch.from_arrays(columns, ["_run", "bs_iter", "n0", "n1", "n2", "n3"])
+
+        for batch in batches:
+            it, d, place = (batch.column(c).to_numpy() for c in ("bs_iter", "d", "place"))
+            edges = np.flatnonzero((it[1:] != it[:-1]) | (d[1:] != d[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(it)]):
+                if (now := (int(it[lo]), int(d[lo]))) != key:
+                    if key is not None:
+                        yield outcome()
+                    key, drawn = now, np.zeros(len(known.value[now[1]].hits[0]))
+                drawn += np.bincount(known.value[key[1]].place[place[lo:hi]], minlength=len(drawn))
+        if key is not None:
+            yield outcome()
+
+    return draws.mapInArrow(count, "_run int, bs_iter int, n0 long, n1 long, n2 long, n3 long")
+
+
 def bootstrap_eval(df: DataFrame, spec: list[str], data: list[str], iters: int = 1000,
-                   seed: int = BOOTSTRAP_SEED) -> DataFrame:
+                   seed: int = BOOTSTRAP_SEED, held_cells: int = HELD_CELLS) -> DataFrame:
     """Any-link metrics of `iters` resamples of the experiment records, per specification.
 
     `data` are the specification columns that name the evaluated data set.  All runs on it
     share the draws, so differences between runs are paired.  Draws are counted per pattern
-    of outcomes over the runs: the one join of all draws does not grow with the runs.
+    of outcomes over the runs.  While records and patterns x runs are at most `held_cells`, whatever the
+    iterations, tasks hold them and draw on their own; larger tables are joined with the draws by shuffle.
     """
+    spark = df.sparkSession
     runs = _numbered_runs(df, spec)
     rows = _with_run(df.select(*spec, "rowid", "sid", "dataset", "cluster_id"), runs, spec)
     outcomes = staged(experiment_outcomes(rows, ["_run"])
@@ -214,14 +294,18 @@ def bootstrap_eval(df: DataFrame, spec: list[str], data: list[str], iters: int =
     by_record = staged(outcomes.groupBy(*data, "rowid")
                  .agg(F.sort_array(F.collect_list(F.struct("_run", code.alias("code")))).alias("_codes"))
                  .withColumn("_pattern", F.md5(F.to_json("_codes").cast("binary"))), "patterns")
-    patterns = (by_record.groupBy(*data, "_pattern").agg(F.first("_codes").alias("_c"))
-                .select(*data, "_pattern", F.col("_c.code").alias("_codes"), F.col("_c._run").alias("_runs")))
-    # written, so that its true size decides whether the draws have to be shuffled at all
+    patterns = staged(by_record.groupBy(*data, "_pattern").agg(F.first("_codes").alias("_c"))
+                      .select(*data, "_pattern", F.col("_c.code").alias("_codes"), F.col("_c._run").alias("_runs")), "patterns")
     placed = staged(places.join(by_record.select(*data, "rowid", "_pattern"), [*data, "rowid"])
                     .select(*data, "place", "_pattern"), "places")
-    drawn = (_draws(sizes.select(*data, "n"), data, iters, seed).join(placed, [*data, "place"])
-             .groupBy(*data, "bs_iter", "_pattern").agg(F.count("*").alias("_n")))
-    counted = _count_outcomes(drawn, patterns, data)
+    cells = patterns.agg(F.sum(F.size("_runs"))).first()[0] or 0
+    known = sizes.orderBy(*data).collect()
+    if cells and max(cells, sum(r["n"] for r in known)) <= held_cells:
+        counted = _count_in_tasks(spark, _hold(placed, patterns, data, known), iters, seed)
+    else:
+        drawn = (_draws(sizes.select(*data, "n"), data, iters, seed).join(placed.hint("shuffle_hash"), [*data, "place"])
+                 .groupBy(*data, "bs_iter", "_pattern").agg(F.count("*").alias("_n")))
+        counted = _count_outcomes(drawn, patterns, data)
     n00, n01, n10, n11 = (F.col(f"n{c}") for c in range(4))
     return (counted.select("_run", "bs_iter", ratio(n11, n10 + n11).alias("tpr_any"),
                            ratio(n11, n01 + n11).alias("prc_any"), ratio(n00, n00 + n01).alias("tnr_any"))

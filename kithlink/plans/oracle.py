@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from kithlink.plans import study
 from kithlink.sources import fixtures
 
 CTES: dict[str, str] = {}
@@ -580,69 +581,232 @@ query("stack_clustered", "SELECT rowid, sid, dataset, date_of_birth, cluster_id
 # -- runs of the study grid -----------------------------------------------------------
 
 SPEC = "arm, ss_train, em_train, ss_eval, em_eval, framework, budget, sample_size, model_iter"
-step("grid_its", "SELECT unnest([0, 1, 2]) AS model_iter")
-step("grid_sizes", "SELECT unnest([5000, 50000]) AS ss_train")
+# The data sets of the grid's sizes: the steps of the study's data sets once more, with names of their own.
+_CHAIN = ("wanted_sizes share_list size_total shifted adjusted quotas offered wide fill3 fill4 fill4b fill5 fill5b fill5c takes chosen "
+          "admin_rows eligible moved datasets").split()
+for _name in _CHAIN:
+    step(f"{_name}_q", re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"\1_q", CTES[_name]))
+step("wanted_sizes_q", f"SELECT unnest({list(study.QUERY_GRID.sizes)}) AS spec_n")
+step("share_list_q", "SELECT 0.5::DOUBLE AS share_exact")
+
+step("grid_its", f"SELECT unnest(range({study.QUERY_GRID.iterations})) AS model_iter")
+step("grid_sizes", f"SELECT unnest({list(study.QUERY_GRID.sizes)}) AS ss_train")
 step("grid_frameworks", "SELECT unnest(['deduplication', 'record_linkage']) AS framework")
-step("grid", """
-SELECT *, 50 AS em_train, ss_train AS ss_eval, 50 AS em_eval,
+# `model` names what runs share that differ in nothing
+step("grid", f"""
+SELECT *, 50 AS em_train, ss_train AS ss_eval, 50 AS em_eval, ss_train || '__50' AS spec,
   arm || '/' || ss_train || '/' || framework || '/' || budget || '/' || sample_size || '/' || model_iter AS run,
-  CASE arm WHEN 'active' THEN 700 + 40 * (CASE budget WHEN 20 THEN 1 ELSE 4 END)
-                 + (CASE sample_size WHEN 150000 THEN 60 ELSE 0 END) + 7 * model_iter
-           WHEN 'supervised' THEN 960 + 5 * model_iter ELSE 880 - 9 * model_iter END AS kept
+  arm || '/' || ss_train || '/' || framework || '/' || budget || '/' || sample_size || '/'
+    || CASE arm WHEN 'unsupervised' THEN 0 ELSE model_iter END AS model
 FROM (
   SELECT 'supervised' AS arm, ss_train, '' AS framework, 0 AS budget, 0 AS sample_size, model_iter FROM grid_sizes, grid_its
   UNION ALL SELECT 'unsupervised', ss_train, framework, 0, 0, model_iter FROM grid_sizes, grid_its, grid_frameworks
   UNION ALL SELECT 'active', ss_train, framework, budget, sample_size, model_iter
-  FROM grid_sizes, grid_its, grid_frameworks, (SELECT unnest([20, 200]) AS budget),
-    (SELECT unnest([1500, 15000, 150000]) AS sample_size)
-  WHERE framework = 'deduplication' OR sample_size <> 1500)""")
+  FROM grid_sizes, grid_its, grid_frameworks, (SELECT unnest({list(study.QUERY_GRID.budgets)}) AS budget),
+    (SELECT unnest({list(study.QUERY_GRID.sample_sizes)}) AS sample_size)
+  WHERE framework = 'deduplication' OR sample_size IN {study.QUERY_GRID.linkage_sample_sizes})""")
+
+# -- linkers: weights from label counts, in plain sums --
+
+_G = ["g_first", "g_last", "g_dob", "g_mi", "g_race", "g_sex", "g_month", "g_day"]
+_LEVEL_LIST = ", ".join(_G)
+
+
+def _weight_list(yes: str, no: str) -> list[str]:
+    """The prior and the weight of each field and level, from sums of two columns."""
+    def share(of: str, g: str, level: int) -> str:
+        return (f"(sum(CASE WHEN {g} = {level} THEN {of} ELSE 0 END) + 0.5::DOUBLE)"
+                f" / (sum(CASE WHEN {g} IS NOT NULL THEN {of} ELSE 0 END) + 1.5::DOUBLE)")
+    return [f"round(ln((sum({yes}) + 0.5::DOUBLE) / (sum({no}) + 0.5::DOUBLE)), 9)"] + [
+        f"round(ln({share(yes, g, v)}) - ln({share(no, g, v)}), 9)" for g in _G for v in range(3)]
+
+
+def _odds(w: str) -> str:
+    """Log odds of the levels of a row under a list of weights."""
+    parts = [f"coalesce(CASE {g} " + " ".join(f"WHEN {v} THEN {w}[{2 + 3 * i + v}]" for v in range(3)) + " END, 0.0::DOUBLE)" for i, g in enumerate(_G)]
+    return f"round({w}[1] + {' + '.join(parts)}, 6)"
+
+
+_KNOWN = " + ".join(f"CAST({g} IS NOT NULL AS INT)" for g in _G)
+_MEAN = f"({' + '.join(f'coalesce({g}, 0)' for g in _G)}) / CAST(greatest(2 * ({_KNOWN}), 1) AS DOUBLE)"
+
+step("ds_rows", f"""
+SELECT d.spec, split_part(d.dataset, '_', 2) AS side, rowid, sid, d.dataset, {COMPARED}, year(date_of_birth) AS yob, 1 AS copies
+FROM datasets_q d JOIN pool USING (rowid)""")
+step("ds_joined", " UNION ".join(f"""
+SELECT a.spec, a.side, {_BOTH} FROM ds_rows a JOIN ds_rows b ON a.spec = b.spec AND a.side = b.side AND a.rowid < b.rowid AND {keys}"""
+    for keys in ("a.last_name = b.last_name AND a.yob = b.yob",
+                 "a.first_name = b.first_name AND a.middle_initial = b.middle_initial AND a.yob = b.yob",
+                 "a.date_of_birth = b.date_of_birth")))
+step("ds_levels", f"""
+SELECT spec, side, rowid1, rowid2, dataset1 <> dataset2 AS both_, dataset1 LIKE 'admin%' AS admin_first, CAST(sid1 = sid2 AS INT) AS label,
+  coalesce(first_name1 = first_name2 AND last_name1 = last_name2 AND date_of_birth1 = date_of_birth2, false) AS exact, {_LEVELS}
+FROM ds_joined""")
+step("ds_pairs", f"""
+SELECT *, CASE WHEN both_ THEN CASE WHEN admin_first THEN rowid2 ELSE rowid1 END END AS experiment,
+  CASE WHEN both_ THEN CASE WHEN admin_first THEN rowid1 ELSE rowid2 END END AS admin,
+  concat_ws('', {', '.join(f"coalesce(CAST({g} AS VARCHAR), '-')" for g in _G)}) AS pattern,
+  CASE WHEN both_ THEN 'record_linkage' WHEN admin_first THEN 'deduplication' END AS pool_of
+FROM ds_levels""")
+
+# active: four rounds, always the pairs whose log odds are nearest to even
+step("pool_ranked", """
+SELECT p.*, framework, model_iter, row_number() OVER (PARTITION BY p.spec, framework, model_iter
+    ORDER BY md5('3:pool:' || model_iter || '-' || rowid1 || '-' || rowid2), model_iter || '-' || rowid1 || '-' || rowid2) AS rank
+FROM ds_pairs p JOIN (SELECT DISTINCT spec, framework, model_iter FROM grid WHERE arm = 'active') w
+  ON w.spec = p.spec AND w.framework = p.pool_of WHERE side = 'training'""")
+step("run_pool", f"""
+SELECT model, budget, sample_size, rowid1, rowid2, label, exact, {_LEVEL_LIST}, abs(round({_MEAN}, 9) - 0.5) AS doubt
+FROM pool_ranked p JOIN grid g USING (spec, framework, model_iter) WHERE arm = 'active' AND rank <= sample_size""")
+_ASKED = f"model, rowid1, rowid2, label, {_LEVEL_LIST}"
+step("asked1", f"""
+SELECT {_ASKED} FROM run_pool
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY doubt, rowid1, rowid2) <= ceil(budget / 4)""")
+for _turn in range(1, 5):
+    step(f"learned{_turn}", f"SELECT model, [{', '.join(_weight_list('label', '(1 - label)'))}] AS w FROM asked{_turn} GROUP BY model")
+    if _turn < 4:
+        step(f"asked{_turn + 1}", f"""
+SELECT {_ASKED} FROM asked{_turn}
+UNION ALL (SELECT {_ASKED} FROM (
+  SELECT p.*, abs({_odds('w')}) AS unsure FROM run_pool p JOIN learned{_turn} USING (model)
+  WHERE NOT EXISTS (SELECT 1 FROM asked{_turn} a WHERE a.model = p.model AND a.rowid1 = p.rowid1 AND a.rowid2 = p.rowid2))
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY unsure, rowid1, rowid2) <= ceil(budget / 4))""")
+
+# supervised: nine tenths of the labelled training pairs, the cut from the others
+step("train_rows", """
+SELECT p.*, model, ('0x' || substr(md5('3:train:' || model_iter || ':' || rowid1 || ':' || rowid2), 1, 15))::BIGINT % 1000 < 900 AS used
+FROM ds_pairs p JOIN grid g USING (spec) WHERE arm = 'supervised' AND side = 'training'""")
+step("supervised_w", f"SELECT model, [{', '.join(_weight_list('label', '(1 - label)'))}] AS w FROM train_rows WHERE used GROUP BY model")
+step("held_bins", f"""
+SELECT model, CAST(floor({_odds('w')} * 10) AS INT) AS bin, sum(label) AS hits, count(*) AS n
+FROM train_rows JOIN supervised_w USING (model) WHERE NOT used GROUP BY model, bin""")
+step("held_curve", """
+SELECT model, bin, sum(hits) OVER above AS h, sum(n) OVER above AS k, sum(hits) OVER (PARTITION BY model) AS every
+FROM held_bins WINDOW above AS (PARTITION BY model ORDER BY bin DESC)""")
+step("held_best", """
+SELECT model, bin / 10.0::DOUBLE AS cut FROM held_curve
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY 2 * h / CAST(k + every AS DOUBLE) DESC, bin) = 1""")
+
+# unsupervised: forty steps of expectation and maximisation over pattern counts
+step("em_counts", f"""
+SELECT model, {_LEVEL_LIST}, count(*) AS n FROM ds_pairs p JOIN grid g USING (spec)
+WHERE arm = 'unsupervised' AND model_iter = 0 AND side = 'evaluation' AND (both_ OR framework = 'deduplication') GROUP BY ALL""")
+step("em_run", f"""
+SELECT model, 1 AS turn, [{', '.join(_weight_list('y', 'z'))}] AS w
+FROM (SELECT *, n * ({_MEAN}) AS y, n * (1 - {_MEAN}) AS z FROM em_counts) GROUP BY model
+UNION ALL
+SELECT model, turn + 1, [{', '.join(_weight_list('y', 'z'))}] FROM (
+  SELECT c.*, turn, n / (1 + exp(-{_odds('w')})) AS y, n * (1 - 1 / (1 + exp(-{_odds('w')}))) AS z
+  FROM em_run e JOIN em_counts c USING (model) WHERE turn < 40)
+GROUP BY model, turn""")
+
+step("model_w", """
+SELECT model, w, 0.0::DOUBLE AS cut FROM learned4
+UNION ALL SELECT model, w, coalesce(cut, 0.0::DOUBLE) FROM supervised_w LEFT JOIN held_best USING (model)
+UNION ALL SELECT model, w, round(ln(0.85 / (1 - 0.85)), 6) FROM em_run WHERE turn = 40""")
+step("model_odds", f"""
+SELECT model, arm, framework, cut, spec, pattern, {_odds('w')} AS odds
+FROM (SELECT DISTINCT spec, pattern, {_LEVEL_LIST} FROM ds_pairs WHERE side = 'evaluation')
+JOIN (SELECT DISTINCT model, arm, framework, spec FROM grid) USING (spec) JOIN model_w USING (model)""")
+step("model_pairs", """
+SELECT model, arm, framework, cut, odds, rowid1, rowid2, experiment, admin, both_
+FROM ds_pairs JOIN model_odds USING (spec, pattern)
+WHERE side = 'evaluation' AND (both_ OR framework = 'deduplication') AND (odds >= cut OR framework = 'deduplication')""")
+step("model_best", """
+SELECT model, admin, experiment FROM model_pairs WHERE arm <> 'unsupervised' AND framework <> 'deduplication' AND odds >= cut
+QUALIFY row_number() OVER (PARTITION BY model, admin ORDER BY odds DESC, experiment) = 1""")
+step("model_ways", """
+SELECT model, rowid1 AS a, rowid2 AS b FROM model_pairs WHERE arm = 'unsupervised' AND odds >= cut
+UNION ALL SELECT model, rowid2, rowid1 FROM model_pairs WHERE arm = 'unsupervised' AND odds >= cut""")
+step("model_reached", """
+SELECT DISTINCT model, a AS rowid, a AS root FROM model_ways
+UNION SELECT r.model, w.b, r.root FROM model_reached r JOIN model_ways w ON w.model = r.model AND w.a = r.rowid WHERE r.root < w.b""")
+# average linkage: in each turn clusters that are each other's nearest merge; kind L has links, kind N where a record is
+step("mean_turns", """
+SELECT model, 0 AS turn, 'L' AS kind, rowid1 AS a, rowid2 AS b, round(1000000 / (1 + exp(-odds))) AS total, 1 AS na, 1 AS nb
+FROM model_pairs WHERE arm = 'active' AND framework = 'deduplication' AND round(1000000 / (1 + exp(-odds))) > 0
+UNION ALL
+SELECT DISTINCT model, 0, 'N', r, r, 0.0::DOUBLE, 1, 1 FROM (
+  SELECT model, unnest([rowid1, rowid2]) AS r FROM model_pairs
+  WHERE arm = 'active' AND framework = 'deduplication' AND round(1000000 / (1 + exp(-odds))) >= 500000)
+UNION ALL
+(WITH near AS (
+   SELECT model, turn, a, b, na, nb, round(total / (na * nb), 12) AS mean FROM mean_turns
+   WHERE kind = 'L' AND round(total / (na * nb), 12) >= 500000),
+ best AS (
+   SELECT model, x, min({'m': -mean, 'a': a, 'b': b, 'n': na + nb}) AS r
+   FROM (SELECT *, a AS x FROM near UNION ALL SELECT *, b AS x FROM near) GROUP BY model, x),
+ merges AS (SELECT model, (r).b AS old, (r).a AS new, (r).n AS n FROM best GROUP BY model, r HAVING count(*) = 2),
+ moved AS (
+   SELECT t.model, turn, kind, CASE WHEN kind = 'L' THEN coalesce(ma.new, t.a) ELSE t.a END AS a, coalesce(mb.new, t.b) AS b, total,
+          coalesce(ma.n, sa.n, na) AS na, coalesce(mb.n, sb.n, nb) AS nb
+   FROM mean_turns t
+   LEFT JOIN merges ma ON ma.model = t.model AND ma.old = t.a LEFT JOIN merges mb ON mb.model = t.model AND mb.old = t.b
+   LEFT JOIN merges sa ON sa.model = t.model AND sa.new = t.a LEFT JOIN merges sb ON sb.model = t.model AND sb.new = t.b
+   WHERE t.model IN (SELECT model FROM merges))
+ SELECT model, turn + 1, kind, CASE WHEN kind = 'L' THEN least(a, b) ELSE a END, CASE WHEN kind = 'L' THEN greatest(a, b) ELSE b END, sum(total),
+        max(CASE WHEN a <= b OR kind = 'N' THEN na ELSE nb END), max(CASE WHEN a <= b OR kind = 'N' THEN nb ELSE na END)
+ FROM moved WHERE kind = 'N' OR a <> b GROUP BY 1, 2, 3, 4, 5)""")
+step("model_clusters", """
+SELECT model, admin AS rowid, experiment AS cluster_id FROM model_best
+UNION ALL SELECT DISTINCT model, experiment, experiment FROM model_best
+UNION ALL SELECT model, rowid, min(root) FROM model_reached GROUP BY model, rowid
+UNION ALL SELECT model, a, b FROM mean_turns t
+  WHERE kind = 'N' AND turn = (SELECT max(turn) FROM mean_turns x WHERE x.model = t.model)""")
 step("run_rows", """
-SELECT g.run, l.rowid, l.sid, l.dataset,
-  CASE WHEN ('0x' || substr(md5('3:keep:' || g.run || ':' || l.rowid), 1, 15))::BIGINT % 1000 < g.kept THEN l.cluster_id
-       WHEN l.dataset = 'admin_evaluation' THEN -2 ELSE -1 END AS cluster_id
-FROM linked l, grid g""")
+SELECT g.run, d.rowid, d.sid, d.dataset,
+  coalesce(c.cluster_id, CASE WHEN d.dataset = 'admin_evaluation' THEN -2 ELSE -1 END) AS cluster_id
+FROM grid g JOIN ds_rows d ON d.spec = g.spec AND d.side = 'evaluation'
+LEFT JOIN model_clusters c ON c.model = g.model AND c.rowid = d.rowid""")
 step("run_exp", "SELECT * FROM run_rows WHERE dataset = 'experiment_evaluation'")
 step("run_adm", "SELECT * FROM run_rows WHERE dataset = 'admin_evaluation'")
 metric_steps("run_", "run_exp", "run_adm", "run")
 query("eval_summary", f"SELECT {SPEC}, {rounded(METRICS)} FROM run_summary JOIN grid USING (run)")
+step("run_sampled", """
+SELECT model, CAST(sum(label) AS BIGINT) AS cp_1s, count(*) FILTER (label = 1 AND NOT exact) AS cp_1s__nem, count(*) / max(sample_size) AS realized_blocked_proportion
+FROM run_pool GROUP BY model""")
 step("run_log", """
-SELECT run, digest, CASE WHEN arm = 'active' THEN digest % (budget + 1) END AS labeled_1s,
-  CASE WHEN arm = 'active' THEN budget - digest % (budget + 1) END AS labeled_0s,
-  CASE WHEN arm = 'active' THEN (digest % (budget + 1)) / budget END AS labeled_base_rate,
-  CASE WHEN arm = 'active' THEN (digest % 600) / 60.0 END AS runtime_min__label,
-  CASE WHEN arm = 'active' THEN (digest % 900) / 60.0 END AS runtime_min__predict,
-  CASE WHEN arm = 'unsupervised' THEN (digest % 300) / 60.0 END AS runtime_min__block
-FROM (SELECT *, ('0x' || substr(md5('3:log:' || run), 1, 15))::BIGINT AS digest FROM grid)""")
+SELECT run, labeled_1s, labeled_0s, labeled_1s / (labeled_1s + labeled_0s) AS labeled_base_rate, cp_1s, cp_1s__nem, realized_blocked_proportion,
+  CASE arm WHEN 'active' THEN 4 WHEN 'supervised' THEN 2 ELSE 3 END AS n_runtimes
+FROM grid LEFT JOIN run_sampled USING (model)
+LEFT JOIN (SELECT model, CAST(sum(label) AS BIGINT) AS labeled_1s, CAST(sum(1 - label) AS BIGINT) AS labeled_0s FROM asked4 GROUP BY model) USING (model)""")
 step("results", f"""
 SELECT {SPEC}, run, CASE WHEN framework = '' THEN arm ELSE arm || ' (' || framework || ')' END AS algorithm,
   {rounded(METRICS)}, l.* EXCLUDE (run)
 FROM run_summary JOIN grid USING (run) JOIN run_log l USING (run)""")
 query("eval_summary_ext", f"""
-SELECT {SPEC}, {', '.join(ANY)}, labeled_1s, labeled_0s,
-  {rounded(['labeled_base_rate', 'runtime_min__label', 'runtime_min__predict', 'runtime_min__block'], 6)} FROM results""")
+SELECT {SPEC}, {', '.join(ANY)}, cp_1s, cp_1s__nem, labeled_1s, labeled_0s, n_runtimes,
+  {rounded(['labeled_base_rate', 'realized_blocked_proportion'], 6)} FROM results""")
 step("places", """
-SELECT rowid, row_number() OVER (ORDER BY sid, rowid) - 1 AS place, count(*) OVER () AS n
-FROM linked WHERE dataset = 'experiment_evaluation'""")
+SELECT spec, rowid, row_number() OVER (PARTITION BY spec ORDER BY sid, rowid) - 1 AS place, count(*) OVER (PARTITION BY spec) AS n
+FROM ds_rows WHERE dataset = 'experiment_evaluation'""")
 
 
-def bootstrap_steps(prefix: str, iters: int, where: str) -> None:
+def bootstrap_steps(prefix: str, where: str) -> None:
     step(f"{prefix}_draws", f"""
-SELECT bs_iter, ('0x' || substr(md5((333 + bs_iter) || ':' || slot), 1, 15))::BIGINT % (SELECT max(n) FROM places) AS place
-FROM (SELECT unnest(range({iters})) AS bs_iter), (SELECT unnest(range((SELECT max(n) FROM places))) AS slot)""")
-    step(f"{prefix}_flags", f"SELECT f.run, p.place, expected, made FROM run_flags f JOIN grid USING (run) JOIN places p USING (rowid) WHERE {where}")
+SELECT spec, bs_iter, ('0x' || substr(md5((333 + bs_iter) || ':' || slot), 1, 15))::BIGINT % n AS place
+FROM (SELECT unnest(range({study.RESAMPLES})) AS bs_iter), (SELECT spec, n, unnest(range(n)) AS slot FROM (SELECT DISTINCT spec, n FROM places))""")
+    step(f"{prefix}_flags", f"""
+SELECT f.run, p.spec, p.place, expected, made FROM run_flags f JOIN grid g USING (run) JOIN places p ON p.spec = g.spec AND p.rowid = f.rowid WHERE {where}""")
+    # records with the same outcome in every run are drawn as one
+    step(f"{prefix}_alike", f"""
+SELECT spec, place, string_agg(CAST(expected AS INT) || CAST(made AS INT), '' ORDER BY run) AS alike FROM {prefix}_flags GROUP BY spec, place""")
+    step(f"{prefix}_outcomes", f"SELECT DISTINCT spec, alike, run, expected, made FROM {prefix}_flags JOIN {prefix}_alike USING (spec, place)")
+    step(f"{prefix}_drawn", f"SELECT spec, bs_iter, alike, count(*) AS n FROM {prefix}_draws JOIN {prefix}_alike USING (spec, place) GROUP BY ALL")
     step(f"{prefix}_metrics", f"""
-SELECT run, bs_iter, avg(CAST(made AS INT)) FILTER (expected) AS tpr_any, avg(CAST(expected AS INT)) FILTER (made) AS prc_any,
-  avg(CAST(NOT made AS INT)) FILTER (NOT expected) AS tnr_any
-FROM {prefix}_draws JOIN {prefix}_flags USING (place) GROUP BY run, bs_iter""")
+SELECT run, bs_iter, coalesce(sum(n) FILTER (expected AND made), 0) / sum(n) FILTER (expected) AS tpr_any,
+  coalesce(sum(n) FILTER (expected AND made), 0) / sum(n) FILTER (made) AS prc_any,
+  coalesce(sum(n) FILTER (NOT expected AND NOT made), 0) / sum(n) FILTER (NOT expected) AS tnr_any
+FROM {prefix}_drawn JOIN {prefix}_outcomes USING (spec, alike) GROUP BY run, bs_iter""")
     step(prefix, f"""
 SELECT {SPEC}, run, bs_iter, CASE WHEN framework = '' THEN arm ELSE arm || ' (' || framework || ')' END AS algorithm,
   {rounded(['tpr_any', 'prc_any', 'tnr_any'])}, round((1 - tnr_any) + (1 - tpr_any), 9) AS error_any
 FROM {prefix}_metrics JOIN grid USING (run)""")
 
 
-bootstrap_steps("boot_full", 1000, "arm = 'supervised'")
+bootstrap_steps("boot_full", "arm = 'supervised'")
 query("bootstrap_eval", f"SELECT {SPEC}, bs_iter, {', '.join(ANY)} FROM boot_full")
-bootstrap_steps("boot", 200, "true")
+bootstrap_steps("boot", "true")
 query("bootstrap_eval_all_arms", f"SELECT {SPEC}, bs_iter, {', '.join(ANY)} FROM boot")
 
 # -- results and reports --------------------------------------------------------------
@@ -662,16 +826,15 @@ query("collect_results", f"SELECT algorithm, {EVAL}, {', '.join(METRICS)}, label
 query("f1_scores", f"""
 SELECT algorithm, {EVAL}, round(2 * prc_any * tpr_any / nullif(prc_any + tpr_any, 0), 9) AS f1_any,
        round(2 * prc_corr * tpr_corr / nullif(prc_corr + tpr_corr, 0), 9) AS f1_corr FROM results""")
-query("total_runtime", f"""
-SELECT algorithm, {EVAL}, round(coalesce(runtime_min__label, 0) + coalesce(runtime_min__predict, 0)
-  + coalesce(runtime_min__block, 0), 9) AS runtime_min FROM results""")
-query("first_runs", f"SELECT algorithm, {EVAL}, bs_iter, error_any FROM boot WHERE model_iter <= 1")
-query("report_input", f"SELECT 'study' AS task, ss_train AS n_admin_rows, algorithm, {EVAL}, error_any FROM results")
+query("total_runtime", f"SELECT algorithm, {EVAL}, n_runtimes > 0 AS measured FROM results")
+query("first_runs", f"SELECT algorithm, {EVAL}, bs_iter, error_any FROM boot WHERE model_iter < {study.RUNS_KEPT}")
+step("kept", f"SELECT * FROM results WHERE model_iter < {study.RUNS_KEPT}")
+query("report_input", f"SELECT 'study' AS task, ss_train AS n_admin_rows, algorithm, {EVAL}, error_any FROM kept")
 _ARMS = """ WHERE sample_size IN (0, 150000) OR (algorithm = 'active (deduplication)' AND sample_size = 1500)
   OR (algorithm = 'active (record_linkage)' AND sample_size = 15000)"""
 _INTERVENTION = """arm || CASE WHEN sample_size = 150000 THEN ' (optimized)' WHEN sample_size = 0 THEN ''
   ELSE ' (default)' END AS intervention"""
-step("labelled_runs", f"SELECT *, {_INTERVENTION} FROM results {_ARMS}")
+step("labelled_runs", f"SELECT *, {_INTERVENTION} FROM kept {_ARMS}")
 query("arm_labels", f"SELECT intervention, {EVAL} FROM labelled_runs")
 
 
@@ -679,7 +842,7 @@ def _flag(group: str, order: str) -> str:
     return f"row_number() OVER (PARTITION BY {group} ORDER BY {order}, model_iter) = 1"
 
 
-step("figure_medians", "SELECT *, median(error_any) OVER (PARTITION BY algorithm, ss_train, budget, sample_size) AS mid FROM results")
+step("figure_medians", "SELECT *, median(error_any) OVER (PARTITION BY algorithm, ss_train, budget, sample_size) AS mid FROM kept")
 step("figure_runs", f"""
 SELECT * EXCLUDE (mid), {_flag('algorithm, ss_train, budget, sample_size', 'abs(error_any - mid)')} AS is_median FROM figure_medians""")
 query("median_run", f"SELECT algorithm, {EVAL}, error_any, is_median FROM figure_runs")
@@ -748,7 +911,7 @@ SELECT framework,
   CASE comparison_alg WHEN 'default_active' THEN 'Is the optimised active arm better than the default active arm?'
     WHEN 'unsupervised' THEN 'Is the optimised active arm better than the unsupervised arm?'
     ELSE 'Is the supervised arm better than the optimised active arm?' END AS question, comparison,
-  """ + ", ".join(f"max(cell) FILTER (col = '{s}_{b}') AS \"{s}_{b}\"" for s in (5000, 50000) for b in (20, 200)) + """,
+  """ + ", ".join(f"max(cell) FILTER (col = '{s}_{b}') AS \"{s}_{b}\"" for s in study.QUERY_GRID.sizes for b in study.QUERY_GRID.budgets) + """,
   CASE comparison_alg WHEN 'default_active' THEN 1 WHEN 'unsupervised' THEN 2 ELSE 3 END AS question_order,
   CASE comparison WHEN 'Median comparison' THEN 1 WHEN 'Worst-case comparison' THEN 2 ELSE 3 END AS comparison_order
 FROM texts GROUP BY framework, comparison_alg, comparison""")
@@ -760,13 +923,13 @@ step("intervals", "SELECT run, " + ", ".join(
     f"round(quantile_cont({m}, {q}), 6) AS {m}__{side}_bound" for m in _CI
     for side, q in (("lower", 0.025), ("upper", 0.975))) + " FROM boot_f1 GROUP BY run")
 query("confidence_intervals", f"""
-SELECT algorithm, {EVAL}, i.* EXCLUDE (run) FROM results r LEFT JOIN intervals i USING (run)""")
+SELECT algorithm, {EVAL}, i.* EXCLUDE (run) FROM kept r LEFT JOIN intervals i USING (run)""")
 query("figure_points", """
-SELECT ss_train, budget, model_iter, CASE budget WHEN 20 THEN 1 ELSE 4 END AS budget_map,
+SELECT ss_train, budget, model_iter, CASE budget WHEN 20 THEN 1 ELSE 6 END AS budget_map,
   labeled_1s >= 10 AND labeled_0s >= 10 AS meets_label_requirements,
   framework || CASE WHEN labeled_1s >= 10 AND labeled_0s >= 10 THEN ' True' ELSE ' False' END
     AS framework__meets_label_requirements, error_pair, prc_corr, tpr_corr
-FROM results WHERE arm = 'active' AND ((framework = 'deduplication' AND sample_size = 1500)
+FROM kept WHERE arm = 'active' AND ((framework = 'deduplication' AND sample_size = 1500)
   OR (framework = 'record_linkage' AND sample_size = 15000))""")
 step("benchmarks", """
 SELECT f.*, i.error_any__lower_bound, i.error_any__upper_bound FROM figure_runs f JOIN intervals i USING (run)
@@ -782,8 +945,8 @@ UNION ALL SELECT {_LINE}, 'all' FROM benchmarks""")
 query("sample_size_means", """
 SELECT budget, ss_train, 'Sample size: ' || format('{:,}', sample_size) AS specification,
   round(avg(error_any), 6) AS error_any, round(avg(prc_any), 6) AS prc_any, round(avg(tpr_any), 6) AS tpr_any,
-  CASE budget WHEN 20 THEN 1 ELSE 4 END AS budget_map
-FROM results WHERE arm = 'active' GROUP BY budget, ss_train, sample_size""")
+  CASE budget WHEN 20 THEN 1 ELSE 6 END AS budget_map
+FROM kept WHERE arm = 'active' GROUP BY budget, ss_train, sample_size""")
 query("stage_outputs", """
 SELECT stage, rowid, count(*) AS n FROM (
   SELECT 'blocks' AS stage, rowid FROM members UNION ALL SELECT 'predicted_matches', rowid1 FROM edges

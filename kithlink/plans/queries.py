@@ -590,16 +590,18 @@ def _(w: Workspace) -> DataFrame:
 
 @named("eval_summary_ext")
 def _(w: Workspace) -> DataFrame:
-    return w.run_results().select(*RUN_SPEC, *ANY, "labeled_1s", "labeled_0s",
-                                  *[F.round(c, 6).alias(c) for c in
-                                    ("labeled_base_rate", "runtime_min__label", "runtime_min__predict", "runtime_min__block")])
+    """Candidate, label and block figures of each run beside its metrics, and how many of its stages were timed."""
+    rows = w.run_results()
+    timed = sum((F.col(c).isNotNull() & (F.col(c) >= 0)).cast("int") for c in rows.columns if c.startswith(results.RUNTIME_PREFIX))
+    return rows.select(*RUN_SPEC, *ANY, "cp_1s", "cp_1s__nem", "labeled_1s", "labeled_0s", timed.alias("n_runtimes"),
+                       *[F.round(c, 6).alias(c) for c in ("labeled_base_rate", "realized_blocked_proportion")])
 
 
 @named("bootstrap_eval")
 def _(w: Workspace) -> DataFrame:
     """The full number of resamples for the runs of one arm."""
     rows = w.run_rows().where(F.col("arm") == study.SUPERVISED)
-    return rounded(evaluate.bootstrap_eval(rows, RUN_SPEC, ["ss_eval", "em_eval"], 1000), ANY)
+    return rounded(evaluate.bootstrap_eval(rows, RUN_SPEC, ["ss_eval", "em_eval"], study.RESAMPLES), ANY)
 
 
 @named("bootstrap_eval_all_arms")
@@ -674,12 +676,13 @@ def _(w: Workspace) -> DataFrame:
 
 @named("total_runtime")
 def _(w: Workspace) -> DataFrame:
-    return rounded(w.all_results().select("algorithm", *study.EVAL_SPEC, "runtime_min"), ["runtime_min"])
+    # minutes differ from run to run, that they were measured does not
+    return w.all_results().select("algorithm", *study.EVAL_SPEC, (F.col("runtime_min") > 0).alias("measured"))
 
 
 @named("first_runs")
 def _(w: Workspace) -> DataFrame:
-    return results.first_runs(w.all_bootstraps(), 2).select("algorithm", *study.EVAL_SPEC, "bs_iter", "error_any")
+    return results.first_runs(w.all_bootstraps(), study.RUNS_KEPT).select("algorithm", *study.EVAL_SPEC, "bs_iter", "error_any")
 
 
 @named("report_input")
@@ -750,7 +753,7 @@ def _(w: Workspace) -> DataFrame:
 
 
 def _report(w: Workspace) -> DataFrame:
-    columns = [(s, b) for s in study.SMALL_GRID.sizes for b in study.SMALL_GRID.budgets]
+    columns = [(s, b) for s in study.QUERY_GRID.sizes for b in study.QUERY_GRID.budgets]
     return report.significance_report(w.tests(), columns)
 
 

@@ -5,13 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kithlink.functions.seeded import hash_int, hash_mod, order_hash
-from kithlink.operators.cluster import ADMIN_ROLE, UNLINKED_ADMIN, UNLINKED_EXPERIMENT
-
-RUN_COLUMNS = ["arm", "ss_train", "em_train", "framework", "budget", "sample_size", "model_iter"]
 DEDUPLICATION, LINKAGE = "deduplication", "record_linkage"
 ACTIVE, SUPERVISED, UNSUPERVISED = "active", "supervised", "unsupervised"
 
@@ -54,47 +50,19 @@ def runnable(grid: DataFrame, datasets: DataFrame) -> DataFrame:
     return grid.join(counts.where("n_admin > 0 AND n_experiment > 0"), ["ss_train", "em_train"])
 
 
-# A grid that fits a quick study: 78 runs on two data sets.
-SMALL_GRID = GridRules(sizes=(5000, 50000), budgets=(20, 200), sample_sizes=(1500, 15000, 150000), iterations=3)
+# The grid the named queries run.  Its sizes leave single records over on tables of a few thousand persons, without which
+# no experiment record lacks a partner; it has one more iteration than a study keeps.
+QUERY_GRID = GridRules(sizes=(1000, 2000, 4000), budgets=(20, 1000), sample_sizes=(1500, 15000, 150000), iterations=6)
+RUNS_KEPT = 5
+RESAMPLES = 1000
 EVAL_SPEC = ["ss_train", "em_train", "ss_eval", "em_eval", "framework", "budget", "sample_size", "model_iter"]
-BUDGET_POSITION = {20: 1, 40: 2, 80: 3, 200: 4, 500: 5, 1000: 6}
-
 
-def run_key() -> Column:
-    return F.concat_ws("/", "arm", *[F.col(c).cast("string") for c in
-                                     ("ss_train", "framework", "budget", "sample_size", "model_iter")])
 
+def of_data_sets(grid: DataFrame) -> DataFrame:
+    """The grid with `spec`, the name of the data set a run trains and is evaluated on."""
+    return grid.withColumn("spec", F.concat_ws("__", F.col("ss_train").cast("string"), F.col("em_train").cast("string")))
 
-def run_clusters(linked: DataFrame, grid: DataFrame) -> DataFrame:
-    """Clusters as each run of the grid would give them, for studying the evaluation itself.
 
-    Every run starts from the same linked records and loses a share of the links that depends on
-    the run; which ones is decided by a digest of run and record.  The grid is a parameter table.
-    """
-    position = sum((F.when(F.col("budget") == b, p).otherwise(0) for b, p in BUDGET_POSITION.items()), F.lit(0))
-    kept = (F.when(F.col("arm") == ACTIVE, 700 + 40 * position + F.when(F.col("sample_size") == 150000, 60)
-                   .otherwise(0) + 7 * F.col("model_iter"))
-            .when(F.col("arm") == SUPERVISED, 960 + 5 * F.col("model_iter"))
-            .otherwise(880 - 9 * F.col("model_iter")))
-    runs = grid.withColumns({"kept": kept, "_run": run_key(), "ss_eval": F.col("ss_train"), "em_eval": F.col("em_train")})
-    sizes = [r["ss_train"] for r in grid.select("ss_train").distinct().collect()]  # data sets of the grid
-    rows = linked.withColumn("ss_eval", F.explode(F.array(*[F.lit(s) for s in sorted(sizes)])))
-    unlinked = F.when(F.col("dataset") == ADMIN_ROLE, UNLINKED_ADMIN).otherwise(UNLINKED_EXPERIMENT)
-    keep = hash_mod(order_hash(3, "keep", F.col("_run"), F.col("rowid")), 1000) < F.col("kept")
-    return (rows.join(F.broadcast(runs), "ss_eval")
-            .withColumn("cluster_id", F.when(keep, F.col("cluster_id")).otherwise(unlinked).cast("bigint"))
-            .select("arm", *EVAL_SPEC, "rowid", "sid", "dataset", "cluster_id"))
-
-
-def run_columns(grid: DataFrame) -> DataFrame:
-    """Label counts and stage minutes of each run, as its linker would log them."""
-    digest = hash_int(order_hash(3, "log", run_key()))
-    ones = (digest % (F.col("budget") + 1)).cast("int")
-    active = F.col("arm") == ACTIVE
-    return grid.withColumns({
-        "ss_eval": F.col("ss_train"), "em_eval": F.col("em_train"),
-        "labeled_1s": F.when(active, ones), "labeled_0s": F.when(active, F.col("budget") - ones),
-        "labeled_base_rate": F.when(active, ones / F.col("budget")),
-        "runtime_min__label": F.when(active, (digest % 600) / F.lit(60.0)),
-        "runtime_min__predict": F.when(active, (digest % 900) / F.lit(60.0)),
-        "runtime_min__block": F.when(F.col("arm") == UNSUPERVISED, (digest % 300) / F.lit(60.0))})
+def evaluated_on_own(df: DataFrame) -> DataFrame:
+    """A run is evaluated on the evaluation sets of the specification it was trained on."""
+    return df.withColumns({"ss_eval": F.col("ss_train"), "em_eval": F.col("em_train")})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kithlink.functions.seeded import hash_mod, order_hash
 from kithlink.operators import (
-    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, sampling)
+    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, runs, sampling)
 from kithlink.operators.scale import scratch_folder, staged
 from kithlink.plans import study
 from kithlink.sources import fixtures
@@ -26,31 +26,40 @@ EXACT_KEYS = [["last_name", "date_of_birth"], ["first_name", "middle_initial", "
 # The full-size study; on tables with fewer persons its quotas run short and take what there is.
 STUDY = sampling.SamplingRules(shares_exact=(0.5, 0.25))
 
+# The sizes that the queries run linkers on.
+RUN_STUDY = sampling.SamplingRules(sample_sizes=study.QUERY_GRID.sizes)
+
 STUDY_SEED = 3
 METRIC = "error_any"
-REPORT_RESAMPLES = 1000
 # Blocks of up to this many records on side A are merged, per framework.
 SMALL_BLOCK_LINKAGE = 4
 SMALL_BLOCK_DEDUPLICATION = 8
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+# Derived tables by application, input folder, its state and name.
+_STAGED: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
-def forget_stages() -> None:
-    """Make the next query of each folder derive its tables again (used for timing)."""
-    _STAGED.clear()
+def _state(spark: SparkSession, folder: str) -> str:
+    """Sizes and times of what lies in the folder: tables derived from other contents are not used again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return ";".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.state = _state(spark, self.folder)
 
     def source(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
+    def _key(self, name: str) -> tuple[str, str, str, str]:
+        return self.spark.sparkContext.applicationId, self.folder, self.state, name
+
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = self._key(name)
         if key not in _STAGED:
             _STAGED[key] = staged(build(), name)
         return _STAGED[key]
@@ -173,10 +182,32 @@ class Workspace:
 
     # runs of the study grid -----------------------------------------------------
     def grid(self) -> DataFrame:
-        return study.run_grid(self.spark, study.SMALL_GRID)
+        return study.of_data_sets(study.run_grid(self.spark, study.QUERY_GRID))
+
+    def run_datasets(self) -> DataFrame:
+        """Data sets of the grid's sizes, which leave single records over for the experiment sets."""
+        return self.once("run_datasets", lambda: sampling.build_datasets(self.profiled(), RUN_STUDY))
+
+    def _run(self) -> None:
+        """All runs of the grid, once; their tables go by three names."""
+        if self._key("run_rows") in _STAGED:
+            return
+        done = runs.run_all(self.run_datasets(), self.grid())
+        self.once("run_columns", lambda: study.evaluated_on_own(done.columns.drop("spec")))
+        self.once("run_labels", lambda: done.log)
+        self.once("run_rows", lambda: study.evaluated_on_own(done.rows.drop("spec")))
 
     def run_rows(self) -> DataFrame:
-        return self.once("run_rows", lambda: study.run_clusters(self.linked(), self.grid()))
+        self._run()
+        return _STAGED[self._key("run_rows")]
+
+    def run_columns(self) -> DataFrame:
+        self._run()
+        return _STAGED[self._key("run_columns")]
+
+    def run_labels(self) -> DataFrame:
+        self._run()
+        return _STAGED[self._key("run_labels")]
 
     def run_results(self) -> DataFrame:
         """One result row per run; the metrics are cut to nine places so that ties are ties."""
@@ -184,13 +215,13 @@ class Workspace:
             spec = ["arm", *study.EVAL_SPEC]
             summary = evaluate.eval_summary(self.run_rows(), spec)
             summary = summary.withColumns({c: F.round(c, 9) for c in summary.columns if c not in spec})
-            return evaluate.attach_run_columns(summary, study.run_columns(self.grid()), spec)
+            return evaluate.attach_run_columns(summary, self.run_columns(), spec)
         return self.once("run_results", build)
 
     def run_bootstraps(self) -> DataFrame:
         def build() -> DataFrame:
             rows = evaluate.bootstrap_eval(self.run_rows(), ["arm", *study.EVAL_SPEC], ["ss_eval", "em_eval"],
-                                           REPORT_RESAMPLES)
+                                           study.RESAMPLES)
             return rows.withColumns({c: F.round(c, 9) for c in ("tpr_any", "prc_any", "tnr_any", "error_any")})
         return self.once("run_bootstraps", build)
 
@@ -205,10 +236,10 @@ class Workspace:
         return self._collected(self.run_bootstraps()).transform(results.f1_scores, ("any",))
 
     def report_results(self) -> DataFrame:
-        return report.report_input(results.first_runs(self.all_results(), 5), "study")
+        return report.report_input(results.first_runs(self.all_results(), study.RUNS_KEPT), "study")
 
     def report_bootstraps(self) -> DataFrame:
-        return report.report_input(results.first_runs(self.all_bootstraps(), 5), "study")
+        return report.report_input(results.first_runs(self.all_bootstraps(), study.RUNS_KEPT), "study")
 
     def compared(self) -> DataFrame:
         points = report.point_estimates(self.report_results(), METRIC)
