@@ -222,8 +222,12 @@ def constrained_clusters(edges: DataFrame, nodes: DataFrame, task_edges: int = T
 def _average_linkage(rows: pd.DataFrame, cut: float) -> pd.DataFrame:
     """Bounded components: merge clusters that are each other's nearest until none reach the cut."""
     label = {x: x for x in pd.unique(rows[["rowid1", "rowid2"]].to_numpy().ravel())}
-    size = dict.fromkeys(label, 1)
-    links = {(min(a, b), max(a, b)): s for a, b, s in rows[["rowid1", "rowid2", "score"]].itertuples(index=False)}
+    size: dict[int, int] = {}
+    links: dict[tuple, float] = {}
+    for a, b, s, m, n in rows[["rowid1", "rowid2", "score", "copies1", "copies2"]].itertuples(index=False):
+        size[a], size[b] = m, n
+        # every copy of one side has the score with every copy of the other
+        links[min(a, b), max(a, b)] = s * m * n
     while True:
         best: dict[int, tuple] = {}
         for (a, b), total in links.items():
@@ -251,12 +255,14 @@ def _average_linkage(rows: pd.DataFrame, cut: float) -> pd.DataFrame:
 
 def _linkage_by_joins(edges: DataFrame, cut: float) -> DataFrame:
     """The same merges in rounds of joins, for components of any size."""
-    ends = edges.select(F.col("rowid1").alias("rowid")).unionByName(edges.select(F.col("rowid2").alias("rowid")))
-    clusters = staged(ends.distinct().withColumn("cluster_id", F.col("rowid")), "linkage")
-    links = staged(edges.groupBy(F.least("rowid1", "rowid2").alias("a"), F.greatest("rowid1", "rowid2").alias("b"))
-                   .agg(F.max("score").alias("total")), "links")
+    ends = edges.select(F.col("rowid1").alias("rowid"), F.col("copies1").alias("copies")).unionByName(
+        edges.select(F.col("rowid2").alias("rowid"), F.col("copies2").alias("copies")))
+    counted = staged(ends.distinct(), "copies")
+    clusters = staged(counted.select("rowid", F.col("rowid").alias("cluster_id")), "linkage")
+    links = staged(edges.select(F.col("rowid1").alias("a"), F.col("rowid2").alias("b"),
+                                (F.col("score") * F.col("copies1") * F.col("copies2")).alias("total")), "links")
     while True:
-        sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
+        sizes = clusters.join(counted, "rowid").groupBy("cluster_id").agg(F.sum("copies").alias("n"))
         sized = links
         for c in ("a", "b"):
             sized = lookup(sized, sizes.select(F.col("cluster_id").alias(c), F.col("n").alias(f"n_{c}")),
@@ -281,19 +287,25 @@ def partition_clusters(edges: DataFrame, cut: float = 0.5, task_edges: int = TAS
     """(rowid, cluster_id): average linkage of one table, pairs without an edge counting as 0.
 
     Edges below the cut still lower the mean between clusters, so they stay in, but only
-    components connected above the cut can merge at all.
+    components connected above the cut can merge at all.  With columns `copies1` and `copies2` an end
+    stands for so many equal records, and the mean is that over all of their pairs.
     """
+    for n in (1, 2):
+        if f"copies{n}" not in edges.columns:
+            edges = edges.withColumn(f"copies{n}", F.lit(1).cast("long"))
     # a repeated edge counts once, with its best score
+    up = F.col("rowid1") < F.col("rowid2")
     edges = staged(edges.where("rowid1 != rowid2")
                    .groupBy(F.least("rowid1", "rowid2").alias("rowid1"), F.greatest("rowid1", "rowid2").alias("rowid2"))
-                   .agg(F.max("score").alias("score")), "once")
+                   .agg(F.max("score").alias("score"), F.max(F.when(up, F.col("copies1")).otherwise(F.col("copies2"))).alias("copies1"),
+                        F.max(F.when(up, F.col("copies2")).otherwise(F.col("copies1"))).alias("copies2")), "once")
     strong = edges.where(F.col("score") >= cut)
     parts = staged(connected_components(strong).withColumnRenamed("cluster_id", "_comp"), "parts")
     placed = edges
     for n in (1, 2):
         placed = lookup(placed, parts.select(F.col("rowid").alias(f"rowid{n}"), F.col("_comp").alias(f"_comp{n}")),
                         [f"rowid{n}"], F.xxhash64("rowid1", "rowid2"), how="inner")
-    inside = placed.where("_comp1 = _comp2").select("rowid1", "rowid2", "score", F.col("_comp1").alias("_comp"))
+    inside = placed.where("_comp1 = _comp2").select("rowid1", "rowid2", "score", "copies1", "copies2", F.col("_comp1").alias("_comp"))
     sizes = inside.groupBy("_comp").agg(F.count("*").alias("_edges"))
     sized = staged(lookup(inside, sizes, ["_comp"], F.xxhash64("rowid1", "rowid2"), how="inner",
                           rows_col="_edges"), "sized")

@@ -302,12 +302,14 @@ class Runs:
     rows: DataFrame
     columns: DataFrame
     log: DataFrame
+    models: DataFrame
 
 
 def run_all(datasets: DataFrame, grid: DataFrame, rules: RunRules = RunRules()) -> Runs:
     """Every run of `grid` (arm, spec, framework, budget, sample_size, model_iter) on its data set.
 
     rows: arm, spec, framework, budget, sample_size, model_iter, rowid, sid, dataset, cluster_id.
+    log: the labels of the active runs.  models: cut and coefficients; runs of the unsupervised arm share those of their first.
     columns: per run the candidate, label and block figures, and minutes.  Labelling is timed for each run; the other
     stages run for all runs of an arm at once and a run has its share of their time.
     """
@@ -338,7 +340,9 @@ def run_all(datasets: DataFrame, grid: DataFrame, rules: RunRules = RunRules())
     alone = F.when(F.col("dataset") == cluster.ADMIN_ROLE, cluster.UNLINKED_ADMIN).otherwise(cluster.UNLINKED_EXPERIMENT)
     rows = (evaluated.join(F.broadcast(grid), "spec").join(linked, ["model", "rowid"], "left")
             .withColumn("cluster_id", F.coalesce("cluster_id", alone.cast("bigint"))).drop("model"))
-    return Runs(rows, _run_columns(grid, pools, log, minutes), log)
+    fitted_models = models.drop("arm", "spec", "framework").join(F.broadcast(named.where(
+        "model_iter = 0 OR budget > 0 OR framework = ''")), "model").drop("model")
+    return Runs(rows, _run_columns(grid, pools, log, minutes), log, fitted_models)
 
 
 def _run_columns(grid: DataFrame, pools: DataFrame, log: DataFrame, minutes: dict[str, float]) -> DataFrame:

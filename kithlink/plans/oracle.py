@@ -42,6 +42,39 @@ def oracle_sql() -> dict[str, str]:
     return {name: with_steps(sql) for name, sql in QUERIES.items()}
 
 
+def average_linkage_steps(prefix: str, links: str, cut: float) -> None:
+    """Step {prefix}_turns from `links` (model, a, b, total; a < b): in each turn clusters that are each other's nearest merge.
+
+    Kind L has the links between clusters, kind N the cluster of each record; the last turn of a model is its result.
+    """
+    step(f"{prefix}_links", links)
+    step(f"{prefix}_turns", f"""
+SELECT model, 0 AS turn, 'L' AS kind, a, b, total, 1 AS na, 1 AS nb FROM {prefix}_links
+UNION ALL
+SELECT DISTINCT model, 0, 'N', r, r, 0.0::DOUBLE, 1, 1 FROM (SELECT model, unnest([a, b]) AS r FROM {prefix}_links WHERE total >= {cut})
+UNION ALL
+(WITH near AS (
+   SELECT model, turn, a, b, na, nb, round(total / (na * nb), 12) AS mean FROM {prefix}_turns
+   WHERE kind = 'L' AND round(total / (na * nb), 12) >= {cut}),
+ best AS (
+   SELECT model, x, min({{'m': -mean, 'a': a, 'b': b, 'n': na + nb}}) AS r
+   FROM (SELECT *, a AS x FROM near UNION ALL SELECT *, b AS x FROM near) GROUP BY model, x),
+ merges AS (SELECT model, (r).b AS old, (r).a AS new, (r).n AS n FROM best GROUP BY model, r HAVING count(*) = 2),
+ moved AS (
+   SELECT t.model, turn, kind, CASE WHEN kind = 'L' THEN coalesce(ma.new, t.a) ELSE t.a END AS a, coalesce(mb.new, t.b) AS b, total,
+          coalesce(ma.n, sa.n, na) AS na, coalesce(mb.n, sb.n, nb) AS nb
+   FROM {prefix}_turns t
+   LEFT JOIN merges ma ON ma.model = t.model AND ma.old = t.a LEFT JOIN merges mb ON mb.model = t.model AND mb.old = t.b
+   LEFT JOIN merges sa ON sa.model = t.model AND sa.new = t.a LEFT JOIN merges sb ON sb.model = t.model AND sb.new = t.b
+   WHERE t.model IN (SELECT model FROM merges))
+ SELECT model, turn + 1, kind, CASE WHEN kind = 'L' THEN least(a, b) ELSE a END, CASE WHEN kind = 'L' THEN greatest(a, b) ELSE b END, sum(total),
+        max(CASE WHEN a <= b OR kind = 'N' THEN na ELSE nb END), max(CASE WHEN a <= b OR kind = 'N' THEN nb ELSE na END)
+ FROM moved WHERE kind = 'N' OR a <> b GROUP BY 1, 2, 3, 4, 5)""")
+    step(f"{prefix}_last", f"""
+SELECT model, a AS rowid, b AS cluster_id FROM {prefix}_turns t
+WHERE kind = 'N' AND turn = (SELECT max(turn) FROM {prefix}_turns x WHERE x.model = t.model)""")
+
+
 # -- records --------------------------------------------------------------------------
 
 step("raw_cases", fixtures.RAW_CASES_SQL.format(orders="orders"))
@@ -571,6 +604,9 @@ query("valid_clusters", """
 SELECT cluster_id, count(*) FILTER (role = 'EXPERIMENT') <= 1 AND NOT (count(*) FILTER (role = 'ADMIN_TRAINING') > 0
   AND count(*) FILTER (role <> 'ADMIN_TRAINING') > 0) AS valid FROM node_parts GROUP BY cluster_id""")
 query("unique_id_rule", "SELECT cluster_id, count(DISTINCT uid_sid) <= 1 AS valid_ids FROM node_parts GROUP BY cluster_id")
+average_linkage_steps("node_mean", """
+SELECT 'all' AS model, rowid1 AS a, rowid2 AS b, round((first_name_sim + last_name_sim + dob_sim) / 3, 6) AS total FROM node_sims""", 0.7)
+query("partition_clusters", "SELECT rowid, cluster_id FROM node_mean_last")
 query("many_to_one", """
 SELECT rowid2 AS rowid1, rowid1 AS rowid2, score FROM scored WHERE score >= 0.7
 QUALIFY row_number() OVER (PARTITION BY scored.rowid2 ORDER BY score DESC, scored.rowid1) = 1""")
@@ -658,16 +694,16 @@ FROM ds_pairs p JOIN (SELECT DISTINCT spec, framework, model_iter FROM grid WHER
 step("run_pool", f"""
 SELECT model, budget, sample_size, rowid1, rowid2, label, exact, {_LEVEL_LIST}, abs(round({_MEAN}, 9) - 0.5) AS doubt
 FROM pool_ranked p JOIN grid g USING (spec, framework, model_iter) WHERE arm = 'active' AND rank <= sample_size""")
-_ASKED = f"model, rowid1, rowid2, label, {_LEVEL_LIST}"
+_ASKED = f"model, rowid1, rowid2, label, exact, {_LEVEL_LIST}"
 step("asked1", f"""
-SELECT {_ASKED} FROM run_pool
+SELECT {_ASKED}, 1 AS turn, CAST(NULL AS DOUBLE) AS unsure FROM run_pool
 QUALIFY row_number() OVER (PARTITION BY model ORDER BY doubt, rowid1, rowid2) <= ceil(budget / 4)""")
 for _turn in range(1, 5):
     step(f"learned{_turn}", f"SELECT model, [{', '.join(_weight_list('label', '(1 - label)'))}] AS w FROM asked{_turn} GROUP BY model")
     if _turn < 4:
         step(f"asked{_turn + 1}", f"""
-SELECT {_ASKED} FROM asked{_turn}
-UNION ALL (SELECT {_ASKED} FROM (
+SELECT {_ASKED}, turn, unsure FROM asked{_turn}
+UNION ALL (SELECT {_ASKED}, {_turn + 1}, unsure FROM (
   SELECT p.*, abs({_odds('w')}) AS unsure FROM run_pool p JOIN learned{_turn} USING (model)
   WHERE NOT EXISTS (SELECT 1 FROM asked{_turn} a WHERE a.model = p.model AND a.rowid1 = p.rowid1 AND a.rowid2 = p.rowid2))
   QUALIFY row_number() OVER (PARTITION BY model ORDER BY unsure, rowid1, rowid2) <= ceil(budget / 4))""")
@@ -721,38 +757,14 @@ UNION ALL SELECT model, rowid2, rowid1 FROM model_pairs WHERE arm = 'unsupervise
 step("model_reached", """
 SELECT DISTINCT model, a AS rowid, a AS root FROM model_ways
 UNION SELECT r.model, w.b, r.root FROM model_reached r JOIN model_ways w ON w.model = r.model AND w.a = r.rowid WHERE r.root < w.b""")
-# average linkage: in each turn clusters that are each other's nearest merge; kind L has links, kind N where a record is
-step("mean_turns", """
-SELECT model, 0 AS turn, 'L' AS kind, rowid1 AS a, rowid2 AS b, round(1000000 / (1 + exp(-odds))) AS total, 1 AS na, 1 AS nb
-FROM model_pairs WHERE arm = 'active' AND framework = 'deduplication' AND round(1000000 / (1 + exp(-odds))) > 0
-UNION ALL
-SELECT DISTINCT model, 0, 'N', r, r, 0.0::DOUBLE, 1, 1 FROM (
-  SELECT model, unnest([rowid1, rowid2]) AS r FROM model_pairs
-  WHERE arm = 'active' AND framework = 'deduplication' AND round(1000000 / (1 + exp(-odds))) >= 500000)
-UNION ALL
-(WITH near AS (
-   SELECT model, turn, a, b, na, nb, round(total / (na * nb), 12) AS mean FROM mean_turns
-   WHERE kind = 'L' AND round(total / (na * nb), 12) >= 500000),
- best AS (
-   SELECT model, x, min({'m': -mean, 'a': a, 'b': b, 'n': na + nb}) AS r
-   FROM (SELECT *, a AS x FROM near UNION ALL SELECT *, b AS x FROM near) GROUP BY model, x),
- merges AS (SELECT model, (r).b AS old, (r).a AS new, (r).n AS n FROM best GROUP BY model, r HAVING count(*) = 2),
- moved AS (
-   SELECT t.model, turn, kind, CASE WHEN kind = 'L' THEN coalesce(ma.new, t.a) ELSE t.a END AS a, coalesce(mb.new, t.b) AS b, total,
-          coalesce(ma.n, sa.n, na) AS na, coalesce(mb.n, sb.n, nb) AS nb
-   FROM mean_turns t
-   LEFT JOIN merges ma ON ma.model = t.model AND ma.old = t.a LEFT JOIN merges mb ON mb.model = t.model AND mb.old = t.b
-   LEFT JOIN merges sa ON sa.model = t.model AND sa.new = t.a LEFT JOIN merges sb ON sb.model = t.model AND sb.new = t.b
-   WHERE t.model IN (SELECT model FROM merges))
- SELECT model, turn + 1, kind, CASE WHEN kind = 'L' THEN least(a, b) ELSE a END, CASE WHEN kind = 'L' THEN greatest(a, b) ELSE b END, sum(total),
-        max(CASE WHEN a <= b OR kind = 'N' THEN na ELSE nb END), max(CASE WHEN a <= b OR kind = 'N' THEN nb ELSE na END)
- FROM moved WHERE kind = 'N' OR a <> b GROUP BY 1, 2, 3, 4, 5)""")
+average_linkage_steps("mean", """
+SELECT model, rowid1 AS a, rowid2 AS b, round(1000000 / (1 + exp(-odds))) AS total FROM model_pairs
+WHERE arm = 'active' AND framework = 'deduplication' AND round(1000000 / (1 + exp(-odds))) > 0""", 500000)
 step("model_clusters", """
 SELECT model, admin AS rowid, experiment AS cluster_id FROM model_best
 UNION ALL SELECT DISTINCT model, experiment, experiment FROM model_best
 UNION ALL SELECT model, rowid, min(root) FROM model_reached GROUP BY model, rowid
-UNION ALL SELECT model, a, b FROM mean_turns t
-  WHERE kind = 'N' AND turn = (SELECT max(turn) FROM mean_turns x WHERE x.model = t.model)""")
+UNION ALL SELECT model, rowid, cluster_id FROM mean_last""")
 step("run_rows", """
 SELECT g.run, d.rowid, d.sid, d.dataset,
   coalesce(c.cluster_id, CASE WHEN d.dataset = 'admin_evaluation' THEN -2 ELSE -1 END) AS cluster_id
@@ -765,6 +777,17 @@ query("eval_summary", f"SELECT {SPEC}, {rounded(METRICS)} FROM run_summary JOIN
 step("run_sampled", """
 SELECT model, CAST(sum(label) AS BIGINT) AS cp_1s, count(*) FILTER (label = 1 AND NOT exact) AS cp_1s__nem, count(*) / max(sample_size) AS realized_blocked_proportion
 FROM run_pool GROUP BY model""")
+query("label_rounds", """
+SELECT spec, framework, model_iter, budget, sample_size, turn AS round, count(*) AS n_labels, CAST(sum(label) AS BIGINT) AS n_matches,
+  CAST(sum(CAST(exact AS INT)) AS BIGINT) AS n_exact, round(min(unsure), 6) AS least_doubt, round(max(unsure), 6) AS most_doubt,
+  min(rowid1) AS first_rowid, max(rowid2) AS last_rowid
+FROM asked4 JOIN (SELECT DISTINCT model, spec, framework, model_iter, budget, sample_size FROM grid) USING (model) GROUP BY ALL""")
+query("run_models", "SELECT arm, spec, framework, budget, sample_size, model_iter, round(cut, 6) AS cut, round(w[1], 6) AS w, " + ", ".join(
+    f"round(w[{2 + 3 * i + v}], 6) AS w_{g}_{v}" for i, g in enumerate(_G) for v in range(3)) + """
+FROM model_w JOIN grid USING (model) WHERE arm <> 'unsupervised' OR model_iter = 0""")
+query("run_ledger", """
+SELECT stage, 'exact keys' AS spec, stage = 'cluster' AS failed, true AS timed, stage = 'cluster' AS explained
+FROM (SELECT unnest(['block', 'link', 'evaluate', 'cluster']) AS stage)""")
 step("run_log", """
 SELECT run, labeled_1s, labeled_0s, labeled_1s / (labeled_1s + labeled_0s) AS labeled_base_rate, cp_1s, cp_1s__nem, realized_blocked_proportion,
   CASE arm WHEN 'active' THEN 4 WHEN 'supervised' THEN 2 ELSE 3 END AS n_runtimes

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithlink.operators import (
-    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, sampling)
+    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, runs, sampling)
 from kithlink.plans import arms, study
 from kithlink.plans.workspace import METRIC, STUDY, Workspace
 from kithlink.sources import readers, writers
@@ -597,6 +597,23 @@ def _(w: Workspace) -> DataFrame:
                        *[F.round(c, 6).alias(c) for c in ("labeled_base_rate", "realized_blocked_proportion")])
 
 
+@named("run_models")
+def _(w: Workspace) -> DataFrame:
+    """Cut and coefficients of every fitted model, a row each."""
+    return w.run_models().select("arm", "spec", "framework", "budget", "sample_size", "model_iter", F.round("cut", 6).alias("cut"),
+                                 *[F.round(c, 6).alias(c) for c in ("w", *runs.WEIGHTS)])
+
+
+@named("label_rounds")
+def _(w: Workspace) -> DataFrame:
+    """What each round of labels of the active runs asked for: pairs, matches among them, and how sure the model was."""
+    doubt = F.abs("match_odds")
+    return w.run_labels().groupBy(*runs.ACTIVE_RUN, "round").agg(
+        F.count("*").alias("n_labels"), F.sum("label").alias("n_matches"), F.sum(F.col("exact_match").cast("long")).alias("n_exact"),
+        F.round(F.min(doubt), 6).alias("least_doubt"), F.round(F.max(doubt), 6).alias("most_doubt"),
+        F.min("rowid1").alias("first_rowid"), F.max("rowid2").alias("last_rowid"))
+
+
 @named("bootstrap_eval")
 def _(w: Workspace) -> DataFrame:
     """The full number of resamples for the runs of one arm."""
@@ -825,4 +842,6 @@ def _(w: Workspace) -> DataFrame:
     for stage, action in (("block", lambda: w.members().count()), ("link", lambda: w.edges().count()),
                           ("evaluate", lambda: evaluate.eval_summary(w.linked(), []).count()), ("cluster", fail)):
         writers.timed(w.spark, folder, stage, "exact keys", action)
-    return writers.scan_ledger(w.spark, folder).select("stage", "spec", "minutes", "failed", "message")
+    # minutes and the wording of the failure differ from run to run
+    return writers.scan_ledger(w.spark, folder).select(
+        "stage", "spec", "failed", (F.col("minutes") >= 0).alias("timed"), F.col("message").isNotNull().alias("explained"))

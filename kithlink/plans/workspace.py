@@ -189,12 +189,13 @@ class Workspace:
         return self.once("run_datasets", lambda: sampling.build_datasets(self.profiled(), RUN_STUDY))
 
     def _run(self) -> None:
-        """All runs of the grid, once; their tables go by three names."""
+        """All runs of the grid, once; their tables go by four names."""
         if self._key("run_rows") in _STAGED:
             return
         done = runs.run_all(self.run_datasets(), self.grid())
         self.once("run_columns", lambda: study.evaluated_on_own(done.columns.drop("spec")))
         self.once("run_labels", lambda: done.log)
+        self.once("run_models", lambda: done.models)
         self.once("run_rows", lambda: study.evaluated_on_own(done.rows.drop("spec")))
 
     def run_rows(self) -> DataFrame:
@@ -209,6 +210,10 @@ class Workspace:
         self._run()
         return _STAGED[self._key("run_labels")]
 
+    def run_models(self) -> DataFrame:
+        self._run()
+        return _STAGED[self._key("run_models")]
+
     def run_results(self) -> DataFrame:
         """One result row per run; the metrics are cut to nine places so that ties are ties."""
         def build() -> DataFrame:

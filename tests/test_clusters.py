@@ -139,3 +139,21 @@ def test_priority_is_score_then_order(spark):
     df = spark.createDataFrame(rows, "rowid1 long, rowid2 long, phat double, original_order long")
     got = {r.rowid1: r.priority for r in constraints.link_priority(df).collect()}
     assert got == {3: 1, 5: 2, 1: 3}
+
+
+@pytest.mark.parametrize("task_edges", [50_000, 0])
+def test_average_linkage_counts_copies(spark, task_edges):
+    """A record that stands for several weighs as many as they would on their own."""
+    rng = random.Random(12)
+    copies = {x: rng.choice([1, 1, 2, 4]) for x in range(24)}
+    pairs = {(a, b): rng.randrange(300, 1000) / 1000 for a in range(24) for b in range(a + 1, 24) if a // 6 == b // 6 and rng.random() < 0.8}
+    weighed = [(a, b, s, copies[a], copies[b]) for (a, b), s in pairs.items()]
+    each = {x: [x * 10 + k for k in range(n)] for x, n in copies.items()}
+    alone = [(p, q, s) for (a, b), s in pairs.items() for p in each[a] for q in each[b]]
+    alone += [(p, q, 2.0) for own in each.values() for p in own for q in own if p < q]
+    one = {r.rowid: r.cluster_id for r in constraints.partition_clusters(
+        spark.createDataFrame(weighed, "rowid1 long, rowid2 long, score double, copies1 long, copies2 long"), 0.5, task_edges).collect()}
+    many = {r.rowid: r.cluster_id for r in constraints.partition_clusters(
+        spark.createDataFrame(alone, "rowid1 long, rowid2 long, score double"), 0.5, task_edges).collect()}
+    assert {x: c * 10 for x, c in one.items()} == {x: many[x * 10] for x in one}
+    assert len(set(one.values())) < len(one)
