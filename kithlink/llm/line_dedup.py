@@ -1,13 +1,12 @@
 """Deletion of repeated passages by pairwise alignment of lines.
 
-Lines that few documents share bring documents together: each document meets the earliest document
-that has the same rare line.  If all lines it shares are common ones, its least common one counts as
-rare, so large groups of near copies are found too.  The two line sequences are aligned by patience
-diff, and what they have in common in one piece goes from the later document.
-
-That looks at few earlier documents.  `dedup_passages` looks at all of them without listing pairs: the
-shortest runs of lines that are long enough, one from each line on and one up to each line, cover every
-block that two documents can have in common, and a run goes if an earlier document has it.
+Line hashes bring documents together: of each line that is long enough, and of each shortest run of lines
+that is, the earliest document that has it is a partner of all others.  The line sequences of a document
+and of each of its partners are aligned by patience diff, and the blocks they have in common go from the
+later document.  A shared run that stands in another order than an alignment can follow is looked up among
+the partner's runs and goes as well (`dedup_passages`).
+
+`dedup_lines` takes fewer partners, the earliest holders of rare single lines, and goes by alignments alone.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithlink.llm.common import RunHash, mix, unused
-from kithlink.operators.scale import staged
+from kithlink.operators.scale import lookup, staged
 
 # Documents that may share a line that counts as rare.
 RARE = 100
@@ -31,6 +30,10 @@ BLOCK_CHARS = 40
 # Documents whose lines a task holds as arrays at a time.
 ROWS = 500
 _RUNS = RunHash(1, 31)
+# A line that stands in an earlier document more often does not anchor an alignment with it.
+OFTEN = 8
+# Documents that are held against one reading of a partner's lines.
+PARTNER_ROWS = 2_000
 
 
 def line_keys(text: Column) -> Column:
@@ -152,57 +155,136 @@ def runs_of(keys: np.ndarray, sizes: np.ndarray, ends: np.ndarray, least: int) -
     return _RUNS.runs(sums, both[:, 0], both[:, 1]).view(np.int64), both[:, 0], both[:, 1]
 
 
+class _Earlier:
+    """The lines of an earlier document, where each stands, and its runs."""
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, least: int):
+        self.keys = keys.tolist()
+        self.index: dict[int, list[int]] = {}
+        for j, x in enumerate(self.keys):
+            self.index.setdefault(x, []).append(j)
+        self.runs = set(runs_of(keys, sizes, np.array([0, len(keys)]), least)[0].tolist())
+
+    def aligned(self, keys: list[int], sizes: list[int], least: int) -> set[int]:
+        """The lines of a later document in blocks that patience diff aligns.
+
+        Lines that stand here more than OFTEN times anchor nothing and stay out of the comparison, so a pair costs what the
+        later document has, however long the earlier one is.
+        """
+        js = sorted({j for x in set(keys) if len(at := self.index.get(x, ())) <= OFTEN for j in at})
+        out: set[int] = set()
+        block: list[int] = []
+        before = None
+        for i, j in [*((i, js[j]) for i, j in patience(keys, [self.keys[j] for j in js])), (-1, -1)]:
+            if block and before != (i - 1, j - 1):
+                if sum(sizes[k] for k in block) >= least:
+                    out.update(block)
+                block = []
+            if i >= 0:
+                block.append(i)
+            before = (i, j)
+        return out
+
+
+def _alignments(rows: DataFrame, least: int) -> DataFrame:
+    """partner, doc_id, version, lines, n_aligned per pair; `rows` has each partner's lines (later = false) before the documents held against it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known = None, []
+        for batch in batches:
+            met, ids, versions, lines, counts = [], [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("partner", "salt", "later", "doc_id", "version")]
+            for partner, salt, later, doc, version, keys, sizes in zip(*columns, batch.column("keys"), batch.column("sizes")):
+                keys, sizes = (x.values.to_numpy(zero_copy_only=False) for x in (keys, sizes))
+                full = np.flatnonzero(sizes > 0)
+                if (partner, salt) != here:
+                    here, known = (partner, salt), []
+                if not later:
+                    known.append(_Earlier(keys[full], sizes[full], least))
+                    continue
+                own, chars = keys[full].tolist(), sizes[full].tolist()
+                found: set[int] = set()
+                for earlier in known:
+                    found |= earlier.aligned(own, chars, least)
+                aligned = len(found)
+                # what stands in another order than an alignment can follow, or among lines too frequent to anchor it
+                key, first, after = runs_of(keys[full], sizes[full], np.array([0, len(full)]), least)
+                for k, a, b in zip(key.tolist(), first.tolist(), after.tolist()):
+                    if any(k in earlier.runs for earlier in known):
+                        found.update(range(a, b))
+                met.append(partner)
+                ids.append(doc)
+                versions.append(version)
+                lines.append(full[sorted(found)].tolist())
+                counts.append(aligned)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(met, pa.int64()), pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(lines, pa.list_(pa.int32())),
+                 pa.array(counts, pa.int64())], ["partner", "doc_id", "version", "lines", "n_aligned"])
+
+    return (rows.repartition("partner", "salt").sortWithinPartitions("partner", "salt", "later")
+            .mapInArrow(run, "partner long, doc_id long, version long, lines array<int>, n_aligned long"))
+
+
 def passages(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, version (hash of the text), n_partners, lines (places of the lines in runs that an earlier document has too).
+    """doc_id, version (hash of the text), n_partners, lines (places of the lines to delete), n_aligned (lines aligned, over the partners).
 
-    Partners are the earliest holders of these runs.  A run that very many documents have is one sum that
-    combines before the shuffle, and one row per holder after it.
+    Partners are the earliest holders of a document's line hashes: of each line of `block_chars` characters, and of each
+    shortest run of lines that has as many.  A hash that very many documents have is one sum that combines before
+    the shuffle, and one row per holder after it.  Each document is aligned with each partner; a partner of many is
+    read once for some thousands of them.
     """
-    lined = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+    lined = staged(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("version"), line_keys(F.col("text")).alias("keys"),
-        F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x))).alias("sizes"))
+        "doc_id", F.xxhash64("text").alias("version"), F.transform(line_keys(F.col("text")), lambda x: F.coalesce(x, F.lit(0))).alias("keys"),
+        F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x))).alias("sizes")), "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
                 lists = batch.column("keys")
                 bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                flat = lists.flatten()
-                full = ~flat.is_null().to_numpy(zero_copy_only=False)
-                sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False)[full]
+                sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False)
+                full = sizes > 0
                 ends = np.concatenate([[0], np.cumsum(full)])[bounds]
-                key, first, after = runs_of(flat.drop_null().to_numpy(zero_copy_only=False), sizes, ends, block_chars)
-                doc = np.searchsorted(ends, first, side="right") - 1
-                line = np.flatnonzero(full)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), batch.column("doc_id").take(pa.array(doc)), batch.column("version").take(pa.array(doc)),
-                     pa.array((line[first] - bounds[doc]).astype(np.int32)), pa.array((line[after - 1] - bounds[doc]).astype(np.int32))],
-                    ["key", "doc_id", "version", "since", "upto"])
-
-    held = lined.mapInArrow(run, "key long, doc_id long, version long, since int, upto int")
-    shared = (held.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-              .where("first != last").select("key", "first"))
-    hits = held.join(shared, "key").where("doc_id != first")
-    # at most two runs per line of a document
-    return hits.groupBy("doc_id", "version").agg(
-        F.size(F.collect_set("first")).cast("long").alias("n_partners"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("since", "upto"))))).alias("lines"))
+                key, first, _ = runs_of(lists.flatten().to_numpy(zero_copy_only=False)[full], sizes[full], ends, block_chars)
+                doc = pa.array(np.searchsorted(ends, first, side="right") - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(doc), batch.column("version").take(doc)],
+                                                 ["key", "doc_id", "version"])
+
+    held = lined.select("doc_id", "version", "keys", "sizes").mapInArrow(run, "key long, doc_id long, version long")
+    shared = (held.groupBy("key").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last"), F.count("*").alias("_rows"))
+              .where("partner != last").select("key", "partner", "_rows"))
+    pairs = staged(lookup(held, shared, ["key"], F.col("doc_id"), how="inner", rows_col="_rows", hot_rows=PARTNER_ROWS)
+                   .where("doc_id != partner").select("doc_id", "version", "partner").distinct(), "pairs")
+    # partners of many documents, with the parts their documents are dealt to
+    counted = pairs.groupBy("partner").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / PARTNER_ROWS).cast("int")
+    hot = F.broadcast(counted.where(F.col("n") > PARTNER_ROWS).select("partner", parts.alias("_parts")))
+    later = (pairs.join(hot, "partner", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.coalesce("_parts", F.lit(1))).cast("int"))
+             .join(lined, ["doc_id", "version"]).select("partner", "salt", F.lit(True).alias("later"), "doc_id", "version", "keys", "sizes"))
+    earlier = (lined.join(counted.select(F.col("partner").alias("doc_id"), parts.alias("_parts")), "doc_id")
+               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+               .select(F.col("doc_id").alias("partner"), "salt", F.lit(False).alias("later"), "doc_id", "version", "keys", "sizes"))
+    # a document has two runs per line at most, so as many partners
+    return _alignments(earlier.unionByName(later), block_chars).groupBy("doc_id", "version").agg(
+        F.size(F.collect_set("partner")).cast("long").alias("n_partners"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.sum("n_aligned").alias("n_aligned"))
 
 
 def dedup_passages(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Like `dedup_lines`, held against all earlier documents.
+    """The rows of `docs` with `text` less the deleted lines, and n_lines, n_removed, n_partners; the first document
+    that holds a passage keeps it.
 
     A line goes if it stands in a run of `block_chars` characters or more, lines of blanks left out, that
     also is a run of lines of any document with a smaller id, however many have it and in whatever order
     they have their passages.  Rows that repeat an id are not earlier than one another; each loses the
-    lines of its own text.
+    lines of its own text.  Null texts stay null and have no lines, an empty text is one empty line, texts of any
+    length count whole.  Rows with a null id are left as they are.  Columns called like the new ones are replaced, and an
+    empty table gives no rows.
     """
     keep = docs.drop("n_lines", "n_removed", "n_partners")
     own, version, which = (unused(docs, c) for c in ("cut_id", "cut_version", "cut_lines"))
     blank = lambda i: F.trim(F.get(F.split("text", "\n"), i)) == ""
-    gone = passages(docs, block_chars).select(F.col("doc_id").alias(own), F.col("version").alias(version), "n_partners",
-                                              F.col("lines").alias(which))
+    gone = passages(docs, block_chars).select(F.col("doc_id").alias(own), F.col("version").alias(version), F.col("n_partners"), F.col("lines").alias(which))
     found = keep.join(gone, (keep["doc_id"].cast("long") == F.col(own))
                       & (F.xxhash64(keep["text"].cast("string")) == F.col(version)), "left")
     return _cut(found.withColumn(which, F.filter(which, lambda i: ~blank(i))), which).drop(own, version, which)
