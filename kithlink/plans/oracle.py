@@ -841,7 +841,7 @@ query("runtime_columns", """
 SELECT user_id, round((sum(minute(ts)) * 60 + sum(floor(second(ts)))) / 60, 9) AS runtime_min,
        round((count(*) * 3600 + sum(minute(ts)) * 60) / 60, 9) AS runtime_scoring_min FROM events GROUP BY user_id""")
 query("spec_from_path", """
-SELECT arm, tpr_any, prc_any, ss_train, em_train, budget, sample_size, framework, model_iter FROM results WHERE framework <> ''""")
+SELECT arm, tpr_any, prc_any, ss_train, em_train, budget, sample_size, nullif(framework, '') AS framework, model_iter FROM results""")
 query("write_results", f"""
 SELECT r.algorithm, {', '.join('r.' + c for c in EVAL.split(', '))}, r.error_any, count(*) AS n_resamples, min(b.error_any) AS lowest
 FROM results r JOIN boot b USING (run) GROUP BY ALL""")
@@ -939,7 +939,7 @@ SELECT framework,
   CASE comparison WHEN 'Median comparison' THEN 1 WHEN 'Worst-case comparison' THEN 2 ELSE 3 END AS comparison_order
 FROM texts GROUP BY framework, comparison_alg, comparison""")
 query("significance_report", "SELECT * FROM report")
-query("report_sink", "SELECT * FROM report WHERE framework = 'record_linkage'")
+query("report_sink", "SELECT * FROM report")
 step("boot_f1", "SELECT *, 2 * prc_any * tpr_any / nullif(prc_any + tpr_any, 0) AS f1_any FROM boot")
 _CI = ["tpr_any", "prc_any", "tnr_any", "error_any", "f1_any"]
 step("intervals", "SELECT run, " + ", ".join(
@@ -951,9 +951,10 @@ query("figure_points", """
 SELECT ss_train, budget, model_iter, CASE budget WHEN 20 THEN 1 ELSE 6 END AS budget_map,
   labeled_1s >= 10 AND labeled_0s >= 10 AS meets_label_requirements,
   framework || CASE WHEN labeled_1s >= 10 AND labeled_0s >= 10 THEN ' True' ELSE ' False' END
-    AS framework__meets_label_requirements, error_pair, prc_corr, tpr_corr
-FROM kept WHERE arm = 'active' AND ((framework = 'deduplication' AND sample_size = 1500)
-  OR (framework = 'record_linkage' AND sample_size = 15000))""")
+    AS framework__meets_label_requirements, error_pair, prc_corr, tpr_corr, defaults
+FROM kept, (VALUES (true), (false)) AS shown(defaults)
+WHERE arm = 'active' AND CASE WHEN defaults THEN sample_size = CASE framework WHEN 'deduplication' THEN 1500 ELSE 15000 END
+  ELSE sample_size = 150000 END""")
 step("benchmarks", """
 SELECT f.*, i.error_any__lower_bound, i.error_any__upper_bound FROM figure_runs f JOIN intervals i USING (run)
 WHERE algorithm IN ('supervised', 'unsupervised (record_linkage)')""")

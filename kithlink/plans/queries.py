@@ -661,9 +661,9 @@ def _(w: Workspace) -> DataFrame:
     """Results written under names that spell the specification, read back with one glob."""
     folder = w.folder_for("result_files")
     name = F.concat(F.lit("result__sst_"), F.col("ss_train"), F.lit("__emt_"), F.col("em_train"), F.lit("__budget_"),
-                    F.col("budget"), F.lit("__sample_size_"), F.col("sample_size"), F.lit("__type_"),
-                    F.col("framework"), F.lit("__iter_"), F.col("model_iter"))
-    rows = w.run_results().where(F.col("framework") != "").select(
+                    F.col("budget"), F.lit("__sample_size_"), F.col("sample_size"), F.when(F.col("framework") != "", F.concat(
+                        F.lit("__type_"), F.col("framework"))).otherwise(F.lit("")), F.lit("__iter_"), F.col("model_iter"))
+    rows = w.run_results().select(
         F.concat(F.lit("arm_"), F.col("arm"), F.lit("__"), name).alias("file"), "arm", "tpr_any", "prc_any")
     rows.write.partitionBy("file").csv(folder, header=True)
     schema = rows.drop("file").schema
@@ -783,7 +783,7 @@ def _(w: Workspace) -> DataFrame:
 def _(w: Workspace) -> DataFrame:
     folder = w.folder_for("report")
     writers.write_report(_report(w), folder)
-    return w.spark.read.parquet(folder).where(F.col("framework") == study.LINKAGE)
+    return w.spark.read.parquet(folder)
 
 
 @named("confidence_intervals")
@@ -795,8 +795,9 @@ def _(w: Workspace) -> DataFrame:
 
 @named("figure_points")
 def _(w: Workspace) -> DataFrame:
-    shown = report.figure_subset(w.report_results(), defaults=True)
-    return report.figure_points(shown, ["error", "prc", "tpr"], "corr")
+    parts = [report.figure_points(report.figure_subset(w.report_results(), defaults), ["error", "prc", "tpr"], "corr")
+             .withColumn("defaults", F.lit(defaults)) for defaults in (True, False)]
+    return parts[0].unionByName(parts[1])
 
 
 @named("benchmark_lines")
