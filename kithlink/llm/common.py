@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -12,6 +13,22 @@ from pyspark.sql import functions as F
 
 from kithlink.operators.scale import staged
 
+
+def _give_back() -> None:
+    """Memory of freed arrays goes back to the system at once: workers stay from stage to stage, and what the
+    allocators would keep for them adds up beside the heap of their executor."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        # of the C library: large blocks are mapped on their own, the rest is trimmed, two arenas do
+        for setting, value in ((-3, 1 << 18), (-1, 1 << 20), (-8, 2)):
+            ctypes.CDLL("libc.so.6").mallopt(setting, value)
+    except (OSError, AttributeError):
+        # another C library keeps its own ways
+        pass
+
+
+_give_back()
+
 # Text that a task holds as arrays at a time; a single longer text is handled alone.
 PIECE_BYTES = 1_000_000
 
