@@ -24,6 +24,8 @@ from kithlink.llm.shingles import word_hashes
 from kithlink.operators.scale import staged
 
 BUCKETS = 1 << 13
+# Bytes of texts summed up at a time: each word takes a row of numbers, one per domain, meanwhile.
+SUMMED_BYTES = 200_000
 # The domain of all labels that are none of the largest.
 REST = "(rest)"
 
@@ -63,7 +65,8 @@ class Posterior:
     def __call__(self, data: np.ndarray, ends: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One row of domain shares per text, and its words; `label` has the domain a text is labelled with or -1."""
         bucket, _, words = _counts(data, ends)
-        sums = np.concatenate([np.zeros((1, len(self.domains))), np.cumsum(self.log_share[bucket], 0, dtype=np.float64)])
+        sums = np.zeros((len(bucket) + 1, len(self.domains)))
+        np.cumsum(self.log_share[bucket], 0, dtype=np.float64, out=sums[1:])
         at = np.concatenate([[0], np.cumsum(words)])
         z = (sums[at[1:]] - sums[at[:-1]]) / np.sqrt(np.maximum(1, words))[:, None] + self.prior
         z = np.exp(z - z.max(1, keepdims=True))
@@ -122,7 +125,7 @@ def member_shares(docs: DataFrame, posterior: Posterior, domain: str) -> DataFra
     @F.arrow_udf("tokens long, shares array<double>")
     def run(text: pa.Array, label: pa.Array) -> pa.Array:
         known, at, found = label.to_numpy(zero_copy_only=False), 0, []
-        for piece in text_pieces(text):
+        for piece in text_pieces(text, SUMMED_BYTES):
             found.append(posterior(*bytes_of(piece), known[at:at + len(piece)]))
             at += len(piece)
         p = np.concatenate([np.zeros((0, d)), *(p for p, _ in found)])
