@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithlink.operators.blocking import candidates_between
@@ -60,6 +60,14 @@ def pattern_counts(members: DataFrame, rules: AgreementRules = AgreementRules())
             .groupBy("block", *AGREEMENTS).agg(F.sum("n_pairs").alias("n_pairs")))
 
 
+def field_values() -> dict[str, Column]:
+    """The value of each compared field as a text."""
+    birth = F.col("date_of_birth")
+    return {"g_first": F.col("first_name"), "g_last": F.col("last_name"), "g_dob": birth.cast("string"),
+            "g_mi": F.col("middle_initial"), "g_race": F.col("race"), "g_sex": F.col("sex"),
+            "g_month": F.month(birth).cast("string"), "g_day": F.dayofmonth(birth).cast("string")}
+
+
 def field_totals(members: DataFrame, rules: AgreementRules = AgreementRules()) -> DataFrame:
     """(block, field, n_full, n_partial, n_known): how all pairs of a block agree on each field.
 
@@ -67,11 +75,7 @@ def field_totals(members: DataFrame, rules: AgreementRules = AgreementRules()) -
     they are equal.  Birth dates of one year are all alike as texts, so their levels are taken
     over pairs of distinct dates, of which a block has no more than its calendar has days.
     """
-    birth = F.col("date_of_birth")
-    fields = {"g_first": F.col("first_name"), "g_last": F.col("last_name"), "g_dob": birth.cast("string"),
-              "g_mi": F.col("middle_initial"), "g_race": F.col("race"), "g_sex": F.col("sex"),
-              "g_month": F.month(birth).cast("string"), "g_day": F.dayofmonth(birth).cast("string")}
-    values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()]))
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in field_values().items()]))
     counts = (members.select("block", "side", "copies", values.alias("_v"))
               .where("_v.value IS NOT NULL")
               .groupBy("block", F.col("_v.field").alias("field"), F.col("_v.value").alias("value"))
@@ -177,8 +181,12 @@ def em_link(counts: DataFrame, totals: DataFrame, rules: EmRules = EmRules()) ->
 def em_matches(members: DataFrame, fitted: DataFrame, rules: EmRules = EmRules(),
                levels: AgreementRules = AgreementRules()) -> DataFrame:
     """Profile pairs whose pattern reaches the threshold in their block; no one-to-one reduction."""
+    return with_posterior(agreement_levels(block_pairs(members), levels), fitted, rules)
+
+
+def with_posterior(pairs: DataFrame, fitted: DataFrame, rules: EmRules = EmRules()) -> DataFrame:
+    """Those of the graded pairs whose pattern reaches the threshold in their block."""
     patterns = fitted.where(F.col("posterior") >= rules.threshold).select("block", *AGREEMENTS, "posterior")
-    pairs = agreement_levels(block_pairs(members), levels)
     same = [pairs[c].eqNullSafe(patterns[c]) for c in AGREEMENTS]
     # at most a few hundred patterns per block reach the threshold
     patterns = broadcast_up_to(patterns)

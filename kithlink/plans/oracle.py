@@ -564,6 +564,48 @@ SELECT block, field, CAST(sum(a * b) AS BIGINT) AS n_full, 0 AS n_partial, CAST(
 FROM value_counts WHERE field <> 'g_dob' GROUP BY block, field HAVING sum(a) * sum(b) > 0
 UNION ALL SELECT block, 'g_dob', CAST(coalesce(sum(n) FILTER (s >= 0.94), 0) AS BIGINT),
   CAST(coalesce(sum(n) FILTER (s >= 0.88 AND s < 0.94), 0) AS BIGINT), CAST(sum(n) AS BIGINT) FROM date_levels GROUP BY block""")
+# one table: all pairs of profiles that meet in a block are listed, each with the lowest block it meets in
+step("one_homes", """
+SELECT yob, CASE WHEN sum(copies) <= 8 THEN 'small' ELSE CAST(yob AS VARCHAR) END AS home
+FROM prof WHERE yob IS NOT NULL GROUP BY yob""")
+step("one_placed", "SELECT p.*, home FROM prof p JOIN one_homes USING (yob)")
+step("one_members", """
+SELECT home AS block, 'A' AS side, rowid, home FROM one_placed
+UNION SELECT h.home, 'B', rowid, p.home FROM one_placed p JOIN one_homes h ON abs(h.yob - p.yob) <= 1""")
+query("one_table_members", "SELECT * FROM one_members")
+step("one_met", """
+SELECT least(m.rowid, n.rowid) AS rowid1, greatest(m.rowid, n.rowid) AS rowid2, min(m.block) AS block
+FROM one_members m JOIN one_members n ON m.block = n.block AND m.side = 'A' AND n.side = 'B' AND m.rowid <> n.rowid GROUP BY 1, 2""")
+step("one_pairs", f"""
+SELECT t.block, a.copies * b.copies AS n, {_BOTH} FROM one_met t JOIN prof a ON a.rowid = rowid1 JOIN prof b ON b.rowid = rowid2
+UNION ALL SELECT a.home, a.copies * (a.copies - 1) // 2, {_BOTH} FROM one_placed a JOIN prof b USING (rowid) WHERE a.copies > 1""")
+step("one_shared", """
+SELECT * FROM one_pairs WHERE last_name1 = last_name2 OR date_of_birth1 = date_of_birth2
+  OR (first_name1 = first_name2 AND middle_initial1 = middle_initial2)""")
+query("one_table_pairs", f"SELECT block, rowid1, rowid2, {_LEVELS} FROM one_shared WHERE rowid1 <> rowid2")
+step("one_patterns", f"""
+SELECT block, g_first, g_last, g_dob, g_mi, g_race, g_sex, g_month, g_day, CAST(sum(n) AS BIGINT) AS n_pairs
+FROM (SELECT block, n, {_LEVELS} FROM one_shared) GROUP BY ALL""")
+query("one_table_patterns", """
+SELECT * FROM one_patterns UNION ALL
+SELECT block, NULL, 0, 0, NULL, NULL, NULL, NULL, NULL, CAST(n_all - coalesce(n_seen, 0) AS BIGINT)
+FROM (SELECT block, sum(n) AS n_all FROM one_pairs GROUP BY block)
+LEFT JOIN (SELECT block, sum(n_pairs) AS n_seen FROM one_patterns GROUP BY block) USING (block)
+WHERE n_all > coalesce(n_seen, 0)""")
+step("one_births", """
+SELECT block, date_of_birth1, date_of_birth2, sum(n) AS n FROM one_pairs
+WHERE date_of_birth1 IS NOT NULL AND date_of_birth2 IS NOT NULL GROUP BY ALL""")
+query("one_table_totals", " UNION ALL ".join(f"""
+SELECT block, 'g_{f}' AS field, CAST(coalesce(sum(n) FILTER ({a} = {b}), 0) AS BIGINT) AS n_full, 0 AS n_partial,
+  CAST(sum(n) AS BIGINT) AS n_known FROM one_pairs WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY block"""
+    for f, a, b in (("first", "first_name1", "first_name2"), ("last", "last_name1", "last_name2"),
+                    ("mi", "middle_initial1", "middle_initial2"), ("race", "race1", "race2"), ("sex", "sex1", "sex2"),
+                    ("month", "month(date_of_birth1)", "month(date_of_birth2)"),
+                    ("day", "day(date_of_birth1)", "day(date_of_birth2)"))) + f"""
+UNION ALL SELECT block, 'all', CAST(sum(n) AS BIGINT), 0, CAST(sum(n) AS BIGINT) FROM one_pairs GROUP BY block
+UNION ALL SELECT block, 'g_dob', CAST(coalesce(sum(n) FILTER (g = 2), 0) AS BIGINT),
+  CAST(coalesce(sum(n) FILTER (g = 1), 0) AS BIGINT), CAST(sum(n) AS BIGINT)
+FROM (SELECT block, n, {_graded('date_of_birth')} AS g FROM one_births) GROUP BY block""")
 step("labelled", """
 SELECT rowid1, rowid2, CASE WHEN sid1 = sid2 THEN 'y' ELSE 'n' END AS label,
   CAST(first_name1 = first_name2 AND last_name1 = last_name2 AND date_of_birth1 = date_of_birth2 AS INT) AS exact_match

@@ -442,6 +442,38 @@ def _(w: Workspace) -> DataFrame:
     return rounded(evaluate.eval_summary(arms.records_from_matches(w.roles(), w.em_matches()), []), METRICS)
 
 
+@named("one_table_members")
+def _(w: Workspace) -> DataFrame:
+    return w.one_table_members().select("block", "side", "rowid", "home")
+
+
+@named("one_table_pairs")
+def _(w: Workspace) -> DataFrame:
+    return w.one_table_graded().select("block", "rowid1", "rowid2", *compare.AGREEMENTS)
+
+
+@named("one_table_patterns")
+def _(w: Workspace) -> DataFrame:
+    return w.one_table_patterns()
+
+
+@named("one_table_totals")
+def _(w: Workspace) -> DataFrame:
+    return w.one_table_totals()
+
+
+@named("one_table_matches")
+def _(w: Workspace) -> DataFrame:
+    return w.one_table_matches().select("block", "rowid1", "rowid2", "score")
+
+
+@named("em_deduplication")
+def _(w: Workspace) -> DataFrame:
+    """The unsupervised arm inside one table, from blocks to metrics."""
+    linked = arms.records_from_matches(w.roles(), w.one_table_matches(), one_table=True)
+    return rounded(evaluate.eval_summary(linked, []), METRICS)
+
+
 # -- active and supervised linkage ----------------------------------------------------
 
 @named("active_label")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kithlink.functions.seeded import hash_mod, order_hash
 from kithlink.operators import (
-    blocking, clean, cluster, compare, constraints, em, evaluate, learn, profile, report, results, runs, sampling)
+    blocking, clean, cluster, compare, constraints, em, em_within, evaluate, learn, profile, report, results, runs, sampling)
 from kithlink.operators.scale import scratch_folder, staged
 from kithlink.plans import study
 from kithlink.sources import fixtures
@@ -155,6 +155,24 @@ class Workspace:
     def em_matches(self) -> DataFrame:
         return self.once("em_matches", lambda: em.em_matches(self.members(), self.fitted()))
 
+    def one_table_members(self) -> DataFrame:
+        return self.once("one_table_members", lambda: em_within.one_table_members(
+            self.profiles(), SMALL_BLOCK_DEDUPLICATION))
+
+    def one_table_graded(self) -> DataFrame:
+        return self.once("one_table_graded", lambda: em_within.within_graded(self.one_table_members()))
+
+    def one_table_totals(self) -> DataFrame:
+        return self.once("one_table_totals", lambda: em_within.within_totals(self.one_table_members()))
+
+    def one_table_patterns(self) -> DataFrame:
+        return self.once("one_table_patterns", lambda: em_within.within_patterns(
+            self.one_table_members(), self.one_table_graded(), self.one_table_totals()))
+
+    def one_table_matches(self) -> DataFrame:
+        fitted = self.once("one_table_fitted", lambda: em.em_link(self.one_table_patterns(), self.one_table_totals()))
+        return self.once("one_table_matches", lambda: em_within.within_matches(self.one_table_graded(), fitted))
+
     # learning -------------------------------------------------------------------
     def label_pool(self) -> DataFrame:
         return self.once("label_pool", lambda: blocking.candidate_sample(self.candidates(), 1500, STUDY_SEED))

@@ -21,7 +21,7 @@ def test_flagship(spark):
     assert result.count() == 1 and "error_pair" in result.columns
 
 
-@pytest.mark.parametrize("arm", ["em_linkage", "active_linkage", "active_deduplication", "supervised_linkage"])
+@pytest.mark.parametrize("arm", ["em_linkage", "em_deduplication", "active_linkage", "active_deduplication", "supervised_linkage"])
 def test_every_arm_finds_most_persons(spark, folder, arm):
     row = entry.queries()[arm](spark, folder).first()
     assert row.tpr_any > 0.8 and row.prc_any > 0.6
