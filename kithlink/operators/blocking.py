@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithlink.functions.seeded import order_hash
-from kithlink.operators.scale import lookup, pairs_between, pairs_within, staged
+from kithlink.operators.scale import dense_number, lookup, pairs_between, pairs_within, staged
 
 # What a comparison looks at; records equal on all of it are copies of each other.
 COMPARED = ["first_name", "last_name", "date_of_birth", "age_in_2020", "middle_initial", "race", "sex"]
@@ -170,6 +170,33 @@ def last_name_clusters(records: DataFrame, k: int = 2, seed: int = 3, features:
     return model.transform(vectors).select("last_name", F.col("prediction").alias("name_cluster"))
 
 
+def last_name_ranges(records: DataFrame, k: int = 2, rounds: int = 50) -> DataFrame:
+    """(last_name, name_cluster) by k-means over the places of the last names in the alphabet.
+
+    A name weighs as many records as it has.  Centres start evenly over the places and move to the mean of
+    their records until no name changes sides, so a cluster is a range of names and the result depends on
+    the records alone.  Each round is one aggregate of k rows.  A name halfway between two centres goes to
+    the lower; a centre without records stays.
+    """
+    names = (records.where("last_name IS NOT NULL").groupBy("last_name").agg(F.count("*").alias("_w")))
+    placed = staged(dense_number(names, ["last_name"], "_place"), "places")
+    last = placed.agg(F.max("_place")).first()[0] or 0
+    centres = [(2 * i + 1) * last / (2 * k) for i in range(k)]
+
+    def cluster() -> Column:
+        borders = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+        return sum([(F.col("_place") > b).cast("int") for b in borders], F.lit(0))
+
+    for _ in range(rounds):
+        means = {r["c"]: r["s"] / r["n"] for r in placed.groupBy(cluster().alias("c")).agg(
+            F.sum(F.col("_place") * F.col("_w")).alias("s"), F.sum("_w").alias("n")).collect()}
+        moved = [means.get(i, c) for i, c in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    return placed.select("last_name", cluster().alias("name_cluster"))
+
+
 def block_members(left: DataFrame, right: DataFrame, clusters: DataFrame, reach: int = 1) -> DataFrame:
     """Members of the blocks name cluster x birth-year window."""
     a, b = (lookup(side, clusters, ["last_name"], F.col("rowid"), how="inner") for side in (left, right))

@@ -455,6 +455,21 @@ FROM window_members m JOIN block_sizes USING (block)""")
 query("merge_small_blocks", "SELECT block, side, rowid FROM members")
 query("block_listing", "SELECT block, dataset, rowid, yob FROM members")
 
+step("last_names", """
+SELECT last_name, w, row_number() OVER (ORDER BY last_name) AS place
+FROM (SELECT last_name, count(*) AS w FROM roled WHERE last_name IS NOT NULL GROUP BY last_name)""")
+step("name_centres", """
+SELECT 0 AS turn, max(place) / 4 AS lower, 3 * max(place) / 4 AS upper FROM last_names
+UNION ALL SELECT turn + 1, sum(place * w) FILTER (place <= (lower + upper) / 2) / sum(w) FILTER (place <= (lower + upper) / 2),
+  sum(place * w) FILTER (place > (lower + upper) / 2) / sum(w) FILTER (place > (lower + upper) / 2)
+FROM name_centres, last_names WHERE turn < 50 GROUP BY turn, lower, upper""")
+step("name_ranges", """
+SELECT last_name, CAST(place > (lower + upper) / 2 AS INT) AS name_cluster FROM last_names, name_centres WHERE turn = 50""")
+query("block_name_ranges", "SELECT * FROM name_ranges")
+query("block_range_members", """
+SELECT name_cluster || '.' || block AS block, side, m.rowid
+FROM window_members m JOIN prof p ON p.rowid = m.rowid JOIN name_ranges USING (last_name)""")
+
 step("names", """
 SELECT first_name || ' ' || last_name AS name, count(*) AS n_name FROM persons
 WHERE first_name IS NOT NULL AND last_name IS NOT NULL GROUP BY ALL""")

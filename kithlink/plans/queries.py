@@ -307,6 +307,16 @@ def _(w: Workspace) -> DataFrame:
     return w.members().select("block", "side", "rowid")
 
 
+@named("block_name_ranges")
+def _(w: Workspace) -> DataFrame:
+    return w.name_ranges()
+
+
+@named("block_range_members")
+def _(w: Workspace) -> DataFrame:
+    return blocking.block_members(*w.sides(), w.name_ranges()).select("block", "side", "rowid")
+
+
 @named("block_listing")
 def _(w: Workspace) -> DataFrame:
     return blocking.block_listing(w.members())

@@ -143,6 +143,9 @@ class Workspace:
         parts = [F.col(c) for c in ("first_name_sim", "last_name_sim", "dob_sim")]
         return compare.compare_pairs(pairs).withColumn("score", F.round(sum(parts[1:], parts[0]) / 3, 6))
 
+    def name_ranges(self) -> DataFrame:
+        return self.once("name_ranges", lambda: blocking.last_name_ranges(self.roles()))
+
     # unsupervised ---------------------------------------------------------------
     def members(self) -> DataFrame:
         return self.once("members", lambda: blocking.merge_small_blocks(

@@ -106,3 +106,13 @@ def test_threshold_is_the_best_f1(spark):
     scored = spark.createDataFrame([(.9, 1.0), (.8, 1.0), (.7, 0.0), (.6, 1.0), (.1, 0.0)], "confidence_score double, target double")
     best = learn.tune_threshold(scored).where("is_best").first()
     assert best.threshold == .6 and best.f1 == pytest.approx(6 / 7) and best.cut == pytest.approx(.35)
+
+
+def test_name_ranges_are_means_of_places(spark):
+    # places 1..7; the frequent name draws the lower centre up, and DAVIS with it
+    names = ["ADAMS", "BAKER", *["CLARK"] * 20, "DAVIS", "EVANS", "FRANK", "GREEN", None]
+    df = spark.createDataFrame([(n,) for n in names], "last_name string")
+    got = {r.last_name: r.name_cluster for r in blocking.last_name_ranges(df).collect()}
+    assert got == {"ADAMS": 0, "BAKER": 0, "CLARK": 0, "DAVIS": 0, "EVANS": 1, "FRANK": 1, "GREEN": 1}
+    assert blocking.last_name_ranges(df.limit(0)).count() == 0
+    assert [tuple(r) for r in blocking.last_name_ranges(df.limit(1)).collect()] == [("ADAMS", 1)]
