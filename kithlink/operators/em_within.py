@@ -1,6 +1,6 @@
 """The unsupervised match model inside one table, where a pair has no first and second side.
 
-A block holds on side A the records of its birth year and on side B those of the years around it;
+A block holds on side A the records of its birth year (and name cluster) and on side B those of the years around it;
 small blocks are one block together.  Two records meet in the block of the one, of the other, or of
 both, and count once, in the lower of these blocks.  How many pairs a block has, and how they agree
 on each field, are products of counts per (block, block of the other record), less what the lower
@@ -24,19 +24,21 @@ ALL = "all"
 def one_table_members(rows: DataFrame, limit: int, reach: int = 1) -> DataFrame:
     """(block, side, home, near, ..) of profiles of one table.
 
-    `home` is the block where a profile is on side A: its birth year, or the merged block if that year has
-    at most `limit` records.  `near` are the blocks where it is on side B.  Profiles without a birth date
-    are in no block.
+    `home` is the block where a profile is on side A: its birth year, within its `name_cluster` if the rows
+    have one, or the merged block if that block has at most `limit` records.  `near` are the blocks where it
+    is on side B.  Profiles without a birth date or name cluster are in no block.
     """
-    years = rows.where("yob IS NOT NULL").groupBy("yob").agg(F.sum("copies").alias("_n"))
-    homes = staged(years.select("yob", F.when(F.col("_n") <= limit, SMALL_BLOCK).otherwise(
-        F.col("yob").cast("string")).alias("home")), "homes")
+    key = ["name_cluster", "yob"] if "name_cluster" in rows.columns else ["yob"]
+    known = rows.dropna(subset=key)
+    own = F.concat_ws(".", *[F.col(k).cast("string") for k in key])
+    homes = staged(known.groupBy(*key).agg(F.sum("copies").alias("_n")).select(
+        *key, F.when(F.col("_n") <= limit, SMALL_BLOCK).otherwise(own).alias("home")), "homes")
     around = F.explode(F.sequence(F.col("yob") - reach, F.col("yob") + reach))
     # a set has at most 2 * reach + 1 blocks
-    near = (homes.select(around.alias("yob"), F.col("home").alias("_block"))
-            .groupBy("yob").agg(F.sort_array(F.collect_set("_block")).alias("near")))
-    # a row per birth year
-    placed = rows.join(broadcast_up_to(homes.join(near, "yob")), "yob")
+    near = (homes.select(*key[:-1], around.alias("yob"), F.col("home").alias("_block"))
+            .groupBy(*key).agg(F.sort_array(F.collect_set("_block")).alias("near")))
+    # a row per birth year and name cluster
+    placed = known.join(broadcast_up_to(homes.join(near, key)), key)
     return (placed.withColumns({"side": F.lit("A"), "block": F.col("home")})
             .unionByName(placed.withColumns({"side": F.lit("B"), "block": F.explode("near")})))
 

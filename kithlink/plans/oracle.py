@@ -448,12 +448,6 @@ step("window_members", """
 SELECT CAST(yob AS VARCHAR) AS block, 'A' AS side, rowid, dataset, yob, copies FROM prof_e
 UNION ALL SELECT CAST(unnest([yob - 1, yob, yob + 1]) AS VARCHAR), 'B', rowid, dataset, yob, copies FROM prof_a""")
 query("block_year_window", "SELECT block, side, rowid FROM window_members")
-step("block_sizes", "SELECT block, count(*) FILTER (side = 'A') AS n_a FROM window_members GROUP BY block")
-step("members", """
-SELECT DISTINCT CASE WHEN n_a <= 4 THEN 'small' ELSE m.block END AS block, side, rowid, dataset, yob, copies
-FROM window_members m JOIN block_sizes USING (block)""")
-query("merge_small_blocks", "SELECT block, side, rowid FROM members")
-query("block_listing", "SELECT block, dataset, rowid, yob FROM members")
 
 step("last_names", """
 SELECT last_name, w, row_number() OVER (ORDER BY last_name) AS place
@@ -466,9 +460,16 @@ FROM name_centres, last_names WHERE turn < 50 GROUP BY turn, lower, upper""")
 step("name_ranges", """
 SELECT last_name, CAST(place > (lower + upper) / 2 AS INT) AS name_cluster FROM last_names, name_centres WHERE turn = 50""")
 query("block_name_ranges", "SELECT * FROM name_ranges")
-query("block_range_members", """
-SELECT name_cluster || '.' || block AS block, side, m.rowid
+step("range_members", """
+SELECT name_cluster || '.' || block AS block, side, m.rowid, m.dataset, m.yob, m.copies
 FROM window_members m JOIN prof p ON p.rowid = m.rowid JOIN name_ranges USING (last_name)""")
+step("block_sizes", "SELECT block, count(*) FILTER (side = 'A') AS n_a FROM range_members GROUP BY block")
+step("members", """
+SELECT DISTINCT CASE WHEN n_a <= 4 THEN 'small' ELSE m.block END AS block, side, rowid, dataset, yob, copies
+FROM range_members m JOIN block_sizes USING (block)""")
+query("block_range_members", "SELECT block, side, rowid FROM range_members")
+query("merge_small_blocks", "SELECT block, side, rowid FROM members")
+query("block_listing", "SELECT block, dataset, rowid, yob FROM members")
 
 step("names", """
 SELECT first_name || ' ' || last_name AS name, count(*) AS n_name FROM persons
@@ -581,12 +582,12 @@ UNION ALL SELECT block, 'g_dob', CAST(coalesce(sum(n) FILTER (s >= 0.94), 0) AS
   CAST(coalesce(sum(n) FILTER (s >= 0.88 AND s < 0.94), 0) AS BIGINT), CAST(sum(n) AS BIGINT) FROM date_levels GROUP BY block""")
 # one table: all pairs of profiles that meet in a block are listed, each with the lowest block it meets in
 step("one_homes", """
-SELECT yob, CASE WHEN sum(copies) <= 8 THEN 'small' ELSE CAST(yob AS VARCHAR) END AS home
-FROM prof WHERE yob IS NOT NULL GROUP BY yob""")
-step("one_placed", "SELECT p.*, home FROM prof p JOIN one_homes USING (yob)")
+SELECT name_cluster, yob, CASE WHEN sum(copies) <= 8 THEN 'small' ELSE name_cluster || '.' || yob END AS home
+FROM prof JOIN name_ranges USING (last_name) WHERE yob IS NOT NULL GROUP BY name_cluster, yob""")
+step("one_placed", "SELECT p.*, name_cluster, home FROM prof p JOIN name_ranges USING (last_name) JOIN one_homes USING (name_cluster, yob)")
 step("one_members", """
 SELECT home AS block, 'A' AS side, rowid, home FROM one_placed
-UNION SELECT h.home, 'B', rowid, p.home FROM one_placed p JOIN one_homes h ON abs(h.yob - p.yob) <= 1""")
+UNION SELECT h.home, 'B', rowid, p.home FROM one_placed p JOIN one_homes h ON h.name_cluster = p.name_cluster AND abs(h.yob - p.yob) <= 1""")
 query("one_table_members", "SELECT * FROM one_members")
 step("one_met", """
 SELECT least(m.rowid, n.rowid) AS rowid1, greatest(m.rowid, n.rowid) AS rowid2, min(m.block) AS block

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kithlink.functions.seeded import hash_mod, order_hash
 from kithlink.operators import (
     blocking, clean, cluster, compare, constraints, em, em_within, evaluate, learn, profile, report, results, runs, sampling)
-from kithlink.operators.scale import scratch_folder, staged
+from kithlink.operators.scale import lookup, scratch_folder, staged
 from kithlink.plans import study
 from kithlink.sources import fixtures
 
@@ -149,7 +149,7 @@ class Workspace:
     # unsupervised ---------------------------------------------------------------
     def members(self) -> DataFrame:
         return self.once("members", lambda: blocking.merge_small_blocks(
-            blocking.year_window_members(*self.sides()), SMALL_BLOCK_LINKAGE))
+            blocking.block_members(*self.sides(), self.name_ranges()), SMALL_BLOCK_LINKAGE))
 
     def fitted(self) -> DataFrame:
         return self.once("fitted", lambda: em.em_link(
@@ -160,7 +160,7 @@ class Workspace:
 
     def one_table_members(self) -> DataFrame:
         return self.once("one_table_members", lambda: em_within.one_table_members(
-            self.profiles(), SMALL_BLOCK_DEDUPLICATION))
+            lookup(self.profiles(), self.name_ranges(), ["last_name"], F.col("rowid")), SMALL_BLOCK_DEDUPLICATION))
 
     def one_table_graded(self) -> DataFrame:
         return self.once("one_table_graded", lambda: em_within.within_graded(self.one_table_members()))
