@@ -64,3 +64,11 @@ def test_broadcast_only_below_the_bar(spark):
     small, large = (scale.broadcast_up_to(spark.range(n), 10) for n in (10, 11))
     assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+
+
+def test_candidate_pairs_are_not_written(spark, folder):
+    from kithlink.plans.workspace import Workspace
+    w = Workspace(spark, folder)
+    for pairs in (w.candidates(), w.candidates_one_table()):
+        # they are read from the profiles they are made of
+        assert all("/profiles-" in f for f in pairs.inputFiles())
