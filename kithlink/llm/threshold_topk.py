@@ -2,8 +2,9 @@
 
 Rows stand in blocks of a few thousand.  A block keeps, for each dimension, its rows in the order of
 their component: the end with the largest products comes first for a query's sign.  The lists are read
-side by side, rows met for the first time are scored in full, and reading stops when the threshold, the
-score of a row that stood at the present depth of every list, cannot beat the k-th best so far.
+side by side by a group of queries, rows met for the first time are scored in full for all of them in one
+product, and a query stops when the threshold, the score of a row that stood at the present depth of every
+list, cannot beat its k-th best so far.
 """
 
 from __future__ import annotations
@@ -20,62 +21,91 @@ from kithlink.llm.common import partitions
 from kithlink.llm.vectors import usable
 from kithlink.operators.scale import staged
 
-ROWS, QUERIES = 4096, 256
+ROWS, QUERIES = 4096, 1024
+# Queries that read the lists of a block together.
+TOGETHER = 256
 FIRST_DEPTH = 64
 
 
 class SortedLists:
-    """The rows of a block with their lists: the place of each row in each list, and the values down it."""
+    """The rows of a block with their lists: for each dimension the rows from its largest component down, and the values."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[by_id], vectors[by_id]
-        n, d = self.rows.shape
-        order = np.argsort(-self.rows, axis=0, kind="stable")
-        down = np.empty((d, n), np.int32)
-        np.put_along_axis(down, order.T.copy(), np.arange(n, dtype=np.int32)[None, :].repeat(d, 0), 1)
-        # places from the top for positive, from the bottom for negative query components
-        self.place = np.stack([down, n - 1 - down])
-        values = np.take_along_axis(self.rows, order, 0)
+        self.order = np.argsort(-self.rows, axis=0, kind="stable")
+        values = np.take_along_axis(self.rows, self.order, 0)
+        # down the list for positive, up the list for negative query components
         self.values = np.stack([values, values[::-1]])
-        most = float(np.abs(self.rows).max()) if n else 0.0
-        self.small = most * most * d < 2 ** 52
+        most = float(np.abs(self.rows).max()) if self.rows.size else 0.0
+        self.small = most * most * self.rows.shape[1] < 2 ** 52
         self.exact = self.rows.astype(np.float64) if self.small else self.rows.astype(np.int64)
 
     def top(self, query: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, best first, ties to the smaller id."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        side = (query[used] < 0).astype(np.int64)
-        met = self.place[side, used].min(0) if len(used) else np.zeros(n, np.int32)
-        q = query.astype(self.exact.dtype)
+        """Ids and scores of the k best rows of one query, best first, ties to the smaller id."""
+        _, ids, scores = self.tops(query[None, :], k, np.array([without]))
+        return ids, scores
+
+    def tops(self, queries: np.ndarray, k: int, without: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, id and score of the k best rows of each query; best first, ties to the smaller id.
+
+        The queries read the lists together: a row that stands high enough for one of them is scored for all that have
+        not stopped.  A query stops when the rows below the present depth cannot reach its k-th best score.
+        """
+        n, out = len(self.ids), []
         at = np.searchsorted(self.ids, without)
-        if at < n and self.ids[at] == without:
-            met = met.copy()
-            met[at] = n  # never met
-        found, scores = np.zeros(0, np.int64), np.zeros(0, self.exact.dtype)
+        own = np.where((at < n) & (self.ids[np.minimum(at, n - 1)] == without), at, -1) if n else np.full(len(without), -1)
+        q = queries.astype(self.exact.dtype)
+        open_ = np.arange(len(queries))
+        found, scores = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0), self.exact.dtype)
+        unread = np.ones(n, bool)
         depth, before = min(n, max(FIRST_DEPTH, k)), 0
-        while True:
-            new = np.flatnonzero((met >= before) & (met < depth))
-            found = np.concatenate([found, new])
-            scores = np.concatenate([scores, (self.exact @ q)[new] if 2 * len(new) > n else self.exact[new] @ q])
-            if len(found) > k:
-                best = np.lexsort((found, -scores))[:k] if len(found) < 8 * k else self._best(found, scores, k)
-                found, scores = found[best], scores[best]
-            if depth >= n:
-                break
-            bound = (self.values[side, depth, used].astype(q.dtype) * q[used]).sum()
-            if len(found) >= k and bound < scores.min():
-                break
+        while len(open_):
+            up, down = (q[open_] > 0).any(0), (q[open_] < 0).any(0)
+            near = np.zeros(n, bool)
+            near[self.order[before:depth, up]] = True
+            near[self.order[n - depth:n - before, down]] = True
+            # the lists of components that are 0 in all queries are not read, their rows are scored at last
+            near |= depth >= n
+            new = np.flatnonzero(near & unread)
+            unread[new] = False
+            met = np.broadcast_to(new, (len(open_), len(new)))
+            some = q[open_] @ (self.exact if 2 * len(new) > n else self.exact[new]).T
+            some = some[:, new] if 2 * len(new) > n else some
+            found, scores = self._best(np.concatenate([found, met], 1), np.concatenate([scores, np.where(met == own[open_, None], self._nothing, some)], 1), k)
+            reached = scores > self._nothing
+            if depth >= n or not unread.any():
+                done = np.ones(len(open_), bool)
+            else:
+                side = (q[open_] < 0).astype(np.int64)
+                bound = (self.values[side, depth, np.arange(q.shape[1])].astype(q.dtype) * q[open_]).sum(1)
+                done = (reached.sum(1) >= k) & (bound < scores.min(1, initial=np.iinfo(np.int64).max))
+            for i in np.flatnonzero(done):
+                out.append((open_[i], found[i][reached[i]], scores[i][reached[i]]))
+            open_, found, scores = open_[~done], found[~done], scores[~done]
             before, depth = depth, min(n, 2 * depth)
-        order = np.lexsort((found, -scores))
-        return self.ids[found[order]], scores[order].astype(np.int64)
-
-    @staticmethod
-    def _best(found: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-        return some[np.lexsort((found[some], -scores[some]))[:k]]
+        of = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
+        rows, best = (np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in (1, 2))
+        return of, self.ids[rows.astype(np.int64)], best.astype(np.int64)
+
+    @property
+    def _nothing(self) -> float | int:
+        """A score below all others."""
+        return -np.inf if self.small else -np.iinfo(np.int64).max
+
+    def _best(self, found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of each line, best first, ties to the smaller place."""
+        if scores.shape[1] > 8 * k:
+            # all that reach the k-th best score: few, but where many are equal
+            least = np.partition(scores, scores.shape[1] - k, 1)[:, scores.shape[1] - k]
+            line, at = np.nonzero(scores >= least[:, None])
+            place = np.arange(len(line)) - np.searchsorted(line, line)
+            shape = (len(scores), int(place.max(initial=-1)) + 1)
+            some, of = np.zeros(shape, np.int64), np.full(shape, self._nothing, scores.dtype)
+            some[line, place], of[line, place] = found[line, at], scores[line, at]
+            found, scores = some, of
+        order = np.lexsort((found, -scores))[:, :k]
+        return np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id: str = "vec_id",
@@ -113,10 +143,10 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_
                 if of[i] != made:
                     made, lists = of[i], SortedLists(*block_of(batch.column("rows"), i))
                 ids, z = block_of(batch.column("queries"), i)
-                got = [lists.top(q, k, one) for one, q in zip(ids.tolist(), z)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, [len(g[0]) for g in got])), *(pa.array(np.concatenate([g[j] for g in got])) for j in (0, 1))],
-                    ["query_id", "vec_id", "score"])
+                for first in range(0, len(ids), TOGETHER):
+                    some = slice(first, first + TOGETHER)
+                    query, best, scores = lists.tops(z[some], k, ids[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][query]), pa.array(best), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     # few rows of much work each: spread over tasks by (block, group)
     spread = min(blocks * groups, 4 * max(partitions(table.sparkSession), table.sparkSession.sparkContext.defaultParallelism))

@@ -43,6 +43,24 @@ def test_reading_stops_early_where_the_bound_allows():
     assert ids.tolist() == [1, 2, 3] and scores.tolist() == [1996, 1994, 1992]
 
 
+def test_queries_read_the_lists_together():
+    """One product serves a group: queries of all kinds get what each would get alone and what all rows give."""
+    rng = np.random.default_rng(3)
+    for scale in (10, 2 ** 30):
+        x = rng.integers(-scale, scale, (700, 6))
+        x[100:160] = x[5]
+        queries = np.concatenate([x[:40], np.zeros((1, 6), np.int64), np.eye(6, dtype=np.int64), -np.eye(6, dtype=np.int64)])
+        own = np.concatenate([np.arange(40) * 3, np.full(13, -1)])
+        lists = threshold_topk.SortedLists(np.arange(700) * 3, x)
+        of, ids, scores = lists.tops(queries, 9, own)
+        for i, (q, one) in enumerate(zip(queries, own)):
+            s = x @ q
+            order = [j for j in np.lexsort((np.arange(700), -s)) if 3 * j != one][:9]
+            assert ids[of == i].tolist() == [3 * j for j in order] and scores[of == i].tolist() == s[order].tolist()
+            alone = lists.top(q, 9, one)
+            assert alone[0].tolist() == ids[of == i].tolist()
+
+
 def test_odd_vectors_of_the_threshold_top(spark):
     got = threshold_topk.top_k(odd(spark), F.col("vec_id") >= 0, 20).collect()
     assert {(r.query_id, r.vec_id) for r in got} == {(a, b) for a in (0, 1, 6, 8) for b in (0, 1, 6, 8) if a != b}
