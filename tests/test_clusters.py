@@ -51,6 +51,15 @@ def test_components_with_hot_nodes_salted(spark, monkeypatch):
     assert as_dict(cluster.connected_components(spark.createDataFrame(edges, EDGE))) == union_find(edges)
 
 
+def test_small_components_need_no_salted_joins(spark):
+    """Where a table has fewer rows than a key may have, no key is looked for that has too many."""
+    edges = spark.createDataFrame(SHAPES["path"], EDGE).selectExpr("rowid2 AS u", "rowid1 AS v", "true AS moved")
+    plans = [cluster._smaller_neighbours_to_minimum(cluster._larger_neighbours_to_minimum(edges, n), n)._jdf.queryExecution()
+             .optimizedPlan().toString() for n in (32, 2_000_000)]
+    assert [("_parts" in p, "Generate" in p) for p in plans] == [(False, False), (True, True)]
+    assert plans[0].count("Join") < plans[1].count("Join")
+
+
 def test_records_need_exactly_one_source_of_clusters(spark):
     empty = spark.createDataFrame([], EDGE)
     with pytest.raises(ValueError):
