@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kithlink.functions import similarity
 from kithlink.operators import tiles
-from kithlink.operators.blocking import candidates_between
-from kithlink.operators.compare import AGREEMENTS, AgreementRules, agreement_levels
+from kithlink.operators.blocking import CANDIDATE_KEYS, candidates_between, candidates_within
+from kithlink.operators.compare import AGREEMENTS, AgreementRules, agreement_levels, compare_pairs
 from kithlink.operators.em import BLOCK_KEYS
 
 SCHEMA = ("block string, rowid long, copies long, first_name string, last_name string, date_of_birth date, "
@@ -75,3 +75,30 @@ def test_udf_compares_distinct_pairs_of_a_batch(monkeypatch):
     monkeypatch.setattr(similarity, "jaro_winkler_batch", batch)
     out = similarity._jaro_winkler.func(pd.Series(["A", "B", None, "A", "A"]), pd.Series(["B", "B", "B", "B", None]))
     assert seen == [2] and out[0] == out[3] != out[1] and pd.isna(out[2]) and pd.isna(out[4])
+
+
+@pytest.mark.parametrize("tile_rows, batch, chunk", [(4_000, 10_000, tiles.CHUNK), (2, 16, 5)])
+@pytest.mark.parametrize("least", [0.0, 0.7])
+def test_similar_pairs_are_those_of_listed_pairs(spark, tile_rows, batch, chunk, least):
+    rows = spark.createDataFrame(people(3, 0, 120), SCHEMA).withColumn("yob", F.year("date_of_birth"))
+    rows = rows.withColumn("age_in_2020", 2020 - F.col("yob"))
+    parts = [F.col(c) for c in ("first_name_sim", "last_name_sim", "dob_sim")]
+    listed = (compare_pairs(candidates_within(rows, CANDIDATE_KEYS)).withColumn("score", F.round(sum(parts[1:], parts[0]) / 3, 6))
+              .where(F.col("score") >= least).select("rowid1", "sex1", "rowid2", "sex2", "score"))
+    want = sorted(map(tuple, listed.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = tiles.similar_within(rows, CANDIDATE_KEYS, ["sex"], least, tile_rows, chunk)
+        got = sorted(map(tuple, found.select("rowid1", "sex1", "rowid2", "sex2", "score").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(want) > 100 and got == want
+
+
+def test_edit_distances_are_those_of_spark(spark):
+    texts = ["", "A", "ANNA", "HANNAH", "ÄNNE", "KIMBERLEY", "KIMBERLY", "1970-01-01", "1971-10-01", "\U0001f600A"]
+    pairs = list(itertools.product(texts, texts))
+    want = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(F.levenshtein("a", "b")).collect()]
+    left, right = (np.array([p[i] for p in pairs], object) for i in (0, 1))
+    assert similarity.edit_distance_batch(left, right).tolist() == want
+    assert similarity.edit_distance_batch(left[:0], right[:0]).tolist() == []
