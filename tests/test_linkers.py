@@ -36,6 +36,22 @@ def test_a_block_that_cannot_be_fitted_keeps_its_reason(spark, monkeypatch):
     assert row.posterior is None or 0 <= row.posterior <= 1
 
 
+def test_a_block_that_cannot_be_fitted_is_no_block_without_matches(spark):
+    fields = ", ".join(f"{g} int" for g in compare.AGREEMENTS)
+    level = [2] * len(compare.AGREEMENTS)
+    # without counts of one of its fields the fit of block b ends in an error, or in posteriors that are no numbers
+    counts = spark.createDataFrame([("a", *level, 5), ("b", *level, None)], f"block string, {fields}, n_pairs long")
+    totals = spark.createDataFrame([("a", "g_sex", 5, 0, 5), ("b", "g_sex", 5, 0, 5)],
+                                   "block string, field string, n_full long, n_partial long, n_known long")
+    fitted = em.em_link(counts, totals)
+    assert {r.block: r.error is None for r in fitted.collect()} == {"a": True, "b": False}
+    pairs = spark.createDataFrame([("a", 1, "x", "A", 2, "x", "B", 1, 1, *level)], "block string, rowid1 long, sid1 string, "
+                                  f"dataset1 string, rowid2 long, sid2 string, dataset2 string, copies1 long, copies2 long, {fields}")
+    with pytest.raises(Exception, match="block b was not fitted"):
+        em.with_posterior(pairs, fitted).collect()
+    assert em.with_posterior(pairs, fitted.where("block = 'a'")).count() <= 1
+
+
 def test_agreement_of_missing_values_is_missing(spark):
     cols = ["first_name", "last_name", "middle_initial", "race", "sex"]
     schema = ", ".join(f"{c}{n} string" for c in cols for n in (1, 2)) + ", date_of_birth1 date, date_of_birth2 date"
