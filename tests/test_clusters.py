@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from kithlink.operators import cluster, constraints
+from kithlink.operators import cluster, constraints, forest
 
 EDGE = "rowid1 long, rowid2 long"
 
@@ -134,6 +135,53 @@ def test_constrained_clusters_are_the_greedy_ones(spark, seed, task_edges, nodes
     assert constraints.valid_clusters(members).where("NOT valid OR NOT valid_ids").count() == 0
 
 
+EDGES = "rowid1 long, rowid2 long, dataset_1 string, dataset_2 string, phat double, original_order long"
+
+
+@pytest.mark.parametrize(("forest_edges", "known_outside"), [(4_000_000, False), (0, False), (4_000_000, True)])
+def test_constrained_clusters_of_one_large_component(spark, forest_edges, known_outside):
+    """Most records are no training records; edges of many tasks decide, by the forest, by its rounds and with ids known outside."""
+    rng = random.Random(21)
+    role = {i: rng.choice([*ROLES[:1] * 2, *ROLES[1:2] * 1, *ROLES[2:] * 5]) for i in range(60)}
+    uid = {i: f"p{rng.randrange(3)}" if (role[i] == ROLES[1] or known_outside and role[i] == ROLES[2]) and rng.random() < 0.7 else None for i in role}
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(260)})
+    edges = [(a, b, role[a], role[b], rng.choice([.6, .7, .8, .9]), i) for i, (a, b) in enumerate(pairs)]
+    nodes = spark.createDataFrame([(i, role[i], uid[i]) for i in role], "rowid long, dataset string, uid_sid string")
+    got = as_dict(constraints.constrained_clusters(spark.createDataFrame(edges, EDGES).repartition(7), nodes, forest_edges=forest_edges))
+    assert got == greedy(role, uid, edges) and len(set(got.values())) > 5
+
+
+def test_a_large_constrained_component_takes_no_rounds_of_joins(spark, monkeypatch):
+    """Components of more than `task_edges` edges went through rounds of joins, dozens of jobs each."""
+    def rounds(*_):
+        raise AssertionError("rounds of joins")
+
+    monkeypatch.setattr(constraints, "_merge_by_joins", rounds)
+    role = {i: ROLES[0] if i % 10 == 0 else ROLES[2] for i in range(40)}
+    edges = [(a, b, role[a], role[b], (a * 7 + b * 3) % 10 / 10, a * 40 + b) for a in range(40) for b in range(a + 1, 40)]
+    nodes = spark.createDataFrame([(i, role[i], None) for i in role], "rowid long, dataset string, uid_sid string")
+    got = as_dict(constraints.constrained_clusters(spark.createDataFrame(edges, EDGES), nodes, task_edges=100))
+    assert got == greedy(role, dict.fromkeys(role), edges)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_thinned_edges_are_those_of_the_greedy_over_all(seed):
+    rng = np.random.default_rng(seed)
+    n, m = 50, 400
+    u, v = rng.integers(0, n, m) * 3, rng.integers(0, n, m) * 3
+    single = rng.random(n * 3) < 0.2
+    taken, nodes, cluster = forest.greedy_forest(u, v, single[u], single[v])
+    role = {int(x): ROLES[0] if single[x] else ROLES[2] for x in nodes}
+    want = greedy(role, dict.fromkeys(role), [(int(a), int(b), role[int(a)], role[int(b)], 0.0, i) for i, (a, b) in enumerate(zip(u, v))])
+    got = dict(zip(nodes.tolist(), cluster.tolist()))
+    assert {x: got[x] for x in want} == want
+    # first in two parts, then what they leave
+    parts = [np.arange(m)[i::2] for i in (0, 1)]
+    left = np.sort(np.concatenate([p[forest.greedy_forest(u[p], v[p], single[u[p]], single[v[p]])[0]] for p in parts]))
+    again = forest.greedy_forest(u[left], v[left], single[u[left]], single[v[left]])
+    assert left[again[0]].tolist() == np.flatnonzero(taken).tolist() and len(left) < m
+
+
 @pytest.mark.parametrize("seed", [3])
 def test_average_linkage_by_task_and_by_joins_agree(spark, seed):
     rng = random.Random(seed)
