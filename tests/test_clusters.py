@@ -45,6 +45,26 @@ def test_components_match_union_find(spark, shape):
     assert got == union_find(edges)
 
 
+@pytest.mark.parametrize("task_edges", [0, 2_000_000])
+def test_components_of_edges_in_many_tasks(spark, task_edges):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500, 500), (501, 501), (501, 502), (7, 7)]
+    df = spark.createDataFrame([*edges, (None, 3), (4, None)], EDGE).repartition(6)
+    assert as_dict(cluster.connected_components(df, task_edges=task_edges)) == union_find(edges)
+    as_ints = df.selectExpr("CAST(rowid1 AS INT) AS x", "CAST(rowid2 AS INT) AS y")
+    assert as_dict(cluster.connected_components(as_ints, "x", "y")) == union_find(edges)
+
+
+def test_tasks_write_no_more_edges_than_connect_their_records(spark):
+    edges = list(itertools.combinations(range(60), 2)) + [(70, 70)]
+    thin = forest.spanning(spark.createDataFrame(edges, EDGE).repartition(2), gathered=50)
+    # two tasks, a star of 60 nodes each; written whole they were 1,771
+    assert thin.count() <= 2 * 59 + 1 and union_find([tuple(r) for r in thin.collect()]) == union_find(edges)
+    # a task that holds more than it may hands them on
+    few = forest.spanning(spark.createDataFrame(edges, EDGE).repartition(2), gathered=50, most=20)
+    assert union_find([tuple(r) for r in few.collect()]) == union_find(edges)
+
+
 def test_components_with_hot_nodes_salted(spark, monkeypatch):
     monkeypatch.setattr("kithlink.operators.scale.HOT_ROWS", 3)
     rng = random.Random(5)

@@ -102,3 +102,16 @@ def test_edit_distances_are_those_of_spark(spark):
     left, right = (np.array([p[i] for p in pairs], object) for i in (0, 1))
     assert similarity.edit_distance_batch(left, right).tolist() == want
     assert similarity.edit_distance_batch(left[:0], right[:0]).tolist() == []
+
+
+def test_only_wanted_patterns_leave_the_tasks(spark, folder):
+    from kithlink.operators import em
+    from kithlink.plans.workspace import Workspace
+    w = Workspace(spark, folder)
+    codes = em.matching_codes(w.fitted())
+    made = em.block_pairs(w.members(), wanted=codes)
+    assert made.count() == w.em_matches().count() < em.block_pairs(w.members()).count()
+    columns = ["block", "rowid1", "rowid2", "score"]
+    whole = em.with_posterior(em.block_pairs(w.members()), w.fitted()).select(*columns)
+    assert sorted(map(tuple, w.em_matches().select(*columns).collect())) == sorted(map(tuple, whole.collect()))
+    assert em.block_pairs(w.members(), wanted={}).count() == 0
