@@ -1,10 +1,11 @@
 import itertools
+import os
 import random
 
 import numpy as np
 import pytest
 
-from kithlink.operators import cluster, constraints, forest
+from kithlink.operators import cluster, constraints, forest, scale
 
 EDGE = "rowid1 long, rowid2 long"
 
@@ -211,6 +212,49 @@ def test_average_linkage_by_task_and_by_joins_agree(spark, seed):
     assert by_task == by_joins and len(set(by_task.values())) > 1
 
 
+def test_average_linkage_deletes_the_pairs_it_has_read(spark):
+    def written(name):
+        return {f for f in os.listdir(folder) if f.startswith(f"{name}-")}
+
+    folder = scale.scratch_folder(spark)
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(90)})
+    df = spark.createDataFrame([(a, b, round(rng.random(), 6)) for a, b in pairs], "rowid1 long, rowid2 long, score double")
+    before = {name: written(name) for name in ("once", "links", "linkage")}
+    rows = constraints.partition_clusters(df, .4, 0).collect()
+    left = {name: len(written(name) - of) for name, of in before.items()}
+    # of the turns by joins the last tables stand, of the pairs only those inside of components
+    assert len(rows) > 20 and left == {"once": 0, "links": 1, "linkage": 1}
+
+
+def test_pairs_that_may_not_link_are_not_compared(spark, monkeypatch):
+    from kithlink.operators import learn
+    from kithlink.plans import arms
+    seen = []
+
+    def compared(pairs):
+        seen.append({(r.dataset1, r.dataset2) for r in pairs.select("dataset1", "dataset2").collect()})
+        raise InterruptedError
+
+    monkeypatch.setattr(learn, "with_features", compared)
+    pairs = spark.createDataFrame([(a, b) for a in ROLES for b in ROLES], "dataset1 string, dataset2 string")
+    with pytest.raises(InterruptedError):
+        arms.supervised_linkage(None, None, pairs)
+    e, t, a = ROLES
+    assert seen == [{(t, t), (a, a), (e, a), (a, e)}]
+
+
+def test_scores_of_one_table_are_read_and_not_written(spark, monkeypatch):
+    from kithlink.operators import learn
+    from kithlink.plans import arms
+    pairs = spark.createDataFrame([(1, 2, 1, 1, .5)], "rowid1 long, rowid2 long, copies1 long, copies2 long, confidence_score double")
+    for name, made in (("labelled_pairs", None), ("fit_pairs", None), ("with_features", pairs), ("score_pairs", pairs)):
+        monkeypatch.setattr(learn, name, lambda *_, made=made: made)
+    monkeypatch.setattr(constraints, "partition_clusters", lambda edges, cut: pytest.fail("written") if edges.inputFiles() else (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        arms.active_deduplication(None, None, None, pairs)
+
+
 def test_priority_is_score_then_order(spark):
     rows = [(1, 2, .5, 2), (3, 4, .9, 3), (5, 6, .5, 1)]
     df = spark.createDataFrame(rows, "rowid1 long, rowid2 long, phat double, original_order long")
