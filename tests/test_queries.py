@@ -27,6 +27,14 @@ def test_every_arm_finds_most_persons(spark, folder, arm):
     assert row.tpr_any > 0.8 and row.prc_any > 0.6
 
 
+def test_the_arms_are_compared_over_the_whole_grid(spark, folder):
+    rows = entry.queries()["arm_comparison"](spark, folder).groupBy("framework", "budget").count().collect()
+    # both frameworks and all six budgets: three sizes, three arms, five runs of each side, 1,000 resamples
+    assert {(r.framework, r.budget) for r in rows} == {
+        (f, b) for f in ("deduplication", "record_linkage") for b in (20, 40, 80, 200, 500, 1000)}
+    assert {r["count"] for r in rows} == {3 * 3 * 5 * 5 * 1000}
+
+
 def test_oracle_names_are_queries():
     from kithlink.plans import oracle
     assert set(oracle.QUERIES) <= set(entry.queries())
